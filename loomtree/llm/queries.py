@@ -10,9 +10,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomtree.llm import chat, media, mixing, packing, quality_rules, token_file
+from loomtree.llm import chat, lm_score, media, minhash, mixing, packing, quality_classifier, quality_rules, token_file
 from loomtree.llm.common import table
 
+#: Grades of the ratings: 0 toxic, 1 of low quality, 2 good.
+GRADE = "CASE WHEN toxic = 1 THEN 0 WHEN quality = 0 THEN 1 WHEN quality = 1 THEN 2 END"
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_classifier.fit_on(docs, table(spark, sf_dir, "labels").select("doc_id", F.expr(GRADE).alias("grade")))
+    return quality_classifier.classify(docs, model)
+
+
 EXTRA_TURN = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -112,10 +122,18 @@ FROM placed
 """
 
 
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_tokens(token_file.write_tokens(table(spark, sf_dir, "documents")))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.pseudo_likelihood(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"))
 
@@ -163,10 +181,13 @@ FROM every
 
 def queries() -> dict:
     return {
+        "op1_quality_classifier": op1_quality_classifier,
         "op2_chat_formatting": op2_chat_formatting,
         "op3_media_columns": op3_media_columns,
         "op5_mixing": op5_mixing,
+        "op6_order_minhash": op6_order_minhash,
         "op7_token_file": op7_token_file,
+        "op8_lm_scoring": op8_lm_scoring,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_quality_rules": op10_quality_rules,
     }
