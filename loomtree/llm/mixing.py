@@ -56,13 +56,13 @@ def offset(source_key: Column, seed: int) -> Column:
 def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 7) -> DataFrame:
     """docs with size, source_size, target, copies, taken: how often the mix takes each document, and its words so taken."""
     made = ["size", "source_size", "target", "copies", "taken"]
-    df = docs.select(*[docs[c] for c in docs.columns if c not in made], n_words(docs[text]).alias("size"))
+    df = docs.select(F.struct(*[docs[c] for c in docs.columns if c not in made]).alias("row"), docs[doc_id].alias("id"), n_words(docs[text].cast("string")).alias("size"), docs[source].cast("string").alias("source"))
     size_class = F.when(F.col("size") == 0, -1).otherwise(F.floor(F.log2(F.col("size").cast("double")) * 8)).cast("int")
     df = df.withColumns({
-        "source_null": F.col(source).isNull(),
-        "source_key": F.coalesce(F.col(source).cast("string"), F.lit("")),
+        "source_null": F.col("source").isNull(),
+        "source_key": F.coalesce("source", F.lit("")),
         "size_class": size_class,
-        "bucket": hex_bucket(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), 2) % BUCKETS,
+        "bucket": hex_bucket(F.coalesce(F.col("id").cast("string"), F.lit("")), 2) % BUCKETS,
     })
     key = ["source_null", "source_key"]
     cell = [*key, "size_class", "bucket"]
@@ -70,10 +70,10 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc
     targets = source_targets(cells.groupBy(*key).agg(F.sum("words").alias("source_size")), weights, share, cap)
     before = Window.partitionBy(*key).orderBy("size_class", "bucket").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n", "words").join(targets, key)
-    place = F.row_number().over(Window.partitionBy(*cell).orderBy("size", doc_id)) + F.col("before")
+    place = F.row_number().over(Window.partitionBy(*cell).orderBy("size", "id")) + F.col("before")
     df = df.join(cells, cell).withColumn("place", place)
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     df = df.withColumn("each", each).withColumn("offset", offset(F.col("source_key"), seed))
     copies = F.floor(F.col("place") * F.col("each") + F.col("offset")) - F.floor((F.col("place") - 1) * F.col("each") + F.col("offset"))
     df = df.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
-    return df.drop("source_null", "source_key", "size_class", "bucket", "before", "place", "each", "offset")
+    return df.select("row.*", *made)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomtree.llm import chat, lm_score, media, minhash, mixing, packing, quality_classifier, quality_rules, token_file
+from loomtree.llm import chat, lm_score, media, minhash, mixing, packing, quality_classifier, quality_rules, suffix_dedup, token_file
 from loomtree.llm.common import table
 
 #: Grades of the ratings: 0 toxic, 1 of low quality, 2 good.
@@ -86,6 +86,11 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexed.select("doc_id", "n_bytes", "stored", "payload", "feature").mapInArrow(run, schema)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "copies", "taken")
@@ -184,6 +189,7 @@ def queries() -> dict:
         "op1_quality_classifier": op1_quality_classifier,
         "op2_chat_formatting": op2_chat_formatting,
         "op3_media_columns": op3_media_columns,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_mixing": op5_mixing,
         "op6_order_minhash": op6_order_minhash,
         "op7_token_file": op7_token_file,
