@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +44,8 @@ _LOW = np.uint64((1 << 24) - 1)
 _BYTES = mixed(np.arange(256, dtype=np.uint64), 21)
 _BASE = 0xD6E8FEB86659FD93
 KEY = np.dtype([("null", "i1"), ("id", "<i8"), ("text", "<i8")])
-ANCHOR = np.dtype([("h", "<u8"), ("doc", "<u4"), ("at", "<u4"), ("back", "u1"), ("ahead", "u1"), ("high", "<u2")])
+#: 48 bits of a hash tell anchors apart: two that fall together are only read in vain.
+ANCHOR = (np.dtype("<u4"), np.dtype("<u2"), np.dtype("<u4"), np.dtype("u1"), np.dtype("u1"))
 READ = np.dtype([("h", "<u8"), ("back", "u1"), ("starts", "u1"), ("bytes", "u1", (COLUMNS,))])
 
 
@@ -99,13 +101,13 @@ def block(keys: np.ndarray, docs: np.ndarray, *arrays: np.ndarray) -> bytes:
     """docs indexes keys; the block carries the keys that it needs."""
     used, index = np.unique(docs, return_inverse=True)
     parts = [keys[used].tobytes(), index.astype("<u4").tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)]
-    return struct.pack("<QQ", len(used), len(docs)) + b"".join(parts)
+    return struct.pack("<QQ", len(used), len(docs)) + zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
 def opened(raw: bytes, *kinds: np.dtype) -> tuple[np.ndarray, ...]:
     """(document keys of the records, arrays...) of a block."""
     n_keys, n = struct.unpack_from("<QQ", raw)
-    at = 16
+    raw, at = zstandard.ZstdDecompressor().decompress(memoryview(raw)[16:]), 0
     keys = np.frombuffer(raw, KEY, n_keys, at)
     at += n_keys * KEY.itemsize
     index = np.frombuffer(raw, "<u4", n, at)
@@ -145,7 +147,8 @@ def by_document(keys: np.ndarray, *arrays: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*named, *columns], ["_known", "_id", "_hash", *(f"_{k}" for k in range(len(arrays)))])
 
 
-MARK = np.dtype([("h", "<u8"), ("at", "<i8"), ("back", "u1"), ("ahead", "u1"), ("hot", "u1")])
+#: A text cell has less than 2 ** 31 bytes.
+MARK = np.dtype([("at", "<u4"), ("back", "u1"), ("ahead", "u1"), ("hot", "u1")])
 FIRST = np.dtype([("at", "<i8"), ("mask", "<u8")])
 _KEY_SQL = "_known byte, _id long, _hash long"
 
@@ -156,31 +159,29 @@ def send_anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa
             flat, offsets = flat_bytes(part.column("_text"))
             h, at, first, last = anchors(flat, offsets)
             doc = np.searchsorted(offsets, at, side="right") - 1
-            records = np.zeros(len(h), ANCHOR)
-            place = at - offsets[doc]
-            records["h"], records["at"], records["high"] = h, place & 0xFFFFFFFF, place >> 32
-            records["back"], records["ahead"] = at - first, at - last
+            columns = (h >> np.uint64(32)).astype("<u4"), (h >> np.uint64(16)).astype("<u2"), (at - offsets[doc]).astype("<u4"), (at - first).astype("u1"), (at - last).astype("u1")
             keys, sent = key_array(part), dealt(h, buckets)
-            blocks = [block(keys, doc[rows], records[rows]) for _, rows in sent]
+            blocks = [block(keys, doc[rows], *(c[rows] for c in columns)) for _, rows in sent]
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in sent], pa.int32()), pa.array(blocks, pa.binary())], ["bucket", "block"])
 
 
 def repeated_anchors(batches: Iterator[pa.RecordBatch], most: int = HOT) -> Iterator[pa.RecordBatch]:
     """Of the anchors of whole buckets, those with two or more places, by document."""
-    keys, records = gathered(batches, ANCHOR)
+    keys, high, low, at, back, ahead = gathered(batches, *ANCHOR)
     if not len(keys):
         return
+    h = high.astype(np.uint64) << np.uint64(16) | low
     unique, doc = np.unique(keys, return_inverse=True)
-    place = records["at"].astype(np.int64) | records["high"].astype(np.int64) << 32
-    order = np.lexsort((records["back"], place, doc, records["h"]))
-    h, doc, place, records = records["h"][order], doc[order], place[order], records[order]
-    same = np.concatenate([[False], (h[1:] == h[:-1]) & (doc[1:] == doc[:-1]) & (place[1:] == place[:-1]) & (records["back"][1:] == records["back"][:-1])])
-    h, doc, place, records = h[~same], doc[~same], place[~same], records[~same]
+    order = np.lexsort((back, at, doc, h))
+    h, doc, at, back, ahead = (x[order] for x in (h, doc, at, back, ahead))
+    same = np.concatenate([[False], (h[1:] == h[:-1]) & (doc[1:] == doc[:-1]) & (at[1:] == at[:-1]) & (back[1:] == back[:-1])])
+    h, doc, at, back, ahead = (x[~same] for x in (h, doc, at, back, ahead))
     starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    count = np.repeat(np.diff(np.append(starts, len(h))), np.diff(np.append(starts, len(h))))
+    sizes = np.diff(np.append(starts, len(h)))
+    count = np.repeat(sizes, sizes)
     kept = count > 1
     marks = np.zeros(kept.sum(), MARK)
-    marks["h"], marks["at"], marks["back"], marks["ahead"], marks["hot"] = h[kept], place[kept], records["back"][kept], records["ahead"][kept], count[kept] > most
+    marks["at"], marks["back"], marks["ahead"], marks["hot"] = at[kept], back[kept], ahead[kept], count[kept] > most
     order = np.lexsort((marks["at"], doc[kept]))
     yield by_document(unique[doc[kept][order]], marks[order])
 
@@ -188,7 +189,10 @@ def repeated_anchors(batches: Iterator[pa.RecordBatch], most: int = HOT) -> Iter
 def send_reads(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """The bytes around each marked anchor; equal reads of a batch go once, as the earliest of them."""
     for batch in batches:
-        for part in pieces(batch, "_text", 1 << 21):
+        for part in pieces(batch, "_text"):
+            part = part.filter(part.column("_marks").is_valid())
+            if not part.num_rows:
+                continue
             flat, offsets = flat_bytes(part.column("_text"))
             found = [np.frombuffer(b"".join(x), MARK) for x in part.column("_marks").to_pylist()]
             doc = np.repeat(np.arange(len(found)), [len(x) for x in found])
@@ -202,7 +206,7 @@ def send_reads(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.R
             columns = np.arange(COLUMNS)[None, :]
             cells = np.where(columns < (starts + SPAN - 1)[:, None], flat[np.minimum(first[:, None] + columns, max(len(flat) - 1, 0))] if len(flat) else 0, 0)
             reads = np.zeros(len(row), READ)
-            reads["h"], reads["back"], reads["starts"], reads["bytes"] = marks["h"][row], back, starts, cells
+            reads["h"], reads["back"], reads["starts"], reads["bytes"] = rolling(flat, K)[offsets[doc[row]] + marks["at"][row]], back, starts, cells
             hot = np.flatnonzero(marks["hot"][row])
             if len(hot):
                 reads["h"][hot] = rolling(reads["bytes"][hot][:, :SPAN].ravel(), SPAN)[::SPAN]
@@ -212,7 +216,7 @@ def send_reads(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.R
             _, once = np.unique(reads[rank].view(f"V{READ.itemsize}"), return_index=True)
             rows = rank[once]
             sent = dealt(reads["h"][rows], buckets)
-            blocks = [block(keys, doc[row][rows[x]], reads[rows[x]], at[rows[x]].astype("<i8")) for _, x in sent]
+            blocks = [block(keys, doc[row][rows[x]], reads[rows[x]], at[rows[x]]) for _, x in sent]
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in sent], pa.int32()), pa.array(blocks, pa.binary())], ["bucket", "block"])
 
 
@@ -251,7 +255,7 @@ def first_windows(group: np.ndarray, back: np.ndarray, starts: np.ndarray, text:
 
 def find_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the reads of whole buckets, by document, the windows that are the first of their class."""
-    keys, reads, at = gathered(batches, READ, np.dtype("<i8"))
+    keys, reads, at = gathered(batches, READ, np.dtype("<u4"))
     if not len(keys):
         return
     order = np.lexsort((at, keys["text"], keys["id"], keys["null"]))
@@ -274,8 +278,9 @@ def find_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def removed_bytes(n: int, marks: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     """Whether each of a document's n bytes is covered by a window of a repeated anchor that is not the first of its class."""
     repeated = np.zeros(n + 1, np.int32)
-    np.add.at(repeated, marks["at"] - marks["back"], 1)
-    np.add.at(repeated, marks["at"] - marks["ahead"] + 1, -1)
+    place = marks["at"].astype(np.int64)
+    np.add.at(repeated, place - marks["back"], 1)
+    np.add.at(repeated, place - marks["ahead"] + 1, -1)
     window = np.cumsum(repeated[:n]) > 0
     for c in range(STARTS):
         here = firsts["at"][(firsts["mask"] >> np.uint64(c)) & np.uint64(1) == 1]
@@ -300,8 +305,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     sent = rows.mapInArrow(lambda b: send_anchors(b, buckets), "bucket int, block binary")
     marks = sent.repartition("bucket").mapInArrow(lambda b: repeated_anchors(b, hot), f"{_KEY_SQL}, _0 binary")
     marks = written(marks.groupBy(*names).agg(F.collect_list("_0").alias("_marks")), "marks")
+    # both uses of this join read all its columns, so that the texts are dealt once
     every = docs.select(*key, body.alias("_text"), F.struct(*[docs[c] for c in rest]).alias("_row")).join(marks, names, "left")
-    sent = every.where(F.col("_marks").isNotNull()).select(*names, "_text", "_marks").mapInArrow(lambda b: send_reads(b, buckets), "bucket int, block binary")
+    sent = every.mapInArrow(lambda b: send_reads(b, buckets), "bucket int, block binary")
     firsts = sent.repartition("bucket").mapInArrow(find_first, f"{_KEY_SQL}, _0 binary")
     firsts = firsts.groupBy(*names).agg(F.collect_list("_0").alias("_firsts"))
     schema = every.select("_row").schema.add("kept", "string" if as_text else "binary").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
@@ -325,4 +331,4 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                 arrays = [part.column("_row"), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(n), pa.array(n - np.array(sizes, np.int64)), pa.array(spans, pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, ["_row", *made])
 
-    return every.join(firsts, names, "left").select("_row", "_text", "_marks", "_firsts").mapInArrow(finish, schema).select("_row.*", *made)
+    return every.join(firsts, names, "left").mapInArrow(finish, schema).select("_row.*", *made)
