@@ -4,8 +4,10 @@ P(grade <= k) = sigmoid(threshold[k] - score): one weight vector, shared by all
 thresholds cut it into grades. The expected grade and the tail probability P(grade >= 2) come from the same model.
 
 Features are hashed, and present or absent in a document: lower-cased words, pairs of neighbouring words, the last byte of a
-word, and whether a word repeats the one before it. Only features of enough rated documents get a weight. The model is fitted on at most MAX_LABELLED rated
-documents, chosen by a hash of their ids; scoring reads every document, whole, without a shuffle.
+word, and whether a word repeats the one before it. Only features that go with the grades get a weight: a score test against
+each cut between grades must reach LEAST_SCORE, so that a few telling words aren't lost among all words of a long text. The
+model is fitted on at most MAX_LABELLED rated documents, chosen by a hash of their ids; scoring reads every document, whole,
+without a shuffle.
 
 Defined results: null and empty texts have score 0; ratings with a null part and of unknown documents are left out; several
 ratings of a document are all used; without two distinct grades the model says the one grade (or 0) always; an
@@ -29,9 +31,9 @@ BITS = 18
 GRADES = 3
 #: A document is kept if its probability of the best grade is at least this.
 KEEP = 0.5
-#: A feature needs this share of the rated documents to get a weight; VALUE is what presence counts.
-MIN_SHARE = 0.01
-VALUE = 0.1
+#: A feature gets a weight if so many rated documents have it and its score test (chi squared, one degree of freedom) is so large.
+MIN_DOCUMENTS = 3
+LEAST_SCORE = 20.0
 
 
 def features(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,18 +66,33 @@ class Ordinal:
         row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
         heavy = self.weights[buckets] != 0
         present = np.unique(row[heavy] << BITS | buckets[heavy])
-        return np.bincount(present >> BITS, self.weights[present & ((1 << BITS) - 1)], minlength=len(rows) - 1) * VALUE
+        return np.bincount(present >> BITS, self.weights[present & ((1 << BITS) - 1)], minlength=len(rows) - 1)
 
 
-def fit(rows: list[tuple[int, np.ndarray]], grades: int = GRADES, epochs: int = 25, batch: int = 256, rate: float = 0.3, decay: float = 3e-5, seed: int = 5) -> Ordinal:
+def telling(rows: list[tuple[int, np.ndarray]], grades: int) -> np.ndarray:
+    """Whether each bucket's presence goes with grade >= k for some k."""
+    grade, n = np.array([g for g, _ in rows]), len(rows)
+    at = np.concatenate([b for _, b in rows]).astype(np.int64)
+    of = np.repeat(grade, [len(b) for _, b in rows])
+    have = np.bincount(at, minlength=1 << BITS)
+    best = np.zeros(1 << BITS)
+    for k in range(1, grades):
+        share = (grade >= k).mean()
+        spread = have * (share * (1 - share)) * (1 - have / n)
+        off = np.bincount(at[of >= k], minlength=1 << BITS) - have * share
+        best = np.maximum(best, np.where(spread > 0, off * off / np.maximum(spread, 1e-12), 0))
+    return (best >= LEAST_SCORE) & (have >= MIN_DOCUMENTS)
+
+
+def fit(rows: list[tuple[int, np.ndarray]], grades: int = GRADES, epochs: int = 60, batch: int = 256, rate: float = 0.3, decay: float = 3e-5, seed: int = 5) -> Ordinal:
     """rows: (grade, the distinct buckets of a document). Adagrad on the negative log-likelihood; thresholds stay ordered by exponential steps."""
     weights = np.zeros(1 << BITS)
     seen = np.bincount([g for g, _ in rows], minlength=grades) if rows else np.zeros(grades, int)
     if (seen > 0).sum() < 2:
         only = int(seen.argmax())
         return Ordinal(weights.astype(np.float32), np.array([-30.0 + 1e-3 * k if k < only else 30.0 + 1e-3 * k for k in range(grades - 1)]))
-    often = np.bincount(np.concatenate([b for _, b in rows]).astype(np.int64), minlength=1 << BITS) >= max(2, MIN_SHARE * len(rows))
-    rows = [(g, b[often[b]].astype(np.int64)) for g, b in rows]
+    chosen = telling(rows, grades)
+    rows = [(g, b[chosen[b]].astype(np.int64)) for g, b in rows]
     share = np.clip(np.cumsum(seen)[:-1] / len(rows), 1e-3, 1 - 1e-3)
     theta = np.log(share / (1 - share))
     steps = np.concatenate([theta[:1], np.log(np.maximum(np.diff(theta), 1e-2))])
@@ -88,12 +105,12 @@ def fit(rows: list[tuple[int, np.ndarray]], grades: int = GRADES, epochs: int =
             sizes = np.array([len(b) for _, b in part])
             at = np.concatenate([b for _, b in part])
             row = np.repeat(np.arange(len(part)), sizes)
-            score = np.bincount(row, weights[at], minlength=len(part)) * VALUE
+            score = np.bincount(row, weights[at], minlength=len(part))
             theta = np.cumsum(np.concatenate([steps[:1], np.exp(steps[1:])]))
             upper = 1 / (1 + np.exp(-np.clip(np.append(theta, 500.0)[y] - score, -500, 500)))
             lower = 1 / (1 + np.exp(-np.clip(np.insert(theta, 0, -500.0)[y] - score, -500, 500)))
             p = np.maximum(upper - lower, 1e-9)
-            gw = np.bincount(at, (1 - upper - lower)[row], minlength=1 << BITS) * (VALUE / len(part)) + decay * weights
+            gw = np.bincount(at, (1 - upper - lower)[row], minlength=1 << BITS) / len(part) + decay * weights
             d_theta = np.zeros(grades)
             np.add.at(d_theta, y, -upper * (1 - upper) / p)
             np.add.at(d_theta, y - 1, np.where(y > 0, lower * (1 - lower) / p, 0))
