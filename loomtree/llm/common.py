@@ -52,6 +52,12 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def rest_of(df: DataFrame, *made: str) -> list[str]:
+    """The columns of df but for those of these names, in any case, as Spark's names have none: an operator's own columns replace them."""
+    names = {c.lower() for c in made}
+    return [c for c in df.columns if c.lower() not in names]
+
+
 def hex_bucket(key: Column, digits: int) -> Column:
     """The first hex digits of a string's MD5 as an integer; the same in any SQL dialect."""
     return F.conv(F.substring(F.md5(key), 1, digits), 16, 10).cast("long")

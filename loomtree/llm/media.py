@@ -9,7 +9,8 @@ A sample here is SAMPLE_BYTES bytes of payload (one access unit), so that tables
 
 Defined results: null text is an empty payload; a payload is padded with zero bytes to a positive multiple of 64; equal
 texts give equal files; a file that is cut off or is no ISO media file gives a feature 'invalid' and an empty payload;
-an empty table gives no rows; other columns pass through.
+an empty table gives no rows; other columns pass through, but for names that
+the operator writes itself.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from loomtree.llm.common import pieces
+from loomtree.llm.common import pieces, rest_of
 
 ALIGN = 64
 SAMPLE_BYTES = 64
@@ -173,7 +174,7 @@ INDEX = "codec string, timescale long, duration long, n_samples long, keyframes
 
 def to_media(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs without text, with n_bytes and the media file of each text."""
-    rest = [c for c in docs.columns if c not in (text, "n_bytes", "media")]
+    rest = rest_of(docs, text, "n_bytes", "media")
     schema = T.StructType([*docs.select(*rest).schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,8 +189,8 @@ def to_media(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def index_media(files: DataFrame, media: str = "media") -> DataFrame:
     """files with the columns of INDEX, read from the boxes of each file's first track."""
-    rest = [c for c in files.columns if c != media]
     extra = T._parse_datatype_string(INDEX).fields
+    rest = rest_of(files, media, *(f.name for f in extra))
     schema = T.StructType([*files.select(*rest).schema.fields, *extra])
 
     def one(data: bytes | None) -> tuple:

@@ -13,7 +13,8 @@ counts are summed in order, and rows are numbered within their cells. A source h
 BUCKETS cells however many documents it has.
 
 Defined results: null text has size 0; documents of size 0 keep their copies but take no words; a source of size 0 has target
-0; repeated rows are sampled one by one; an empty table gives no rows; other columns pass through.
+0; repeated rows are sampled one by one; an empty table gives no rows; other columns pass through, but for names that
+the operator writes itself.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtree.llm.common import WORD, hex_bucket
+from loomtree.llm.common import WORD, hex_bucket, rest_of
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -56,7 +57,7 @@ def offset(source_key: Column, seed: int) -> Column:
 def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 7) -> DataFrame:
     """docs with size, source_size, target, copies, taken: how often the mix takes each document, and its words so taken."""
     made = ["size", "source_size", "target", "copies", "taken"]
-    df = docs.select(F.struct(*[docs[c] for c in docs.columns if c not in made]).alias("row"), docs[doc_id].alias("id"), n_words(docs[text].cast("string")).alias("size"), docs[source].cast("string").alias("source"))
+    df = docs.select(F.struct(*[docs[c] for c in rest_of(docs, *made)]).alias("row"), docs[doc_id].alias("id"), n_words(docs[text].cast("string")).alias("size"), docs[source].cast("string").alias("source"))
     size_class = F.when(F.col("size") == 0, -1).otherwise(F.floor(F.log2(F.col("size").cast("double")) * 8)).cast("int")
     df = df.withColumns({
         "source_null": F.col("source").isNull(),

@@ -11,7 +11,8 @@ without a shuffle.
 
 Defined results: null and empty texts have score 0; ratings with a null part and of unknown documents are left out; several
 ratings of a document are all used; without two distinct grades the model says the one grade (or 0) always; an
-empty table gives no rows; other columns pass through.
+empty table gives no rows; other columns pass through, but for names that
+the operator writes itself.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtree.llm.common import flat_bytes, mixed, pieces, word_hashes
+from loomtree.llm.common import flat_bytes, mixed, pieces, rest_of, word_hashes
 
 MAX_LABELLED = 8192
 BITS = 18
@@ -144,7 +145,7 @@ def fit_on(docs: DataFrame, ratings: DataFrame, text: str = "text", doc_id: str
 
 def classify(docs: DataFrame, model: Ordinal, text: str = "text", keep: float = KEEP) -> DataFrame:
     """docs without text, with expected_grade, tail_prob (of the best grade) and kept."""
-    rest = [c for c in docs.columns if c not in (text, "expected_grade", "tail_prob", "kept")]
+    rest = rest_of(docs, text, "expected_grade", "tail_prob", "kept")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select(*rest).schema.add("expected_grade", "double").add("tail_prob", "double").add("kept", "boolean")
 

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtree.llm.common import SPACE
+from loomtree.llm.common import SPACE, rest_of
 
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
@@ -88,7 +88,7 @@ def quality_rules(docs: DataFrame, text: str = "text", max_lost_percent: int = M
     clean_text is the text without the lines that failed; lost_chars counts the characters of those lines.
     """
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "clean_text", "lost_chars", "kept"]
-    df = docs.select(F.struct(*[docs[c] for c in docs.columns if c not in made]).alias("_row"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("_text"))
+    df = docs.select(F.struct(*[docs[c] for c in rest_of(docs, *made)]).alias("_row"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("_text"))
     df = df.withColumn("_words", F.array_remove(F.split("_text", SPACE), "")).withColumn("_lines", F.split("_text", "\n"))
     df = df.withColumn("n_repeat_words", n_repeat_words(F.col("_words")))
     df = df.withColumn("n_words", F.size("_words").cast("long")).withColumn("word_chars", F.char_length(F.array_join("_words", "")).cast("long"))
