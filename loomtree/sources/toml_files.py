@@ -1,0 +1,46 @@
+"""TOML settings as documents: one file or text is one VARIANT; dates and times become ISO texts, a bad text NULL."""
+
+from __future__ import annotations
+
+import json
+import math
+import tomllib
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def _json(text: str | None) -> str | None:
+    def other(x: object) -> object:
+        return x.isoformat()
+
+    def finite(x: object) -> object:
+        """JSON has no NaN and no infinities: they become null."""
+        if isinstance(x, dict):
+            return {k: finite(v) for k, v in x.items()}
+        if isinstance(x, list):
+            return [finite(v) for v in x]
+        return None if isinstance(x, float) and not math.isfinite(x) else x
+
+    try:
+        return None if text is None else json.dumps(finite(tomllib.loads(text)), default=other)
+    except (tomllib.TOMLDecodeError, RecursionError):
+        return None
+
+
+@F.pandas_udf(T.StringType())
+def _as_json(text: pd.Series) -> pd.Series:
+    return pd.Series([_json(x) for x in text], dtype=object)
+
+
+def from_toml(text: Column) -> Column:
+    """The document of a TOML text column."""
+    return F.try_parse_json(_as_json(text))
+
+
+def read_toml(spark: SparkSession, path: str) -> DataFrame:
+    """(path, document), one row a file."""
+    files = spark.read.text(path, wholetext=True)
+    return files.select(F.col("_metadata.file_path").alias("path"), from_toml(F.col("value")).alias("document"))
