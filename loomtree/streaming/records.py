@@ -22,6 +22,6 @@ def valid_only(stream: DataFrame, schema: object, document: str = "document") ->
 def windowed_totals(stream: DataFrame, time: str, key: Column, pointer: str, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and sums of one number of the documents by event-time window and key; state goes with the watermark."""
     value = number(at_pointer(F.col("document"), pointer))
-    rows = stream.withWatermark(time, late).select(F.col(time), key.alias("key"), value.alias("value"))
+    rows = stream.select(F.col(time).cast("timestamp").alias(time), key.alias("key"), value.alias("value")).withWatermark(time, late)
     out = rows.groupBy(F.window(time, length), "key").agg(F.count("*").alias("n"), F.coalesce(F.sum("value"), F.lit(0.0)).alias("total"))
     return out.select(F.col("window.start").alias("start"), "key", "n", "total")
