@@ -18,7 +18,8 @@ so that a passage in a third of all documents does not meet in one task as many
 
 Defined results: null text is empty; shorter texts than SPAN keep all; a null doc_id comes first; of equal doc_ids with
 different texts, the one with the smaller text hash is earlier; rows equal in doc_id and text are one document and get the
-same result; an empty table gives no rows; other columns pass through.
+same result; an empty table gives no rows; other columns pass through, but for names that
+the operator writes itself.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtree.llm.common import flat_bytes, mixed, pieces, written
+from loomtree.llm.common import flat_bytes, mixed, pieces, rest_of, written
 
 SPAN = 100
 K = 50
@@ -98,10 +99,13 @@ def anchors(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def block(keys: np.ndarray, docs: np.ndarray, *arrays: np.ndarray) -> bytes:
-    """docs indexes keys; the block carries the keys that it needs."""
+    """docs indexes keys; the block carries the keys that it needs, equal neighbours once."""
     used, index = np.unique(docs, return_inverse=True)
-    parts = [keys[used].tobytes(), index.astype("<u4").tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)]
-    return struct.pack("<QQ", len(used), len(docs)) + zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+    own = keys[used]
+    new = np.concatenate([[True], ~same_as_last(own)]) if len(own) else np.zeros(0, bool)
+    own, index = own[new], (np.cumsum(new) - 1)[index]
+    parts = [own.tobytes(), index.astype("<u4").tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)]
+    return struct.pack("<QQ", len(own), len(docs)) + zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
 def opened(raw: bytes, *kinds: np.dtype) -> tuple[np.ndarray, ...]:
@@ -138,19 +142,35 @@ def key_array(part: pa.RecordBatch) -> np.ndarray:
     return keys
 
 
-def by_document(keys: np.ndarray, *arrays: np.ndarray) -> pa.RecordBatch:
-    """One row a document: its key and its part of each array as bytes. keys are sorted."""
-    edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
-    first = keys[edges[:-1]]
-    columns = [pa.array([a[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)], pa.binary()) for a in arrays]
-    named = [pa.array(np.ascontiguousarray(first[n])) for n in ("null", "id", "text")]
-    return pa.RecordBatch.from_arrays([*named, *columns], ["_known", "_id", "_hash", *(f"_{k}" for k in range(len(arrays)))])
+def same_as_last(keys: np.ndarray) -> np.ndarray:
+    """Whether each key but the first equals the one before it."""
+    return (keys["id"][1:] == keys["id"][:-1]) & (keys["text"][1:] == keys["text"][:-1]) & (keys["null"][1:] == keys["null"][:-1])
+
+
+def homeward(keys: np.ndarray, values: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """What a task found, as a block for each bucket of documents: rows are tasks times buckets, not documents times tasks."""
+    sent = dealt(mixed(keys["id"].astype(np.uint64) ^ keys["text"].astype(np.uint64), 23), buckets)
+    blocks = [block(keys, rows, values[rows]) for _, rows in sent]
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in sent], pa.int32()), pa.array(blocks, pa.binary())], ["bucket", "block"])
+
+
+def by_document(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[pa.RecordBatch]:
+    """Of the blocks for whole buckets of documents, one row a document: its key and its values as bytes."""
+    keys, values = gathered(batches, kind)
+    if not len(keys):
+        return
+    order = np.lexsort((keys["text"], keys["id"], keys["null"]))
+    keys, values = keys[order], values[order]
+    edges = np.flatnonzero(np.concatenate([[True], ~same_as_last(keys), [True]]))
+    first, raw, size = keys[edges[:-1]], values.tobytes(), values.itemsize
+    columns = [*(pa.array(np.ascontiguousarray(first[n])) for n in ("null", "id", "text")), pa.array([raw[i * size : j * size] for i, j in zip(edges[:-1], edges[1:], strict=True)], pa.binary())]
+    yield pa.RecordBatch.from_arrays(columns, ["_known", "_id", "_hash", "_found"])
 
 
 #: A text cell has less than 2 ** 31 bytes.
 MARK = np.dtype([("at", "<u4"), ("back", "u1"), ("ahead", "u1"), ("hot", "u1")])
 FIRST = np.dtype([("at", "<i8"), ("mask", "<u8")])
-_KEY_SQL = "_known byte, _id long, _hash long"
+_FOUND = "_known byte, _id long, _hash long, _found binary"
 
 
 def send_anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -165,8 +185,8 @@ def send_anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in sent], pa.int32()), pa.array(blocks, pa.binary())], ["bucket", "block"])
 
 
-def repeated_anchors(batches: Iterator[pa.RecordBatch], most: int = HOT) -> Iterator[pa.RecordBatch]:
-    """Of the anchors of whole buckets, those with two or more places, by document."""
+def repeated_anchors(batches: Iterator[pa.RecordBatch], buckets: int, most: int = HOT) -> Iterator[pa.RecordBatch]:
+    """Of the anchors of whole buckets, those with two or more places, for their documents."""
     keys, high, low, at, back, ahead = gathered(batches, *ANCHOR)
     if not len(keys):
         return
@@ -183,7 +203,7 @@ def repeated_anchors(batches: Iterator[pa.RecordBatch], most: int = HOT) -> Iter
     marks = np.zeros(kept.sum(), MARK)
     marks["at"], marks["back"], marks["ahead"], marks["hot"] = at[kept], back[kept], ahead[kept], count[kept] > most
     order = np.lexsort((marks["at"], doc[kept]))
-    yield by_document(unique[doc[kept][order]], marks[order])
+    yield homeward(unique[doc[kept][order]], marks[order], buckets)
 
 
 def send_reads(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -194,7 +214,7 @@ def send_reads(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.R
             if not part.num_rows:
                 continue
             flat, offsets = flat_bytes(part.column("_text"))
-            found = [np.frombuffer(b"".join(x), MARK) for x in part.column("_marks").to_pylist()]
+            found = [np.frombuffer(x, MARK) for x in part.column("_marks").to_pylist()]
             doc = np.repeat(np.arange(len(found)), [len(x) for x in found])
             marks = np.concatenate(found) if found else np.zeros(0, MARK)
             each = np.where(marks["hot"], marks["back"].astype(np.int64) - marks["ahead"] + 1, 1)
@@ -253,8 +273,8 @@ def first_windows(group: np.ndarray, back: np.ndarray, starts: np.ndarray, text:
     return mask
 
 
-def find_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the reads of whole buckets, by document, the windows that are the first of their class."""
+def find_first(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Of the reads of whole buckets, for their documents, the windows that are the first of their class."""
     keys, reads, at = gathered(batches, READ, np.dtype("<u4"))
     if not len(keys):
         return
@@ -272,7 +292,7 @@ def find_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     some = mask != 0
     firsts = np.zeros(some.sum(), FIRST)
     firsts["at"], firsts["mask"] = at[some], mask[some]
-    yield by_document(keys[some], firsts)
+    yield homeward(keys[some], firsts, buckets)
 
 
 def removed_bytes(n: int, marks: np.ndarray, firsts: np.ndarray) -> np.ndarray:
@@ -297,19 +317,19 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     made = ["kept", "n_bytes", "n_removed", "n_spans"]
-    rest = [c for c in docs.columns if c != text and c not in made]
+    rest = rest_of(docs, text, *made)
     body = F.coalesce(docs[text].cast("string"), F.lit(""))
     key = [docs[doc_id].isNotNull().cast("byte").alias("_known"), F.coalesce(docs[doc_id].cast("long"), F.lit(0)).alias("_id"), F.xxhash64(body).alias("_hash")]
     names = ["_known", "_id", "_hash"]
     rows = docs.select(*key, body.alias("_text"))
     sent = rows.mapInArrow(lambda b: send_anchors(b, buckets), "bucket int, block binary")
-    marks = sent.repartition("bucket").mapInArrow(lambda b: repeated_anchors(b, hot), f"{_KEY_SQL}, _0 binary")
-    marks = written(marks.groupBy(*names).agg(F.collect_list("_0").alias("_marks")), "marks")
+    marks = sent.repartition("bucket").mapInArrow(lambda b: repeated_anchors(b, buckets, hot), "bucket int, block binary")
+    marks = written(marks.repartition("bucket").mapInArrow(lambda b: by_document(b, MARK), _FOUND).withColumnRenamed("_found", "_marks"), "marks")
     # both uses of this join read all its columns, so that the texts are dealt once
     every = docs.select(*key, body.alias("_text"), F.struct(*[docs[c] for c in rest]).alias("_row")).join(marks, names, "left")
     sent = every.mapInArrow(lambda b: send_reads(b, buckets), "bucket int, block binary")
-    firsts = sent.repartition("bucket").mapInArrow(find_first, f"{_KEY_SQL}, _0 binary")
-    firsts = firsts.groupBy(*names).agg(F.collect_list("_0").alias("_firsts"))
+    firsts = sent.repartition("bucket").mapInArrow(lambda b: find_first(b, buckets), "bucket int, block binary")
+    firsts = firsts.repartition("bucket").mapInArrow(lambda b: by_document(b, FIRST), _FOUND).withColumnRenamed("_found", "_firsts")
     schema = every.select("_row").schema.add("kept", "string" if as_text else "binary").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,7 +340,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                 for k, (m, f) in enumerate(zip(part.column("_marks").to_pylist(), part.column("_firsts").to_pylist(), strict=True)):
                     data = flat[offsets[k] : offsets[k + 1]]
                     if m:
-                        gone = removed_bytes(len(data), np.frombuffer(b"".join(m), MARK), np.frombuffer(b"".join(f or []), FIRST))
+                        gone = removed_bytes(len(data), np.frombuffer(m, MARK), np.frombuffer(f or b"", FIRST))
                         spans.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
                         data = data[~gone]
                     else:
