@@ -8,6 +8,10 @@ window of one token on either side, the counts of (left, token, right) over the
 are sufficient statistics: training on them, weighted, is training on every token of every document. The trained network is
 evaluated once for each context, so that scoring is a look-up in a table of SIZE ** 3 log-probabilities.
 
+pseudo_likelihood() ends there: a word of a shape class scores as its class. token_likelihood() scores each word itself: it adds
+log P(word | class) = log(count of the word / count of its class), from the counts of all words of the corpus, joined to the words
+of the documents; that table grows with the corpus and stays distributed. Neighbours are seen as ids and classes in both.
+
 Defined results: a null or empty text has no tokens and scores 0; repeated rows all count; an empty table gives no rows;
 other columns pass through, but for names that
 the operator writes itself.
@@ -21,12 +25,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
-from loomtree.llm.common import flat_bytes, pieces, rest_of, word_hashes
+from loomtree.llm.common import flat_bytes, pieces, rest_of, word_hashes, written
 
 SIZE = 96
 SHAPES = 32
 FREQUENT = SIZE - SHAPES - 1
+#: Logarithms of counts are added as whole numbers of 1 / UNIT, so that no order of rows changes a sum.
+UNIT = 10**8
 
 
 def shapes(flat: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
@@ -42,9 +49,9 @@ def shapes(flat: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarra
     return np.searchsorted([3, 6, 10], stops - starts, side="left") * 8 + found
 
 
-def token_ids(flat: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all words with a 0 before and after each row, and the offsets of the rows in that array."""
-    words, rows, starts, stops = word_hashes(flat, offsets, lower=True)
+def token_ids(flat: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray, found: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words with a 0 before and after each row, and the offsets of the rows in that array; found: their word_hashes()."""
+    words, rows, starts, stops = found or word_hashes(flat, offsets, lower=True)
     ids = 1 + FREQUENT + shapes(flat, starts, stops)
     if len(vocabulary) and len(words):
         order = np.argsort(vocabulary)
@@ -72,8 +79,9 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(docs[text].cast("string").alias("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(docs: DataFrame, text: str = "text") -> np.ndarray:
-    top = count_words(docs, text).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+def frequent_words(docs: DataFrame, text: str = "text", counted: DataFrame | None = None) -> np.ndarray:
+    """The words that have ids; counted: the table of count_words()."""
+    top = (counted or count_words(docs, text)).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
     return np.array([r["word"] for r in top], np.int64).view(np.uint64)
 
 
@@ -129,13 +137,26 @@ def train(counts: np.ndarray, width: int = 24, hidden: int = 48, steps: int = 20
     return forward(np.arange(SIZE * SIZE))[2].astype(np.float32)
 
 
-def pseudo_likelihood(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs without text, with n_tokens, log_prob (sum over tokens) and mean_log_prob (null without tokens)."""
-    vocabulary = frequent_words(docs, text)
+def all_counts(docs: DataFrame, vocabulary: np.ndarray, text: str = "text") -> np.ndarray:
+    """counts[left * SIZE + right, token] over all documents."""
     counts = np.zeros(SIZE**3, np.int64)
     found = count_cells(docs, vocabulary, text).toArrow()  # at most SIZE ** 3 rows
     counts[np.asarray(found["cell"])] = np.asarray(found["n"])
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, train(counts.reshape(SIZE * SIZE, SIZE)).ravel()))
+    return counts.reshape(SIZE * SIZE, SIZE)
+
+
+def row_sums(ids: np.ndarray, rows: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row, its tokens and the sum of their log-probabilities."""
+    value = np.zeros(len(ids))
+    value[1:-1] = np.where(ids[1:-1] > 0, table[cells(ids)], 0)
+    n = np.diff(rows) - 2
+    return n, np.where(n > 0, np.add.reduceat(value, rows[:-1]), 0.0)
+
+
+def pseudo_likelihood(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs without text, with n_tokens, log_prob (sum over tokens, words of a shape class as their class) and mean_log_prob (null without tokens)."""
+    vocabulary = frequent_words(docs, text)
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, train(all_counts(docs, vocabulary, text)).ravel()))
     rest = rest_of(docs, text, "n_tokens", "log_prob", "mean_log_prob")
     schema = docs.select(*rest).schema.add("n_tokens", "long").add("log_prob", "double").add("mean_log_prob", "double")
 
@@ -144,11 +165,49 @@ def pseudo_likelihood(docs: DataFrame, text: str = "text") -> DataFrame:
         for batch in batches:
             for part in pieces(batch, text):
                 ids, rows = token_ids(*flat_bytes(part.column(text)), known)
-                value = np.zeros(len(ids))
-                value[1:-1] = np.where(ids[1:-1] > 0, table[cells(ids)], 0)
-                n = np.diff(rows) - 2
-                score = np.where(n > 0, np.add.reduceat(value, rows[:-1]), 0.0)
+                n, score = row_sums(ids, rows, table)
                 mean = pa.array(score / np.maximum(n, 1), mask=n == 0)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(n), pa.array(score), mean], [*rest, "n_tokens", "log_prob", "mean_log_prob"])
 
     return docs.select(*rest, docs[text].cast("string").alias(text)).mapInArrow(run, schema)
+
+
+def token_likelihood(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs without text, with n_tokens, log_prob (sum over tokens, each word with its own probability) and mean_log_prob."""
+    counted = written(count_words(docs, text), "words")
+    vocabulary = frequent_words(docs, text, counted)
+    counts = all_counts(docs, vocabulary, text)
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, train(counts).ravel(), np.log(np.maximum(counts.sum(axis=0), 1))))
+    rest = rest_of(docs, text, "n_tokens", "log_prob", "mean_log_prob")
+    rows = docs.select(F.monotonically_increasing_id().alias("_key"), F.struct(*[docs[c] for c in rest]).alias("_rest"), docs[text].cast("string").alias("_text"))
+    schema = rows.select("_key", "_rest").schema.add("_n", "long").add("_score", "double").add("_words", ArrayType(LongType())).add("_times", ArrayType(LongType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, table, classes = shared.value
+        for batch in batches:
+            for part in pieces(batch, "_text"):
+                flat, offsets = flat_bytes(part.column("_text"))
+                found = word_hashes(flat, offsets, lower=True)
+                ids, at = token_ids(flat, offsets, known, found)
+                n, score = row_sums(ids, at, table)
+                token = ids[ids > 0]
+                rare = np.flatnonzero(token > FREQUENT)
+                row = np.repeat(np.arange(len(n)), n)[rare]
+                score -= np.bincount(row, classes[token[rare]], minlength=len(n))
+                order = np.lexsort((found[0][rare], row))
+                row, words = row[order], found[0][rare][order]
+                first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (words[1:] != words[:-1])])) if len(row) else row
+                times = np.diff(np.append(first, len(row)))
+                edges = pa.array(np.searchsorted(row[first], np.arange(len(n) + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in (words[first].view(np.int64), times.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([part.column("_key"), part.column("_rest"), pa.array(n), pa.array(score), *lists], schema.names)
+
+    scored = written(rows.mapInArrow(run, schema), "scored")
+    # a word that occurs once has logarithm 0
+    own = counted.where("n > 1").select("word", F.round(F.ln("n") * UNIT).cast("long").alias("log"))
+    held = scored.select("_key", F.explode(F.arrays_zip("_words", "_times")).alias("w")).select("_key", F.col("w._words").alias("word"), F.col("w._times").alias("times"))
+    added = held.join(own, "word").groupBy("_key").agg(F.sum(F.col("times") * F.col("log")).alias("_log"))
+    total = F.col("_score") + F.coalesce(F.col("_log"), F.lit(0)) / F.lit(float(UNIT))
+    out = scored.drop("_words", "_times").join(added, "_key", "left").withColumn("_total", total)
+    mean = F.when(F.col("_n") > 0, F.col("_total") / F.col("_n"))
+    return out.select(*[F.col("_rest")[c].alias(c) for c in rest], F.col("_n").alias("n_tokens"), F.col("_total").alias("log_prob"), mean.alias("mean_log_prob"))

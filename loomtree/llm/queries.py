@@ -136,7 +136,7 @@ def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.pseudo_likelihood(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lm_score.token_likelihood(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

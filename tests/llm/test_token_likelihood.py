@@ -1,0 +1,36 @@
+"""Scores of words themselves: against a loop, and of gibberish."""
+
+import random
+from collections import Counter
+
+import numpy as np
+from helpers import WORD, docs, odd_rows, prose
+from pyspark.sql import functions as F
+
+from loomtree.llm import lm_score
+
+
+def test_each_word_has_its_own_probability(spark):
+    rows = odd_rows()
+    table = docs(spark, rows).select("doc_id", "text")
+    vocabulary = lm_score.frequent_words(table)
+    words = Counter(w.lower() for _, t in rows for w in WORD.findall(t or ""))
+    of = {w: int(lm_score.token_ids(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]), vocabulary)[0][1]) for w in words}
+    classes = Counter()
+    for w, n in words.items():
+        classes[of[w]] += n
+    plain = sorted((str(r["doc_id"]), r["n_tokens"], r["log_prob"]) for r in lm_score.pseudo_likelihood(table.withColumn("doc_id", F.concat_ws("|", "doc_id", "text"))).collect())
+    out = sorted((str(r["doc_id"]), r["n_tokens"], r["log_prob"]) for r in lm_score.token_likelihood(table.withColumn("doc_id", F.concat_ws("|", "doc_id", "text"))).collect())
+    more = {"|".join(str(x) for x in r if x is not None): sum(np.log(words[w.lower()] / classes[of[w.lower()]]) for w in WORD.findall(r[1] or "")) for r in rows}
+    assert len(out) == len(rows) and any(x < -1 for x in more.values())
+    for (i, n, got), (j, m, by_class) in zip(out, plain, strict=True):
+        assert (i, n) == (j, m) and abs(got - by_class - more[i]) < 1e-5 * (1 + abs(got))
+
+
+def test_gibberish_of_the_same_shapes_scores_lower(spark):
+    rng = random.Random(5)
+    rows = [(k, prose(rng, 80)) for k in range(60)]
+    text = rows[0][1]
+    other = WORD.sub(lambda m: "".join(rng.choice("qxzjkv") if c.isalpha() else c for c in m[0]), text)
+    out = {r["doc_id"]: r["mean_log_prob"] for r in lm_score.token_likelihood(docs(spark, [*rows, (900, other)])).collect()}
+    assert out[900] < min(out[k] for k, _ in rows) - 0.5
