@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomtree.llm.common import table, written
-from loomtree.llm.minhash import near_duplicates
+from loomtree.llm.minhash import digested, near_classes
 from loomtree.llm.mixing import mix_sources
 from loomtree.llm.packing import best_fit_packing
 from loomtree.llm.quality_rules import quality_rules
 from loomtree.llm.suffix_dedup import remove_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+KEY = ["_unknown", "_id", "_node"]
 
 
 def _documents(df: DataFrame, text: str) -> DataFrame:
@@ -29,10 +30,13 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class the document of least doc_id stays; of rows with that doc_id the one of least text."""
-    stay = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
-    return kept.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_row = 1").select(*COLUMNS)
+    """Of each class the document of least doc_id (nulls last), then of least digest of its words, stays: one row, that of least text."""
+    order = [F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.col("node")]
+    least = near_classes(docs).groupBy("root").agg(F.min(F.struct(*[c.alias(n) for c, n in zip(order, KEY, strict=True)])).alias("least"))
+    rows = digested(docs).select(*[c.alias(n) for c, n in zip(order, KEY, strict=True)], *COLUMNS)
+    once = Window.partitionBy(*KEY).orderBy("text", "lang", "source", "n_chars")
+    rows = rows.withColumn("_row", F.row_number().over(once)).where("_row = 1")
+    return rows.join(least.select("least.*"), KEY, "left_semi").select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
