@@ -40,6 +40,8 @@ K = 50
 STARTS = SPAN - K + 1  # columns at which a window can start; the anchor is at column STARTS - 1
 COLUMNS = STARTS - 1 + SPAN
 HOT = 4096
+BLOCK = 1 << 14  # reads that are built at once
+HELD = 1 << 17  # distinct reads that are held before they are sent
 _SEGMENT = 1 << 22
 _LOW = np.uint64((1 << 24) - 1)
 _BYTES = mixed(np.arange(256, dtype=np.uint64), 21)
@@ -218,26 +220,47 @@ def send_reads(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.R
             doc = np.repeat(np.arange(len(found)), [len(x) for x in found])
             marks = np.concatenate(found) if found else np.zeros(0, MARK)
             each = np.where(marks["hot"], marks["back"].astype(np.int64) - marks["ahead"] + 1, 1)
-            row = np.repeat(np.arange(len(marks)), each)
-            turn = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
-            back = marks["back"][row].astype(np.int64) - turn
-            starts = np.where(marks["hot"][row], 1, marks["back"][row].astype(np.int64) - marks["ahead"][row] + 1)
-            first = offsets[doc[row]] + marks["at"][row] - back
-            columns = np.arange(COLUMNS)[None, :]
-            cells = np.where(columns < (starts + SPAN - 1)[:, None], flat[np.minimum(first[:, None] + columns, max(len(flat) - 1, 0))] if len(flat) else 0, 0)
-            reads = np.zeros(len(row), READ)
-            reads["h"], reads["back"], reads["starts"], reads["bytes"] = rolling(flat, K)[offsets[doc[row]] + marks["at"][row]], back, starts, cells
-            hot = np.flatnonzero(marks["hot"][row])
-            if len(hot):
-                reads["h"][hot] = rolling(reads["bytes"][hot][:, :SPAN].ravel(), SPAN)[::SPAN]
-            keys = key_array(part)
-            at = marks["at"][row]
-            rank = np.lexsort((at, keys["text"][doc[row]], keys["id"][doc[row]], keys["null"][doc[row]]))
-            _, once = np.unique(reads[rank].view(f"V{READ.itemsize}"), return_index=True)
-            rows = rank[once]
-            sent = dealt(reads["h"][rows], buckets)
-            blocks = [block(keys, doc[row][rows[x]], reads[rows[x]], at[rows[x]]) for _, x in sent]
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in sent], pa.int32()), pa.array(blocks, pa.binary())], ["bucket", "block"])
+            hashes, keys, held = rolling(flat, K), key_array(part), []
+            turns = np.cumsum(each)
+            cuts = np.searchsorted(turns, np.arange(BLOCK, turns[-1] if len(turns) else 0, BLOCK))
+            for some in np.split(np.arange(len(marks)), cuts):
+                held.append(built(flat, offsets, hashes, doc[some], marks[some], each[some], keys))
+                if sum(len(x[0]) for x in held) >= HELD:
+                    yield sent_reads(keys, *merged(keys, held), buckets)
+                    held = []
+            if held:
+                yield sent_reads(keys, *merged(keys, held), buckets)
+
+
+def merged(keys: np.ndarray, held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """(document, place, read) of these, equal reads once, as the earliest of them."""
+    doc, at, reads = (np.concatenate(x) for x in zip(*held, strict=True))
+    rank = np.lexsort((at, keys["text"][doc], keys["id"][doc], keys["null"][doc]))
+    _, once = np.unique(reads[rank].view(f"V{READ.itemsize}"), return_index=True)
+    return doc[rank[once]], at[rank[once]], reads[rank[once]]
+
+
+def built(flat: np.ndarray, offsets: np.ndarray, hashes: np.ndarray, doc: np.ndarray, marks: np.ndarray, each: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct reads of some marks: of a hot one, one for each window."""
+    row = np.repeat(np.arange(len(marks)), each)
+    turn = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
+    back = marks["back"][row].astype(np.int64) - turn
+    starts = np.where(marks["hot"][row], 1, marks["back"][row].astype(np.int64) - marks["ahead"][row] + 1)
+    first = offsets[doc[row]] + marks["at"][row] - back
+    columns = np.arange(COLUMNS)[None, :]
+    cells = np.where(columns < (starts + SPAN - 1)[:, None], flat[np.minimum(first[:, None] + columns, max(len(flat) - 1, 0))] if len(flat) else 0, 0)
+    reads = np.zeros(len(row), READ)
+    reads["h"], reads["back"], reads["starts"], reads["bytes"] = hashes[offsets[doc[row]] + marks["at"][row]], back, starts, cells
+    hot = np.flatnonzero(marks["hot"][row])
+    if len(hot):
+        reads["h"][hot] = rolling(reads["bytes"][hot][:, :SPAN].ravel(), SPAN)[::SPAN]
+    return merged(keys, [(doc[row], marks["at"][row], reads)])
+
+
+def sent_reads(keys: np.ndarray, doc: np.ndarray, at: np.ndarray, reads: np.ndarray, buckets: int) -> pa.RecordBatch:
+    sent = dealt(reads["h"], buckets)
+    blocks = [block(keys, doc[x], reads[x], at[x]) for _, x in sent]
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in sent], pa.int32()), pa.array(blocks, pa.binary())], ["bucket", "block"])
 
 
 def first_windows(group: np.ndarray, back: np.ndarray, starts: np.ndarray, text: np.ndarray) -> np.ndarray:
