@@ -44,12 +44,12 @@ def merge_rows(base: DataFrame, patch: DataFrame, keys: list[str], removed: str
 
 
 def merge_patch(target: Column, patch: Column, depth: int = 3) -> Column:
-    """Merges a patch into a document, as map<string,variant>: null members delete, objects merge depth levels down."""
+    """Merges a patch into a document, as map<string,variant>: null members delete, objects merge; a patch of more than depth levels raises an error."""
     t, p = F.coalesce(as_map(target), F.map_from_entries(F.array().cast("array<struct<key:string,value:variant>>"))), as_map(patch)
 
     def merged(k: Column, x: Column) -> Column:
         if depth <= 1:
-            return x
+            return F.when(kind(x) == "object", F.when(F.raise_error(F.lit("a patch has more levels than merge_patch() merges")).isNull(), x)).otherwise(x)
         return F.when(kind(x) == "object", F.to_variant_object(merge_patch(F.try_element_at(t, k), x, depth - 1))).otherwise(x)
 
     kept = F.map_filter(t, lambda k, x: ~F.map_contains_key(p, k))

@@ -81,8 +81,8 @@ def tree_statistics(df: DataFrame, document: str, keep: list[str], max_depth: in
 
 
 def flattened(v: Column, depth: int = 4) -> Column:
-    """All elements of nested arrays, depth levels down, as one array<variant>."""
+    """All elements of nested arrays, as one array<variant>; arrays more than depth levels down raise an error."""
     items = as_array(v)
     for _ in range(depth):
         items = F.flatten(F.transform(items, lambda x: F.coalesce(as_array(x), F.array(x))))
-    return items
+    return F.transform(items, lambda x: F.when(kind(x) == "array", F.when(F.raise_error(F.lit(f"an array has more than {depth} levels of arrays")).isNull(), x)).otherwise(x))
