@@ -52,6 +52,18 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def salted_join(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame, by: str, how: str = "inner", most: int = 4096) -> DataFrame:
+    """left and right joined by key, where some keys have very many rows of left: sizes gives (key, n).
+
+    A key of more than most rows is split into parts of about as many, by a hash of the column by, and right's rows of that key are repeated for each part.
+    """
+    split = sizes.where(F.col("n") > most).select(key, F.ceil(F.col("n") / most).cast("int").alias("_parts"))
+    part = F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts")).cast("int"), F.lit(0))
+    parts = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))
+    left, right = left.join(split, key, "left").withColumn("_part", part), right.join(split, key, "left").withColumn("_part", parts)
+    return left.drop("_parts").join(right.drop("_parts"), [key, "_part"], how).drop("_part")
+
+
 def rest_of(df: DataFrame, *made: str) -> list[str]:
     """The columns of df but for those of these names, in any case, as Spark's names have none: an operator's own columns replace them."""
     names = {c.lower() for c in made}

@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -60,27 +61,15 @@ def runs(gone: list[bool]) -> int:
     return sum(x and not (k and gone[k - 1]) for k, x in enumerate(gone))
 
 
-def shingle_similarity(a: str, b: str, n: int = 5) -> float:
-    """Common subsequence of five-word shingles (occurrences apart) over all that are in either."""
-
-    def elements(text: str) -> list[tuple]:
-        words = WORD.findall(text)
-        found = [tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))] if words else []
-        seen: Counter = Counter()
-        out = []
-        for x in found:
-            out.append((x, seen[x]))
-            seen[x] += 1
-        return out
-
-    x, y = elements(a), elements(b)
-    if not x or not y:
+def word_similarity(a: str, b: str) -> float:
+    """Words matched in order by the best alignment, over all words of either; the whole table, row by row."""
+    number: dict[str, int] = {}
+    x, y = (np.array([number.setdefault(w, len(number)) for w in WORD.findall(t)], int) for t in (a, b))
+    if not len(x) or not len(y):
         return float(len(x) == len(y))
-    row = [0] * (len(y) + 1)
+    row = np.zeros(len(y) + 1, int)
     for u in x:
-        last = 0
-        for k, v in enumerate(y, 1):
-            last, row[k] = row[k], last + 1 if u == v else max(row[k], row[k - 1])
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (y == u)))
     return row[-1] / (len(x) + len(y) - row[-1])
 
 
