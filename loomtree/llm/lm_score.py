@@ -1,20 +1,20 @@
 """Masked pseudo-likelihood: each token's log-probability given its neighbours on both sides, summed over a document.
 
-Tokens are the corpus's most frequent lower-cased words, each its own id, and shape classes for all other words (by length
+Tokens are lower-cased words. The WORDS most frequent words of the corpus have ids of their own, all others the id of their shape (by length
 and by kinds of bytes); id 0 stands before the first and after the last. Frequencies are counted over all documents.
 
-The network has separate embeddings for the left and the right neighbour, one tanh layer and a softmax over all ids. With a
-window of one token on either side, the counts of (left, token, right) over the whole corpus, at most SIZE ** 3 cells,
-are sufficient statistics: training on them, weighted, is training on every token of every document. The trained network is
-evaluated once for each context, so that scoring is a look-up in a table of SIZE ** 3 log-probabilities.
+The network sees REACH tokens on either side: an embedding for each id and place, one tanh layer, and a softmax in two steps, first over
+groups of GROUP ids of like frequency, then over the ids of the group, so that a token costs 2 * 64 outputs and not 4,096. It is trained on
+every token of every document, in rounds: each task starts from the shared weights, goes once through its documents of the round by
+Adagrad steps, and gives its change of the weights; the changes, weighted by tokens, are averaged in two shuffles of pieces of the weights, and
+the mean (1.6 MB, whatever the corpus) begins the next round. The first round is a sixteenth of the documents, by a hash of the text, the last three quarters.
 
-pseudo_likelihood() ends there: a word of a shape class scores as its class. token_likelihood() scores each word itself: it adds
-log P(word | class) = log(count of the word / count of its class), from the counts of all words of the corpus, joined to the words
-of the documents; that table grows with the corpus and stays distributed. Neighbours are seen as ids and classes in both.
+A word without an id of its own scores as its shape given the neighbours times its own share of the shape: log(count of the word / count
+of the shape), from the counts of all words, joined to the words of the documents. That table grows with the corpus and stays distributed.
 
-Defined results: a null or empty text has no tokens and scores 0; repeated rows all count; an empty table gives no rows;
-other columns pass through, but for names that
-the operator writes itself.
+Defined results: a null or empty text has no tokens, scores 0 and has no mean; repeated rows all count; an empty table gives no rows; other
+columns pass through, but for names that the operator writes itself. A run on the same files and partitions repeats; other partitions train on
+other orders, and move scores slightly.
 """
 
 from __future__ import annotations
@@ -23,18 +23,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from loomtree.llm.common import flat_bytes, pieces, rest_of, word_hashes, written
+from loomtree.llm.common import dropped, flat_bytes, pieces, rest_of, word_hashes, written
 
-SIZE = 96
+GROUP = 64
+SIZE = GROUP * GROUP
 SHAPES = 32
-FREQUENT = SIZE - SHAPES - 1
+WORDS = SIZE - SHAPES - 1
+REACH = 2
+WIDTH = 16
+HIDDEN = 32
+STEP = 4096
+RATE = 0.15
+#: Documents whose hash modulo the last number lies below each number and not below the one before make a round.
+ROUNDS = (1, 4, 16)
+#: The weights travel in so many pieces, and are added up in so many parts first.
+CHUNKS = 16
+PARTS = 32
 #: Logarithms of counts are added as whole numbers of 1 / UNIT, so that no order of rows changes a sum.
 UNIT = 10**8
 
+Weights = dict[str, np.ndarray]
+
 
 def shapes(flat: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     """0 to SHAPES - 1 for each word: its length in four classes, by digits, other ASCII marks and bytes beyond ASCII."""
@@ -50,150 +64,232 @@ def shapes(flat: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarra
 
 
 def token_ids(flat: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray, found: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all words with a 0 before and after each row, and the offsets of the rows in that array; found: their word_hashes()."""
+    """Ids of all words with REACH zeros before and after each row, and the offsets of the rows in that array; found: their word_hashes()."""
     words, rows, starts, stops = found or word_hashes(flat, offsets, lower=True)
-    ids = 1 + FREQUENT + shapes(flat, starts, stops)
+    ids = 1 + WORDS + shapes(flat, starts, stops)
     if len(vocabulary) and len(words):
         order = np.argsort(vocabulary)
         at = order[np.minimum(np.searchsorted(vocabulary, words, sorter=order), len(vocabulary) - 1)]
         ids = np.where(vocabulary[at] == words, 1 + at, ids)
     counts = np.diff(rows)
-    out = np.zeros(len(ids) + 2 * len(counts), np.int64)
-    out[np.arange(len(ids)) + 2 * np.repeat(np.arange(len(counts)), counts) + 1] = ids
-    return out, rows + 2 * np.arange(len(rows))
+    out = np.zeros(len(ids) + 2 * REACH * len(counts), np.int32)
+    out[np.arange(len(ids)) + REACH * (2 * np.repeat(np.arange(len(counts)), counts) + 1)] = ids
+    return out, rows + 2 * REACH * np.arange(len(rows))
 
 
-def cells(ids: np.ndarray) -> np.ndarray:
-    """The cell of each inner position: ((left * SIZE) + right) * SIZE + token. Positions at a row's edge have token 0."""
-    return (ids[:-2] * SIZE + ids[2:]) * SIZE + ids[1:-1]
+def neighbours(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The ids around each of the places at: 2 * REACH columns."""
+    return np.stack([ids[at + d] for d in (*range(-REACH, 0), *range(1, REACH + 1))], axis=1)
 
 
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(word, n): the hash of each lower-cased word of the corpus and how often it occurs; summed in tasks first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, counts = np.unique(np.concatenate([word_hashes(*flat_bytes(p.column(0)), lower=True)[0] for p in pieces(batch, "text")] or [np.zeros(0, np.uint64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts.astype(np.int64))], ["word", "n"])
-
-    return docs.select(docs[text].cast("string").alias("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def frequent_words(docs: DataFrame, text: str = "text", counted: DataFrame | None = None) -> np.ndarray:
-    """The words that have ids; counted: the table of count_words()."""
-    top = (counted or count_words(docs, text)).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
-    return np.array([r["word"] for r in top], np.int64).view(np.uint64)
-
-
-def count_cells(docs: DataFrame, vocabulary: np.ndarray, text: str = "text") -> DataFrame:
-    """(cell, n) over all documents; each task adds up its own cells first."""
+    """(word, shape, n): the hash of each lower-cased word of the corpus and how often it occurs; summed in tasks first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SIZE**3, np.int64)
         for batch in batches:
+            words, kinds = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for part in pieces(batch, "text"):
-                ids, _ = token_ids(*flat_bytes(part.column(0)), vocabulary)
-                at = cells(ids)[ids[1:-1] > 0]
-                total += np.bincount(at, minlength=SIZE**3)
-        full = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(total[full])], ["cell", "n"])
-
-    return docs.select(docs[text].cast("string").alias("text")).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-
-
-def train(counts: np.ndarray, width: int = 24, hidden: int = 48, steps: int = 200, rate: float = 0.02, seed: int = 3) -> np.ndarray:
-    """Fits the network to counts[left * SIZE + right, token] by Adam; returns log-probabilities of the same shape."""
+                flat, offsets = flat_bytes(part.column(0))
+                found, _, starts, stops = word_hashes(flat, offsets, lower=True)
+                words.append(found)
+                kinds.append(shapes(flat, starts, stops))
+            found, first, counts = np.unique(np.concatenate(words), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.concatenate(kinds)[first]), pa.array(counts.astype(np.int64))], ["word", "shape", "n"])
+
+    found = docs.select(docs[text].cast("string").alias("text")).mapInArrow(run, "word long, shape long, n long")
+    return found.groupBy("word").agg(F.min("shape").alias("shape"), F.sum("n").alias("n"))
+
+
+def frequent_words(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The words that have ids, of the table of count_words(), and how often each id occurs (at most SIZE rows come here)."""
+    top = counted.orderBy(F.desc("n"), "word").limit(WORDS).collect()
+    counts = np.zeros(SIZE, np.int64)
+    counts[1 : len(top) + 1] = [r["n"] for r in top]
+    shaped = np.zeros(SHAPES, np.int64)
+    for r in counted.groupBy("shape").agg(F.sum("n").alias("n")).collect():
+        shaped[r["shape"]] = r["n"]
+    for r in top:
+        shaped[r["shape"]] -= r["n"]
+    counts[1 + WORDS : 1 + WORDS + SHAPES] = shaped
+    return np.array([r["word"] for r in top], np.int64).view(np.uint64), counts
+
+
+def fresh(counts: np.ndarray, seed: int = 3) -> Weights:
+    """Weights that give each id its share of the counts, whatever its neighbours."""
     rng = np.random.default_rng(seed)
-    shapes_ = {"left": (SIZE, width), "right": (SIZE, width), "a": (2 * width, hidden), "b": (hidden,), "c": (hidden, SIZE), "d": (SIZE,)}
-    p = {k: (rng.standard_normal(s) * 0.1 if len(s) > 1 else np.zeros(s)).astype(np.float32) for k, s in shapes_.items()}
-    total = counts.sum()
-    if total:
-        p["d"] = np.log(counts.sum(axis=0) / total + 1e-6).astype(np.float32)
-    left, right = np.divmod(np.arange(SIZE * SIZE), SIZE)
-    live = np.flatnonzero(counts.sum(axis=1))
-    share = (counts[live] / max(total, 1)).astype(np.float32)
-    mass = share.sum(axis=1, keepdims=True)
-    m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-
-    def forward(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x = np.concatenate([p["left"][left[at]], p["right"][right[at]]], axis=1)
-        h = np.tanh(x @ p["a"] + p["b"])
-        z = h @ p["c"] + p["d"]
-        z -= z.max(axis=1, keepdims=True)
-        return x, h, z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-
-    for t in range(1, steps + 1 if len(live) else 0):
-        x, h, logp = forward(live)
-        dz = np.exp(logp) * mass - share
-        dh = (dz @ p["c"].T) * (1 - h * h)
-        dx = dh @ p["a"].T
-        g = {"c": h.T @ dz, "d": dz.sum(axis=0), "a": x.T @ dh, "b": dh.sum(axis=0), "left": np.zeros_like(p["left"]), "right": np.zeros_like(p["right"])}
-        np.add.at(g["left"], left[live], dx[:, :width])
-        np.add.at(g["right"], right[live], dx[:, width:])
-        for k in p:
-            m[k] = 0.9 * m[k] + 0.1 * g[k]
-            v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
-            p[k] -= rate * (1 - t / (steps + 1)) * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-10)
-    return forward(np.arange(SIZE * SIZE))[2].astype(np.float32)
-
-
-def all_counts(docs: DataFrame, vocabulary: np.ndarray, text: str = "text") -> np.ndarray:
-    """counts[left * SIZE + right, token] over all documents."""
-    counts = np.zeros(SIZE**3, np.int64)
-    found = count_cells(docs, vocabulary, text).toArrow()  # at most SIZE ** 3 rows
-    counts[np.asarray(found["cell"])] = np.asarray(found["n"])
-    return counts.reshape(SIZE * SIZE, SIZE)
-
-
-def row_sums(ids: np.ndarray, rows: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each row, its tokens and the sum of their log-probabilities."""
-    value = np.zeros(len(ids))
-    value[1:-1] = np.where(ids[1:-1] > 0, table[cells(ids)], 0)
-    n = np.diff(rows) - 2
-    return n, np.where(n > 0, np.add.reduceat(value, rows[:-1]), 0.0)
-
-
-def pseudo_likelihood(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs without text, with n_tokens, log_prob (sum over tokens, words of a shape class as their class) and mean_log_prob (null without tokens)."""
-    vocabulary = frequent_words(docs, text)
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, train(all_counts(docs, vocabulary, text)).ravel()))
-    rest = rest_of(docs, text, "n_tokens", "log_prob", "mean_log_prob")
-    schema = docs.select(*rest).schema.add("n_tokens", "long").add("log_prob", "double").add("mean_log_prob", "double")
+    share = np.maximum(counts, 0.1).reshape(GROUP, GROUP)
+    return {
+        "places": (rng.standard_normal((2 * REACH, SIZE, WIDTH)) * 0.2).astype(np.float32),
+        "inner": (rng.standard_normal((2 * REACH * WIDTH, HIDDEN)) * 0.15).astype(np.float32),
+        "shift": np.zeros(HIDDEN, np.float32),
+        "group": np.zeros((HIDDEN, GROUP), np.float32),
+        "group_bias": np.log(share.sum(axis=1) / share.sum()).astype(np.float32),
+        "word": np.zeros((GROUP, HIDDEN, GROUP), np.float32),
+        "word_bias": np.log(share / share.sum(axis=1, keepdims=True)).astype(np.float32),
+    }
+
+
+def _log_softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(axis=1, keepdims=True)
+    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    return z
+
+
+def _runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of a sorted array and where each begins."""
+    first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(sorted_) else np.zeros(0, np.int64)
+    return sorted_[first], first
+
+
+def forward(w: Weights, around: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """For tokens sorted by group: embeddings, hidden values, log-probabilities of groups and of the ids in each token's group, and the runs of groups."""
+    x = np.concatenate([w["places"][k][around[:, k]] for k in range(2 * REACH)], axis=1)
+    h = np.tanh(x @ w["inner"] + w["shift"])
+    groups = _log_softmax(h @ w["group"] + w["group_bias"])
+    within = np.empty((len(token), GROUP), h.dtype)
+    which, first = _runs(token // GROUP)
+    runs = list(zip(which.tolist(), first.tolist(), [*first[1:].tolist(), len(token)], strict=True))
+    for g, a, b in runs:
+        within[a:b] = h[a:b] @ w["word"][g] + w["word_bias"][g]
+    return x, h, groups, _log_softmax(within), runs
+
+
+def log_probabilities(w: Weights, ids: np.ndarray) -> np.ndarray:
+    """Of each place of ids; 0 at the edges of rows."""
+    out = np.zeros(len(ids))
+    every = np.flatnonzero(ids)
+    for k in range(0, len(every), STEP):
+        at = every[k : k + STEP]
+        at = at[np.argsort(ids[at] // GROUP, kind="stable")]
+        token = ids[at]
+        _, _, groups, within, _ = forward(w, neighbours(ids, at), token)
+        row = np.arange(len(at))
+        out[at] = groups[row, token // GROUP] + within[row, token % GROUP]
+    return out
+
+
+def train_step(w: Weights, seen: Weights, ids: np.ndarray, at: np.ndarray, rate: float = RATE) -> None:
+    """One Adagrad step on the tokens at these places; seen holds the sums of squared gradients."""
+    at = at[np.argsort(ids[at] // GROUP, kind="stable")]
+    token, around = ids[at], neighbours(ids, at)
+    x, h, groups, within, runs = forward(w, around, token)
+    row = np.arange(len(at))
+    dg, dw = np.exp(groups), np.exp(within)
+    dg[row, token // GROUP] -= 1
+    dw[row, token % GROUP] -= 1
+    dh = dg @ w["group"].T
+    for g, a, b in runs:
+        dh[a:b] += dw[a:b] @ w["word"][g].T
+
+    def move(name: str, key: int | tuple | np.ndarray | slice, gradient: np.ndarray) -> None:
+        total = seen[name][key] + gradient * gradient
+        seen[name][key] = total
+        w[name][key] -= rate * gradient / np.sqrt(total)
+
+    dz = dh * (1 - h * h)
+    dx = dz @ w["inner"].T
+    for g, a, b in runs:
+        move("word", g, h[a:b].T @ dw[a:b])
+        move("word_bias", g, dw[a:b].sum(axis=0))
+    every = slice(None)
+    move("group", every, h.T @ dg)
+    move("group_bias", every, dg.sum(axis=0))
+    move("inner", every, x.T @ dz)
+    move("shift", every, dz.sum(axis=0))
+    for k in range(2 * REACH):
+        order = np.argsort(around[:, k], kind="stable")
+        rows, first = _runs(around[order, k])
+        move("places", (k, rows), np.add.reduceat(dx[order, k * WIDTH : (k + 1) * WIDTH], first, axis=0))
+
+
+def _flat(w: Weights) -> np.ndarray:
+    return np.concatenate([w[k].ravel() for k in sorted(w)])
+
+
+def _shaped(flat: np.ndarray, like: Weights) -> Weights:
+    out, at = {}, 0
+    for k in sorted(like):
+        out[k] = flat[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
+        at += like[k].size
+    return out
+
+
+_CHANGE = "chunk int, part int, tokens long, change binary"
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Changes of equal chunk and part, each times its tokens, added up; held are a few chunks of the weights."""
+    total: dict[tuple[int, int], list] = {}
+    for batch in batches:
+        for chunk, part, n, raw in zip(*(batch.column(c).to_pylist() for c in ("chunk", "part", "tokens", "change")), strict=True):
+            at = total.setdefault((chunk, part), [0, 0.0])
+            at[0], at[1] = at[0] + n, at[1] + np.frombuffer(raw, np.float64)
+    rows = [(c, p, n, x.tobytes()) for (c, p), (n, x) in sorted(total.items())]
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
+    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["chunk", "part", "tokens", "change"])
+
+
+def train_round(texts: DataFrame, vocabulary: np.ndarray, w: Weights) -> Weights:
+    """The weights after one pass of every task over its rows of texts (one column), averaged by tokens."""
+    context = texts.sparkSession.sparkContext
+    shared = context.broadcast((vocabulary, w))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, table = shared.value
+        known, start = shared.value
+        mine, tokens = {k: x.copy() for k, x in start.items()}, 0
+        seen = {k: np.ones_like(x) for k, x in start.items()}
         for batch in batches:
-            for part in pieces(batch, text):
-                ids, rows = token_ids(*flat_bytes(part.column(text)), known)
-                n, score = row_sums(ids, rows, table)
-                mean = pa.array(score / np.maximum(n, 1), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(n), pa.array(score), mean], [*rest, "n_tokens", "log_prob", "mean_log_prob"])
-
-    return docs.select(*rest, docs[text].cast("string").alias(text)).mapInArrow(run, schema)
+            for part in pieces(batch, "text"):
+                ids, _ = token_ids(*flat_bytes(part.column("text")), known)
+                every = np.flatnonzero(ids)
+                for k in range(0, len(every), STEP):
+                    train_step(mine, seen, ids, every[k : k + STEP])
+                tokens += len(every)
+        if tokens:
+            change = np.array_split((_flat(mine) - _flat(start)).astype(np.float16).astype(np.float64) * tokens, CHUNKS)
+            part = TaskContext.get().partitionId() % PARTS
+            made = [pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.array([part] * CHUNKS, pa.int32()), pa.array([tokens] * CHUNKS, pa.int64()), pa.array([c.tobytes() for c in change], pa.binary())]
+            yield pa.RecordBatch.from_arrays(made, ["chunk", "part", "tokens", "change"])
+
+    parts = texts.mapInArrow(run, _CHANGE).repartition("chunk", "part").mapInArrow(_added, _CHANGE)
+    whole = parts.select("chunk", F.lit(0).alias("part"), "tokens", "change").repartition("chunk").mapInArrow(_added, _CHANGE)
+    rows = sorted(whole.collect(), key=lambda r: r["chunk"])  # CHUNKS rows, the weights once
+    shared.destroy()
+    return _shaped(_flat(w) + np.concatenate([np.frombuffer(r["change"], np.float64) / r["tokens"] for r in rows]), w) if rows else w
+
+
+def train(docs: DataFrame, vocabulary: np.ndarray, counts: np.ndarray, text: str = "text") -> Weights:
+    """The network after all rounds: every document is in one."""
+    texts = docs.select(docs[text].cast("string").alias("text")).where("text <> ''")
+    turn, w, below = F.pmod(F.xxhash64("text"), F.lit(ROUNDS[-1])), fresh(counts), 0
+    for above in ROUNDS:
+        w, below = train_round(texts.where((turn >= below) & (turn < above)), vocabulary, w), above
+    return w
 
 
-def token_likelihood(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs without text, with n_tokens, log_prob (sum over tokens, each word with its own probability) and mean_log_prob."""
+def pseudo_likelihood(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs without text, with n_tokens, log_prob (sum over tokens, each word with its own probability) and mean_log_prob (null without tokens)."""
+    spark = docs.sparkSession
     counted = written(count_words(docs, text), "words")
-    vocabulary = frequent_words(docs, text, counted)
-    counts = all_counts(docs, vocabulary, text)
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, train(counts).ravel(), np.log(np.maximum(counts.sum(axis=0), 1))))
+    vocabulary, counts = frequent_words(counted)
+    shared = spark.sparkContext.broadcast((vocabulary, train(docs, vocabulary, counts, text), np.log(np.maximum(counts, 1))))
     rest = rest_of(docs, text, "n_tokens", "log_prob", "mean_log_prob")
     rows = docs.select(F.monotonically_increasing_id().alias("_key"), F.struct(*[docs[c] for c in rest]).alias("_rest"), docs[text].cast("string").alias("_text"))
     schema = rows.select("_key", "_rest").schema.add("_n", "long").add("_score", "double").add("_words", ArrayType(LongType())).add("_times", ArrayType(LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, table, classes = shared.value
+        known, weights, classes = shared.value
         for batch in batches:
             for part in pieces(batch, "_text"):
                 flat, offsets = flat_bytes(part.column("_text"))
                 found = word_hashes(flat, offsets, lower=True)
                 ids, at = token_ids(flat, offsets, known, found)
-                n, score = row_sums(ids, at, table)
+                n, value = np.diff(at) - 2 * REACH, log_probabilities(weights, ids)
+                score = np.add.reduceat(value, at[:-1]) if len(n) else np.zeros(0)
                 token = ids[ids > 0]
-                rare = np.flatnonzero(token > FREQUENT)
+                rare = np.flatnonzero(token > WORDS)
                 row = np.repeat(np.arange(len(n)), n)[rare]
-                score -= np.bincount(row, classes[token[rare]], minlength=len(n))
+                score = score - np.bincount(row, classes[token[rare]], minlength=len(n))
                 order = np.lexsort((found[0][rare], row))
                 row, words = row[order], found[0][rare][order]
                 first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (words[1:] != words[:-1])])) if len(row) else row
@@ -207,6 +303,8 @@ def token_likelihood(docs: DataFrame, text: str = "text") -> DataFrame:
     own = counted.where("n > 1").select("word", F.round(F.ln("n") * UNIT).cast("long").alias("log"))
     held = scored.select("_key", F.explode(F.arrays_zip("_words", "_times")).alias("w")).select("_key", F.col("w._words").alias("word"), F.col("w._times").alias("times"))
     added = held.join(own, "word").groupBy("_key").agg(F.sum(F.col("times") * F.col("log")).alias("_log"))
+    added = written(added, "added")
+    dropped(spark, counted)
     total = F.col("_score") + F.coalesce(F.col("_log"), F.lit(0)) / F.lit(float(UNIT))
     out = scored.drop("_words", "_times").join(added, "_key", "left").withColumn("_total", total)
     mean = F.when(F.col("_n") > 0, F.col("_total") / F.col("_n"))

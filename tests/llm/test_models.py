@@ -7,7 +7,7 @@ import pytest
 from helpers import docs, odd_rows
 from pyspark.sql import functions as F
 
-from loomtree.llm import lm_score, quality_classifier
+from loomtree.llm import quality_classifier
 from loomtree.llm.queries import GRADE
 
 DATA = "/root/testdata/sf0.01"
@@ -74,52 +74,3 @@ def test_same_text_same_score_and_reruns_agree(spark, rated):
     rows = docs(spark, odd_rows())
     first, second = (sorted(map(str, quality_classifier.classify(rows.repartition(n), quality_classifier.fit_on(table.repartition(n), labels)).collect())) for n in (1, 5))
     assert first == second
-
-
-def scored(text, vocabulary, table):
-    """Token by token."""
-    flat = np.frombuffer(text.encode(), np.uint8)
-    ids = lm_score.token_ids(flat, np.array([0, len(flat)]), vocabulary)[0].tolist()
-    n = lm_score.SIZE
-    return sum(float(table[ids[k - 1] * n + ids[k + 1], ids[k]]) for k in range(1, len(ids) - 1))
-
-
-def test_scores_against_a_loop(spark):
-    rows = [r for r in odd_rows() if r[1]]
-    table = docs(spark, rows)
-    vocabulary = lm_score.frequent_words(table)
-    counts = np.zeros(lm_score.SIZE**3, np.int64)
-    for r in lm_score.count_cells(table, vocabulary).collect():
-        counts[r["cell"]] = r["n"]
-    tokens = sum(len(lm_score.token_ids(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), vocabulary)[0]) - 2 for _, t in rows)
-    assert counts.sum() == tokens
-    logp = lm_score.train(counts.reshape(-1, lm_score.SIZE))
-    assert np.allclose(np.exp(logp).sum(axis=1), 1, atol=1e-3)
-    out = lm_score.pseudo_likelihood(table.select("doc_id", "n_chars", "text")).collect()
-    want = sorted((str(i), scored(t, vocabulary, logp)) for i, t in rows)
-    for (i, got), (j, exact) in zip(sorted((str(r["doc_id"]), r["log_prob"]) for r in out), want, strict=True):
-        assert i == j and abs(got - exact) < 1e-4 * (1 + abs(exact))
-
-
-def test_training_lowers_the_loss_towards_the_counts():
-    rng = np.random.default_rng(0)
-    n = lm_score.SIZE
-    counts = np.zeros((n * n, n), np.int64)
-    for _ in range(4000):
-        a, b = rng.integers(0, 6, 2)
-        counts[a * n + b, (a + b) % 6] += 1
-    logp = lm_score.train(counts)
-    mean = (counts * logp).sum() / counts.sum()
-    alone = counts.sum(axis=0) / counts.sum()
-    assert mean > (counts.sum(axis=0)[alone > 0] * np.log(alone[alone > 0])).sum() / counts.sum() + 0.8
-
-
-def test_natural_order_scores_above_shuffled_words(spark):
-    table = spark.read.parquet(f"{DATA}/documents.parquet").where("n_chars > 400").select("doc_id", "text")
-    rng = random.Random(0)
-    rows = [(r["doc_id"], r["text"]) for r in table.orderBy("doc_id").limit(60).collect()]
-    mixed = [(i + 10**9, " ".join(rng.sample(t.split(), len(t.split())))) for i, t in rows]
-    both = spark.createDataFrame(rows + mixed, "doc_id long, text string")
-    out = {r["doc_id"]: r["mean_log_prob"] for r in lm_score.pseudo_likelihood(table.unionByName(both.where("doc_id >= 1000000000"))).collect()}
-    better = sum(out[i] > out[i + 10**9] for i, _ in rows)
-    assert better >= 0.8 * len(rows)
