@@ -1,15 +1,16 @@
 """Packing pieces into sequences: exact complements by hashing sums of lengths, then best fit for what is left.
 
 The plan needs only how many pieces there are of each length, at most `size` numbers however large the corpus. From the
-longest length down, counts are consumed in combinations that fill a sequence exactly: one piece that fills the gap, two
-whose lengths sum to it, three. What is left goes, longest first, into the tightest open gap. All steps move counts, not
-pieces, and each uses up a length or a gap, so a plan has a few thousand entries at most.
+longest length down, counts are consumed in combinations that fill a sequence exactly: one piece that fills the gap, then two
+whose lengths sum to it, from an index of the sums of pairs, then three. What is left goes, longest first, into the tightest open gap. All steps
+move counts, not pieces, and each uses up a length or a gap, so a plan has a few thousand entries at most.
 
 Every piece then gets its rank among the pieces of its length, from counts of (length, hash bucket) cells and numbers
 within cells, and the plan maps (length, rank) to a sequence and an offset. No task holds a whole length.
 
 Defined results: null text is the end id alone; a document longer than a sequence is cut so that all pieces but the first
-are full; repeated rows are packed one by one; an empty table gives no rows.
+are full; repeated rows are packed one by one; an empty table gives no rows; other columns are ignored, and pack_pieces() replaces
+columns named sequence_id and offset in any case.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtree.llm.common import hex_bucket, pieces, written
+from loomtree.llm.common import hex_bucket, pieces, rest_of, written
 from loomtree.llm.tokens import encoder, vocabulary_file
 
 SIZE = 2048
@@ -56,14 +57,29 @@ def cut_documents(docs: DataFrame, size: int = SIZE, text: str = "text", doc_id:
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
-def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[list[tuple[int, int]], int]]:
-    """Patterns and how many sequences follow each: a pattern is a list of (length, times) that sums to at most size."""
-    left = np.zeros(size + 1, np.int64)
-    for length, n in counts.items():
-        left[length] += n
-    out: list[tuple[list[tuple[int, int]], int]] = []
+Pattern = tuple[list[tuple[int, int]], int]
 
-    def take(combination: list[int]) -> bool:
+
+def pair_sums(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """An index of sums: the larger parts of all pairs of these lengths below size, by sum and longest first, and where each sum begins."""
+    row, column = np.triu_indices(len(lengths))
+    small, large = lengths[row], lengths[column]
+    total = small + large
+    inside = total < size
+    order = np.lexsort((-large[inside], total[inside]))
+    return large[inside][order], np.searchsorted(total[inside][order], np.arange(size + 1))
+
+
+def exact_fits(left: np.ndarray, size: int, most: int) -> list[Pattern]:
+    """Consumes from left the combinations that fill a sequence exactly: a head and a gap of one, two, up to most pieces.
+
+    All heads, longest first, take single complements before any takes a pair, and pairs before triples, so that the
+    short pieces that fill gaps alone aren't used up three at a time.
+    """
+    out: list[Pattern] = []
+    large, begins = pair_sums(np.flatnonzero(left), size)
+
+    def take(*combination: int) -> None:
         """Consumes a combination as often as the counts allow."""
         need: dict[int, int] = defaultdict(int)
         for x in combination:
@@ -73,33 +89,38 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[list[tuple[int,
             for x, k in need.items():
                 left[x] -= k * times
             out.append((sorted(need.items(), reverse=True), times))
-        return times > 0
-
-    def pairs(total: int) -> np.ndarray:
-        """Lengths b >= c with b + c = total, both still there."""
-        b = np.arange((total + 1) // 2, total)
-        return b[(left[b] > 0) & (left[total - b] > (2 * b == total))][::-1]
-
-    for head in range(size, 0, -1):
-        gap = size - head
-        if not left[head]:
-            continue
-        if not gap:
-            take([head])
-            continue
-        take([head, gap])
-        if left[head]:
-            for b in pairs(gap):
-                if take([head, int(b), int(gap - b)]) and not left[head]:
-                    break
-        if left[head]:
-            for d in np.flatnonzero(left[: min(head, gap - 2) + 1])[::-1] if gap > 2 else ():
-                for b in pairs(int(gap - d)):
-                    take([head, int(d), int(b), int(gap - d - b)])
-                if not left[head]:
-                    break
-    gaps: dict[int, list[tuple[list[tuple[int, int]], int]]] = defaultdict(list)
-    for length in range(size, 0, -1):
+
+    def pairs(total: int) -> list[int]:
+        found = large[begins[total] : begins[total + 1]]
+        return found[(left[found] > 0) & (left[total - found] > (2 * found == total))].tolist() if total > 1 else []
+
+    for depth in range(most + 1):
+        for head in np.flatnonzero(left)[::-1].tolist():
+            gap = size - head
+            if depth == 0 and not gap:
+                take(head)
+            elif depth == 1 and 0 < gap <= head:
+                take(head, gap)
+            elif depth == 2:
+                for b in pairs(gap):
+                    if not left[head]:
+                        break
+                    take(head, b, gap - b)
+            elif depth == 3:
+                for d in np.flatnonzero(left[: max(0, min(head, gap - 2) + 1)])[::-1].tolist():
+                    for b in pairs(gap - d):
+                        if not left[head]:
+                            break
+                        take(head, d, b, gap - d - b)
+                    if not left[head]:
+                        break
+    return out
+
+
+def best_fits(left: np.ndarray, size: int) -> list[Pattern]:
+    """Longest first, each piece goes into the tightest open gap."""
+    gaps: dict[int, list[Pattern]] = defaultdict(list)
+    for length in np.flatnonzero(left)[::-1].tolist():
         n = int(left[length])
         while n:
             fits = [g for g in gaps if g >= length]
@@ -117,7 +138,25 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[list[tuple[int,
                 n, open_ = 0, open_ - 1
             if open_ and pattern:
                 gaps[gap].append((pattern, open_))
-    return out + [x for found in gaps.values() for x in found]
+    return [x for found in gaps.values() for x in found]
+
+
+def plan(counts: dict[int, int], size: int = SIZE) -> list[Pattern]:
+    """Patterns and how many sequences follow each: a pattern is a list of (length, times) that sums to at most size.
+
+    Of the plans with complements of up to three, two, one and no pieces, all with best fit for what is left, the one of
+    fewest sequences: never more than best fit alone.
+    """
+    best: list[Pattern] = []
+    for most in (3, 2, 1, 0):
+        left = np.zeros(size + 1, np.int64)
+        for length, n in counts.items():
+            left[length] += n
+        found = exact_fits(left, size, most)
+        found += best_fits(left, size)
+        if not best or sum(n for _, n in found) < sum(n for _, n in best):
+            best = found
+    return best
 
 
 def placed(patterns: list[tuple[list[tuple[int, int]], int]], size: int = SIZE) -> dict[int, np.ndarray]:
@@ -138,7 +177,7 @@ def placed(patterns: list[tuple[list[tuple[int, int]], int]], size: int = SIZE)
 def pack_pieces(found: DataFrame, size: int = SIZE) -> DataFrame:
     """found (PIECES and any further columns, lengths from 1 to size) with sequence_id and offset."""
     spark = found.sparkSession
-    names = [c for c in found.columns if c not in ("sequence_id", "offset")]
+    names = rest_of(found, "sequence_id", "offset")
     df = found.select(*names, hex_bucket(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("piece").cast("string")), 3).alias("_bucket") % BUCKETS)
     df = df.toDF(*names, "_bucket")
     cells = df.groupBy("length", "_bucket").agg(F.count("*").alias("n"))

@@ -162,13 +162,14 @@ WITH d AS (
 ), l AS (
   SELECT k, unnest(lines) AS line FROM w
 ), judged AS (
-  SELECT k, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n, len(regexp_extract_all(line, '[#*$%&|<>]')) AS symbols, length(line) AS chars FROM l
+  SELECT k, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n, len(regexp_extract_all(line, '[#*$%&|<>]')) AS symbols, length(line) AS chars,
+    NOT regexp_matches(line, '{SENTENCE}') AS open_end FROM l
 ), failed AS (
   SELECT k, line, chars, n > 0 AND (
-    (n < 6 AND NOT regexp_matches(line, '[.!?:;,…。！？](\s|["'')\]»”’]|$)')) OR symbols * 100 > chars * 8
-    OR (n < 12 AND regexp_matches(line, '(?i)\b(home|log ?in|sign ?in|sign ?up|register|menu|sitemap|next page|previous page|read more|click here|back to top|contact us|about us|skip to content)\b'))
-    OR len(regexp_extract_all(line, '\s[|»›·>/•]\s?')) >= 3
-    OR (n <= 40 AND regexp_matches(line, '(?i)(all rights reserved|copyright \d|\(c\) \d{4}|©|cookie|privacy policy|terms of (use|service)|enable javascript|subscribe to our|newsletter|lorem ipsum|licensed under|permission is hereby granted|share (this|on) )'))
+    symbols * 100 > chars * 8 OR len(regexp_extract_all(line, '{SEPARATOR}')) >= 3
+    OR (n < 6 AND NOT regexp_matches(line, '{STOP}'))
+    OR (n < 12 AND open_end AND (regexp_matches(line, '{NAVIGATION}') OR regexp_matches(line, '{LINKS}')))
+    OR (n <= 40 AND (regexp_matches(line, '{BOILERPLATE}') OR regexp_matches(line, '{SITE}')))
   ) AS fails, n > 0 AS worded FROM judged
 ), lines AS (
   SELECT k, CAST(coalesce(sum(chars) FILTER (WHERE fails), 0) AS BIGINT) AS lost_chars, CAST(sum(chars) AS BIGINT) AS chars,
@@ -182,6 +183,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND lost_chars * 100 <= chars * 50 AS kept
 FROM every
 """
+for _name in ("SENTENCE", "SEPARATOR", "STOP", "NAVIGATION", "LINKS", "BOILERPLATE", "SITE"):
+    OP10_SQL = OP10_SQL.replace("{" + _name + "}", getattr(quality_rules, _name).replace("'", "''"))
 
 
 def queries() -> dict:

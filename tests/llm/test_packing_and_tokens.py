@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -109,8 +110,37 @@ def test_packing(spark):
     rows = odd_rows() + [(100 + k, prose(rng, rng.choice([3, 30, 30, 200, 900]))) for k in range(120)]
     out = best_fit_packing(docs(spark, rows)).collect()
     n = checked(rows, out, 2048)
-    total = sum(r["length"] for r in out)
-    assert n <= 1 + 1.05 * total / 2048
+    lengths = Counter(r["length"] for r in out)
+    assert n <= best_fit_count(lengths, 2048)
+
+
+def best_fit_count(counts, size):
+    """Plain best fit, piece by piece: longest first, each into the tightest gap."""
+    gaps = [0] * size
+    n = 0
+    for length in sorted(counts, reverse=True):
+        for _ in range(counts[length]):
+            gap = next((g for g in range(length, size) if gaps[g]), size)
+            if gap == size:
+                n += 1
+            else:
+                gaps[gap] -= 1
+            if gap > length:
+                gaps[gap - length] += 1
+    return n
+
+
+@pytest.mark.parametrize("lengths", [range(1, 2049), range(600, 1101), range(200, 1201), range(683, 2049, 7)])
+def test_never_more_sequences_than_best_fit(lengths):
+    rng = random.Random(3)
+    counts = {n: rng.randrange(1, 50) for n in lengths}
+    found = plan(counts)
+    assert sum(n for _, n in found) <= best_fit_count(counts, 2048)
+    used: dict[int, int] = {}
+    for pattern, times in found:
+        for length, each in pattern:
+            used[length] = used.get(length, 0) + each * times
+    assert used == counts
 
 
 @settings(max_examples=150, deadline=None)
@@ -124,8 +154,7 @@ def test_plan_uses_every_piece_once(counts):
         for length, each in pattern:
             used[length] = used.get(length, 0) + each * times
     assert used == counts
-    # no two sequences that are at most half full: else they were one
-    assert n <= 1 + 2 * sum(length * k for length, k in counts.items()) // 64
+    assert n <= best_fit_count(counts, 64)
 
 
 def test_exact_complements_are_found():
