@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-import zlib
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,27 +58,7 @@ FROM blocks GROUP BY conv_id
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = media.to_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    indexed = media.index_media(files.select("doc_id", "n_bytes", F.col("media").alias("stored"), "media"))
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            read = [media.digests(x) for x in batch.column("payload").to_pylist()]
-            stored = batch.column("stored").to_pylist()
-            arrays = [
-                batch.column("doc_id"),
-                batch.column("n_bytes"),
-                pa.array([x[0] for x in read], pa.int64()),
-                pa.array([x[1] for x in read], pa.string()),
-                pa.array([x[2] for x in read], pa.int64()),
-                pa.array([len(x) for x in stored], pa.int64()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in stored], pa.string()),
-                batch.column("feature"),
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in schema.split(", ")])
-
-    return indexed.select("doc_id", "n_bytes", "stored", "payload", "feature").mapInArrow(run, schema)
+    return media.media_digests(table(spark, sf_dir, "documents"))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

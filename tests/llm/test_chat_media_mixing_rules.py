@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import struct
 from collections import defaultdict
 
 import pytest
@@ -86,8 +87,8 @@ def test_media_key_ranges_point_at_payload():
     body = bytes(range(256)) * 100
     data = media.mux(body)
     track = media.index(data)[0]
-    for number, (start, length) in zip(track["sync"], media.keyframes(track), strict=True):
-        assert data[start : start + length] == body[number * 64 : (number + 1) * 64]
+    for number, key in zip(track["sync"], media.keyframes(track), strict=True):
+        assert data[key["start"] : key["start"] + key["length"]] == body[number * 64 : (number + 1) * 64] and key["time"] == number * 64
     kinds = [p[-1] for p, _, _ in media.boxes(memoryview(data))]
     assert kinds[:3] == [b"ftyp", b"moov", b"mvhd"] and kinds[-1] == b"mdat"
 
@@ -99,6 +100,43 @@ def test_broken_media(spark, cut):
     assert [(r["feature"], r["payload"]) for r in row] == [("invalid", b"")] * 2
 
 
+def test_malformed_media(spark):
+    """Deep nesting, counts that the file can't hold, offsets beyond its end: no crash and no memory of the claimed size."""
+    good = media.mux(bytes(6400))
+    nested = b"".join(struct.pack(">I4s", 8 * (1500 - k), b"moov") for k in range(1500))
+    broken = [nested, b"", b"no media at all"]
+    for kind, at in ((b"stsz", 12), (b"stsz", 8), (b"stco", 8), (b"stco", 12), (b"stts", 8), (b"stts", 12), (b"stsc", 8), (b"stsc", 16), (b"stss", 8), (b"stss", 12)):
+        place = good.index(kind) - 4 + at + 4 - 4 * (kind == b"stsz" and at == 12) + 4 * (kind == b"stsz")
+        broken.append(good[:place] + b"\xff\xff\xff\x7f" + good[place + 4 :])
+    rows = [(k, bytearray(x)) for k, x in enumerate(broken)]
+    out = media.index_media(spark.createDataFrame(rows, "doc_id long, media binary")).collect()
+    assert {r["feature"] for r in out} == {"invalid"} and {r["payload"] for r in out} == {b""}
+    rng = random.Random(7)
+    for _ in range(3000):
+        data = bytearray(good)
+        for _ in range(rng.randrange(1, 4)):
+            data[rng.randrange(700)] = rng.randrange(256)
+        assert len(media.described(bytes(data))[6]) <= len(data)
+
+
+def test_all_tracks_and_fragments(spark):
+    """A file of two tracks gives both; moof boxes are named."""
+    body = bytes(range(64)) * 70
+    data = media.mux(body)
+    at = data.index(b"moov") - 4
+    size = int.from_bytes(data[at : at + 4], "big")
+    trak = data.index(b"trak") - 4
+    second = data[trak : at + size]
+    two = data[:at] + struct.pack(">I", size + len(second)) + data[at + 4 : at + size] + second + data[at + size :]
+    moved = media.index(data)[0]["chunks"]
+    for old in sorted(set(moved.tolist()), reverse=True):  # chunk offsets move by the second track
+        two = two.replace(struct.pack(">I", old), struct.pack(">I", old + len(second)))
+    rows = [(1, bytearray(two)), (2, bytearray(data + struct.pack(">I4s", 8, b"moof")))]
+    out = {r["doc_id"]: r for r in media.index_media(spark.createDataFrame(rows, "doc_id long, media binary")).collect()}
+    assert [t["n_samples"] for t in out[1]["tracks"]] == [70, 70] and out[1]["payload"] == body
+    assert out[2]["feature"].startswith("fragmented;raw") and out[2]["payload"] == body
+
+
 def targets(sizes):
     """By hand: share 150 percent by weight, cap at twice the size, share the excess again."""
     keys = sorted((k for k in sizes if k is not None)) + [None] * (None in sizes)
