@@ -1,55 +1,83 @@
 """Dynamic values: a VARIANT column holds one tree; these Columns give its kind, comparisons, order and keys.
 
-Comparisons are two-valued: a missing side, or sides of kinds that don't compare, give false.
+Comparisons are two-valued: a missing side, or sides of kinds that don't compare, give false. Integers compare as integers, all
+other numbers as doubles.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def kind(v: Column) -> Column:
-    """null, boolean, number, string, bytes, array or object; SQL NULL for a missing value."""
-    name = F.schema_of_variant(v)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def as_array(v: Column) -> Column:
+    """The elements of an array; NULL for other kinds."""
+    return F.try_variant_get(v, "$", "array<variant>")
+
+
+def as_map(v: Column) -> Column:
+    """The members of an object; NULL for other kinds."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
+def _scalar_kind(name: Column) -> Column:
     return (
-        F.when(v.isNull(), None)
-        .when(F.is_variant_null(v), "null")
-        .when(name.startswith("ARRAY"), "array")
-        .when(name.startswith("OBJECT"), "object")
+        F.when(name.isin("BIGINT", "DOUBLE", "FLOAT") | name.startswith("DECIMAL"), "number")
         .when(name == "BOOLEAN", "boolean")
         .when(name == "BINARY", "bytes")
-        .when(name.isin("BIGINT", "DOUBLE", "FLOAT") | name.startswith("DECIMAL"), "number")
-        .otherwise("string")
+        .when(name == "VOID", "null")
+        .when(name.isNotNull(), "string")
     )
 
 
-def number(v: Column) -> Column:
-    """The value of a number; NULL for every other kind, strings of digits included."""
-    return F.when(kind(v) == "number", F.try_variant_get(v, "$", "double"))
+def scalar_type(v: Column) -> Column:
+    """Spark's name of a scalar's type; NULL for containers, which are not walked, and missing values."""
+    return F.when(as_array(v).isNull() & as_map(v).isNull(), F.schema_of_variant(v))
 
 
-def string(v: Column) -> Column:
-    return F.when(kind(v) == "string", F.try_variant_get(v, "$", "string"))
+def kind(v: Column) -> Column:
+    """null, boolean, number, string, bytes, array or object; SQL NULL for a missing value."""
+    return F.when(v.isNull(), None).when(as_array(v).isNotNull(), "array").when(as_map(v).isNotNull(), "object").otherwise(let(F.schema_of_variant(v), _scalar_kind))
 
 
-def as_array(v: Column) -> Column:
-    """The elements of an array; NULL for other kinds."""
-    return F.when(kind(v) == "array", F.try_variant_get(v, "$", "array<variant>"))
+def number(v: Column) -> Column:
+    """The value of a number; NULL for every other kind, strings of digits included."""
+    return F.when(let(scalar_type(v), _scalar_kind) == "number", F.try_variant_get(v, "$", "double"))
 
 
-def as_map(v: Column) -> Column:
-    return F.when(kind(v) == "object", F.try_variant_get(v, "$", "map<string,variant>"))
+def integer(v: Column) -> Column:
+    """The value of an integer, exact; NULL for every other number and kind."""
+    return F.when(scalar_type(v) == "BIGINT", F.try_variant_get(v, "$", "bigint"))
+
+
+def string(v: Column) -> Column:
+    return F.when(let(scalar_type(v), _scalar_kind) == "string", F.try_variant_get(v, "$", "string"))
 
 
 def _sure(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
+def _facts(v: Column) -> Column:
+    return F.struct(kind(v).alias("kind"), integer(v).alias("integer"), number(v).alias("number"))
+
+
 def equal(a: Column, b: Column) -> Column:
     """Numbers compare across integer and float; all else by kind and canonical text."""
-    same = (kind(a) == kind(b)) & F.when(kind(a) == "number", number(a) == number(b)).otherwise(F.to_json(a) == F.to_json(b))
-    return _sure(a.isNotNull() & b.isNotNull() & same)
+
+    def same(x: Column, y: Column) -> Column:
+        exact = x["integer"].isNotNull() & y["integer"].isNotNull()
+        numbers = F.when(exact, x["integer"] == y["integer"]).otherwise(x["number"] == y["number"])
+        return (x["kind"] == y["kind"]) & F.when(x["kind"] == "number", numbers).otherwise(F.to_json(a) == F.to_json(b))
+
+    return _sure(let(_facts(a), lambda x: let(_facts(b), lambda y: same(x, y))))
 
 
 def unequal(a: Column, b: Column) -> Column:
@@ -59,16 +87,37 @@ def unequal(a: Column, b: Column) -> Column:
 
 def less(a: Column, b: Column) -> Column:
     """Number with number or string with string; anything else is false."""
-    return _sure(number(a) < number(b)) | _sure(string(a) < string(b))
+    exact = integer(a).isNotNull() & integer(b).isNotNull()
+    return _sure(F.when(exact, integer(a) < integer(b)).otherwise(number(a) < number(b))) | _sure(string(a) < string(b))
 
 
-def order_key(v: Column) -> Column:
-    """Sorts null < false < true < number < string < bytes < array < object; numbers and strings by value."""
+def at_most(a: Column, b: Column) -> Column:
+    """less() or equal, of numbers or of strings."""
+    return less(a, b) | (equal(a, b) & kind(a).isin("number", "string"))
+
+
+def _scalar_key(v: Column) -> Column:
+    """Sorts scalars, and containers of a kind as equals: (rank, number, integer, string). Equal numbers of both sorts are equal keys."""
     k = kind(v)
     rank = F.when(v.isNull() | (k == "null"), 0).when(k == "boolean", F.when(F.try_variant_get(v, "$", "boolean"), 2).otherwise(1))
     for place, name in enumerate(("number", "string", "bytes", "array", "object"), 3):
         rank = rank.when(k == name, place)
-    return F.struct(rank.alias("rank"), number(v).alias("number"), string(v).alias("string"))
+    exact = F.coalesce(integer(v), number(v).try_cast("bigint"))
+    return F.struct(rank.alias("rank"), number(v).alias("number"), exact.alias("integer"), string(v).alias("string"))
+
+
+def order_key(v: Column) -> Column:
+    """Sorts null < false < true < number < string < bytes < array < object; numbers and strings by value.
+
+    Arrays go by their elements and objects by their sorted names and values, one level down by value, below that by their text.
+    """
+    inside = F.transform(as_array(v), lambda x: F.struct(F.lit("").alias("name"), _scalar_key(x).alias("key"), F.to_json(x).alias("text")))
+    named = F.transform(
+        F.array_sort(F.map_keys(as_map(v))),
+        lambda k: let(F.element_at(as_map(v), k), lambda x: F.struct(k.alias("name"), _scalar_key(x).alias("key"), F.when(kind(x).isin("array", "object"), F.to_json(x)).alias("text"))),
+    )
+    inside = F.transform(inside, lambda x: F.struct(x["name"], x["key"], F.when(x["key"]["rank"] > 5, x["text"]).alias("text")))
+    return F.struct(_scalar_key(v).alias("scalar"), F.coalesce(inside, named).alias("inside"))
 
 
 def group_key(v: Column) -> Column:
@@ -89,13 +138,31 @@ def length(v: Column) -> Column:
 
 
 def sum_numbers(items: Column) -> Column:
-    """The sum of the numbers of array<variant>; other elements are ignored; 0 without any."""
+    """The sum of the numbers of array<variant> as a double; other elements are ignored; 0 without any."""
     return F.aggregate(F.transform(items, lambda x: F.coalesce(number(x), F.lit(0.0))), F.lit(0.0), lambda a, b: a + b)
 
 
+def exact_sum(items: Column) -> Column:
+    """The sum as a VARIANT: an integer, at the ends of its range if it is beyond, if all numbers are integers, else a double."""
+    wide = "decimal(38,0)"
+    whole = F.aggregate(F.transform(items, lambda x: F.coalesce(integer(x).cast(wide), F.lit(0).cast(wide))), F.lit(0).cast(wide), lambda a, b: (a + b).cast(wide))
+    ends = [F.lit(x).cast(wide) for x in (-(1 << 63), (1 << 63) - 1)]
+    mixed = F.exists(items, lambda x: number(x).isNotNull() & integer(x).isNull())
+    return F.when(mixed, sum_numbers(items).cast("variant")).otherwise(F.greatest(F.least(whole, ends[1]), ends[0]).cast("bigint").cast("variant"))
+
+
 def mean_numbers(items: Column) -> Column:
-    found = F.filter(F.transform(items, number), lambda x: x.isNotNull())
-    return F.when(F.size(found) > 0, F.aggregate(found, F.lit(0.0), lambda a, b: a + b) / F.size(found))
+    return let(F.filter(F.transform(items, number), lambda x: x.isNotNull()), lambda found: F.when(F.size(found) > 0, F.aggregate(found, F.lit(0.0), lambda a, b: a + b) / F.size(found)))
+
+
+def least_value(items: Column) -> Column:
+    """The first of the least elements in the total order: a null element wins; NULL of an empty array."""
+    return F.get(sorted_values(items), F.lit(0))
+
+
+def greatest_value(items: Column) -> Column:
+    """The last of the greatest elements in the total order; NULL of an empty array."""
+    return F.get(sorted_values(items), F.size(items) - 1)
 
 
 def sorted_values(items: Column) -> Column:

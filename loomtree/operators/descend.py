@@ -1,7 +1,7 @@
 """All values inside documents, as rows: recursive descent, located results and tree statistics over a VARIANT column.
 
-Each level explodes the containers of the level above; the levels are unrolled to max_depth, so the plan has no shuffle, no
-loop on the driver and no bound on rows, and it runs on streams as well. A document that is deeper raises an error.
+One pass a row: a fold opens the containers of the level above until there are none, and the array of all nodes is exploded
+once. There is no shuffle, no second scan and no bound on depth (beyond the parser's own), and it runs on streams as well.
 """
 
 from __future__ import annotations
@@ -10,79 +10,105 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtree.functions.paths import normal_step, pointer_step
-from loomtree.functions.values import as_array, as_map, kind
+from loomtree.functions.values import as_array, as_map, kind, let
+
+#: JSON texts nest no deeper than the parser reads.
+DEEPEST = 1000
 
 
 def entries(v: Column) -> Column:
-    """The direct parts of a container: array of (position, key, value); NULL for scalars."""
+    """The direct parts of a container: array of (position, key, value), members by name; NULL for scalars."""
     listed = F.transform(as_array(v), lambda x, i: F.struct(i.alias("position"), F.lit(None).cast("string").alias("key"), x.alias("value")))
-    named = F.transform(F.array_sort(F.map_keys(as_map(v))), lambda k, i: F.struct(i.alias("position"), k.alias("key"), F.element_at(as_map(v), k).alias("value")))
-    return F.coalesce(listed, named)
 
+    def members(m: Column) -> Column:
+        order = F.array_sort(F.transform(F.map_keys(m), lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
+        return F.transform(order, lambda e, i: F.struct(i.alias("position"), e["k"].alias("key"), F.get(F.map_values(m), e["i"]).alias("value")))
+
+    return F.coalesce(listed, let(as_map(v), members))
+
+
+def containers(v: Column) -> Column:
+    """At least as many as the levels of a document."""
+    text = F.to_json(v)
+    return F.char_length(text) - F.char_length(F.translate(text, "[{", ""))
+
+
+def nodes(v: Column, located: bool = True) -> Column:
+    """All nodes of a document, by level: array of depth, key, position, value, parts (entries, NULL for scalars), and if located path, pointer, order."""
+
+    def node(depth: Column, key: Column, position: Column, value: Column, path: Column, pointer: Column, order: Column) -> Column:
+        fields = [depth.alias("depth"), key.alias("key"), position.alias("position"), value.alias("value"), entries(value).alias("parts")]
+        return F.struct(*fields, *([path.alias("path"), pointer.alias("pointer"), order.alias("order")] if located else []))
+
+    def opened(above: Column) -> Column:
+        def below(n: Column, part: Column) -> Column:
+            where = (n["path"], n["pointer"], n["order"]) if located else (F.lit(""),) * 3
+            step = (normal_step, pointer_step)
+            return node(n["depth"] + 1, part["key"], part["position"], part["value"], *[F.concat(w, s(part["key"], part["position"])) for w, s in zip(where[:2], step, strict=True)], F.concat(where[2], F.array(part["position"])) if located else where[2])
+
+        return F.flatten(F.transform(F.filter(above, lambda n: F.size(n["parts"]) > 0), lambda n: F.transform(n["parts"], lambda part: below(n, part))))
+
+    root = node(F.lit(0), F.lit(None).cast("string"), F.lit(None).cast("int"), v, F.lit("$"), F.lit(""), F.array().cast("array<int>"))
+    start = F.struct(F.array(root).alias("all"), F.array(root).alias("last"))
+
+    def deeper(state: Column, _: Column) -> Column:
+        step = let(opened(state["last"]), lambda new: F.struct(F.concat(state["all"], new).alias("all"), new.alias("last")))
+        return F.when(F.size(state["last"]) > 0, step).otherwise(state)
+
+    levels = F.least(containers(v), F.lit(DEEPEST)) + 1
+    return F.aggregate(F.sequence(F.lit(1), levels), start, deeper, lambda state: state["all"])
 
-def descendants(df: DataFrame, document: str, keep: list[str], max_depth: int = 8) -> DataFrame:
+
+def descendants(df: DataFrame, document: str, keep: list[str]) -> DataFrame:
     """keep, depth, path, pointer, key, position, order (array, sorts in pre-order) and value of every node, the root included."""
-    root = df.select(
-        *keep,
-        F.lit(0).alias("depth"),
-        F.lit("$").alias("path"),
-        F.lit("").alias("pointer"),
-        F.lit(None).cast("string").alias("key"),
-        F.lit(None).cast("int").alias("position"),
-        F.array().cast("array<int>").alias("order"),
-        F.col(document).alias("value"),
-    )
-    levels = [root]
-    for depth in range(1, max_depth + 2):
-        above = levels[-1].select(*keep, "path", "pointer", "order", F.explode(entries(F.col("value"))).alias("part"))
-        part = {name: F.col(f"part.{name}") for name in ("key", "position", "value")}
-        value = part["value"] if depth <= max_depth else F.when(F.raise_error(F.lit(f"a document has more than {max_depth} levels")).isNull(), part["value"])
-        levels.append(
-            above.select(
-                *keep,
-                F.lit(depth).alias("depth"),
-                F.concat("path", normal_step(part["key"], part["position"])).alias("path"),
-                F.concat("pointer", pointer_step(part["key"], part["position"])).alias("pointer"),
-                part["key"].alias("key"),
-                part["position"].alias("position"),
-                F.concat("order", F.array(part["position"])).alias("order"),
-                value.alias("value"),
-            )
-        )
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out
-
-
-def named(df: DataFrame, document: str, keep: list[str], key: str, max_depth: int = 8) -> DataFrame:
-    """All members of this name at any depth."""
-    return descendants(df, document, keep, max_depth).where(F.col("key") == key)
-
-
-def leaves(df: DataFrame, document: str, keep: list[str], max_depth: int = 8) -> DataFrame:
+    found = df.where(F.col(document).isNotNull()).select(*keep, F.explode(nodes(F.col(document))).alias("_node"))
+    return found.select(*keep, *[F.col(f"_node.{c}").alias(c) for c in ("depth", "path", "pointer", "key", "position", "order", "value")])
+
+
+def _plain(df: DataFrame, document: str, keep: list[str]) -> DataFrame:
+    return df.where(F.col(document).isNotNull()).select(*keep, F.explode(nodes(F.col(document), located=False)).alias("_node"))
+
+
+def named(df: DataFrame, document: str, keep: list[str], key: str) -> DataFrame:
+    """All members of this name at any depth: keep, depth, key, value."""
+    found = F.filter(nodes(F.col(document), located=False), lambda n: n["key"] == key)
+    rows = df.select(*keep, F.explode(F.transform(found, lambda n: F.struct(n["depth"].alias("depth"), n["key"].alias("key"), n["value"].alias("value")))).alias("_node"))
+    return rows.select(*keep, "_node.*")
+
+
+def of_kind(df: DataFrame, document: str, keep: list[str], wanted: str) -> DataFrame:
+    """All nodes of a kind at any depth: keep, path, pointer, value."""
+    return descendants(df, document, keep).where(kind(F.col("value")) == wanted).select(*keep, "path", "pointer", "value")
+
+
+def leaves(df: DataFrame, document: str, keep: list[str]) -> DataFrame:
     """Scalars and empty containers, with the text of each value."""
-    nodes = descendants(df, document, keep, max_depth).withColumn("kind", kind(F.col("value")))
-    leaf = F.coalesce(F.size(entries(F.col("value"))) == 0, F.lit(True))
-    return nodes.where(leaf).select(*keep, "depth", "path", "pointer", "kind", F.to_json("value").alias("text"))
+    leaf = F.filter(nodes(F.col(document)), lambda n: F.coalesce(F.size(n["parts"]), F.lit(0)) == 0)
+    rows = df.select(*keep, F.explode(F.transform(leaf, lambda n: F.struct(*[n[c].alias(c) for c in ("depth", "path", "pointer", "value")]))).alias("_node")).select(*keep, "_node.*")
+    return rows.select(*keep, "depth", "path", "pointer", kind(F.col("value")).alias("kind"), F.to_json("value").alias("text"))
 
 
-def tree_statistics(df: DataFrame, document: str, keep: list[str], max_depth: int = 8) -> DataFrame:
-    """Of each document: nodes, greatest depth, numbers, strings, containers and longest string."""
-    nodes = descendants(df, document, keep, max_depth).withColumn("kind", kind(F.col("value")))
-    return nodes.groupBy(*keep).agg(
+def tree_statistics(df: DataFrame, document: str, keep: list[str]) -> DataFrame:
+    """Of each document: nodes, greatest depth, numbers, strings, containers, longest string, longest key and largest array."""
+    k = F.col("kind")
+    rows = _plain(df, document, keep).withColumn("kind", kind(F.col("_node.value")))
+    return rows.groupBy(*keep).agg(
         F.count("*").alias("n_nodes"),
-        F.max("depth").alias("max_depth"),
-        F.count_if(F.col("kind") == "number").alias("n_numbers"),
-        F.count_if(F.col("kind") == "string").alias("n_strings"),
-        F.count_if(F.col("kind").isin("array", "object")).alias("n_containers"),
-        F.coalesce(F.max(F.when(F.col("kind") == "string", F.char_length(F.try_variant_get("value", "$", "string")))), F.lit(0)).alias("longest_string"),
+        F.max("_node.depth").alias("max_depth"),
+        F.count_if(k == "number").alias("n_numbers"),
+        F.count_if(k == "string").alias("n_strings"),
+        F.count_if(k.isin("array", "object")).alias("n_containers"),
+        F.coalesce(F.max(F.when(k == "string", F.char_length(F.try_variant_get("_node.value", "$", "string")))), F.lit(0)).alias("longest_string"),
+        F.coalesce(F.max(F.char_length("_node.key")), F.lit(0)).alias("longest_key"),
+        F.coalesce(F.max(F.when(k == "array", F.size("_node.parts"))), F.lit(0)).alias("largest_array"),
     )
 
 
-def flattened(v: Column, depth: int = 4) -> Column:
-    """All elements of nested arrays, as one array<variant>; arrays more than depth levels down raise an error."""
-    items = as_array(v)
-    for _ in range(depth):
-        items = F.flatten(F.transform(items, lambda x: F.coalesce(as_array(x), F.array(x))))
-    return F.transform(items, lambda x: F.when(kind(x) == "array", F.when(F.raise_error(F.lit(f"an array has more than {depth} levels of arrays")).isNull(), x)).otherwise(x))
+def flattened(v: Column) -> Column:
+    """All elements of nested arrays of any depth, as one array<variant>."""
+
+    def one_level(items: Column) -> Column:
+        return F.flatten(F.transform(items, lambda x: F.coalesce(as_array(x), F.array(x))))
+
+    levels = F.least(containers(v), F.lit(DEEPEST)) + 1
+    return F.aggregate(F.sequence(F.lit(1), levels), as_array(v), lambda items, _: F.when(F.exists(items, lambda x: as_array(x).isNotNull()), one_level(items)).otherwise(items))

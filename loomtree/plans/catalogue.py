@@ -115,14 +115,14 @@ def path_union(spark, sf_dir):
 
 @query("SELECT l_orderkey AS o_orderkey, l_partkey AS part FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def path_descendant(spark, sf_dir):
-    found = descend.named(_order_documents(spark, sf_dir), "doc", ["o_orderkey"], "l_partkey", 3)
+    found = descend.named(_order_documents(spark, sf_dir), "doc", ["o_orderkey"], "l_partkey")
     return found.select("o_orderkey", F.try_variant_get("value", "$", "bigint").alias("part"))
 
 
 @query("""SELECT l_orderkey AS o_orderkey, '$[''items''][' || n || '][''l_partkey'']' AS path, '/items/' || n || '/l_partkey' AS pointer, CAST(l_partkey AS VARCHAR) AS text
 FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS n FROM lineitem) JOIN orders ON l_orderkey = o_orderkey""")
 def path_located(spark, sf_dir):
-    found = descend.leaves(_order_documents(spark, sf_dir), "doc", ["o_orderkey"], 3)
+    found = descend.leaves(_order_documents(spark, sf_dir), "doc", ["o_orderkey"])
     return found.where(F.col("pointer").endswith("/l_partkey")).select("o_orderkey", "path", "pointer", "text")
 
 
@@ -281,9 +281,9 @@ def kinds(spark, sf_dir):
     return df.select("event_id", values.kind(F.col("doc")).alias("doc"), values.kind(paths.child(F.col("doc"), "k")).alias("k"), *other.values())
 
 
-@query("SELECT o_orderkey, 4 + 4 * len(a) AS n_nodes, CASE WHEN len(a) > 0 THEN 3 ELSE 1 END AS max_depth, 1 + 3 * len(a) AS n_numbers, 1 AS n_strings, 2 + len(a) AS n_containers, 1 AS longest_string FROM (" + _SLICE + ")")
+@query("SELECT o_orderkey, 4 + 4 * len(a) AS n_nodes, CASE WHEN len(a) > 0 THEN 3 ELSE 1 END AS max_depth, 1 + 3 * len(a) AS n_numbers, 1 AS n_strings, 2 + len(a) AS n_containers, 1 AS longest_string, 13 AS longest_key, len(a) AS largest_array FROM (" + _SLICE + ")")
 def tree_statistics(spark, sf_dir):
-    return descend.tree_statistics(_order_documents(spark, sf_dir), "doc", ["o_orderkey"], 3).withColumn("longest_string", F.col("longest_string").cast("long"))
+    return descend.tree_statistics(_order_documents(spark, sf_dir), "doc", ["o_orderkey"])
 
 
 # -- schemas ---------------------------------------------------------------------------------------------------------------

@@ -26,5 +26,5 @@ def test_merge_patch(spark):
 
 def test_flattened(spark):
     assert result(spark, flattened, "[1,[2,[3,[4,[5]]]]]") == [1, 2, 3, 4, 5]
-    with pytest.raises(Exception, match="more than 4 levels"):
-        result(spark, flattened, "[1,[2,[3,[4,[5,[6]]]]]]")
+    assert result(spark, flattened, "[" * 40 + "7,8" + "]" * 40) == [7, 8]
+    assert result(spark, flattened, "[]") == []

@@ -50,10 +50,10 @@ def test_null_member_is_there(spark):
 
 def test_descendants_in_order(spark):
     df = spark.range(1).select("id", doc({"b": [1, {"c": "x"}], "a": {}}).alias("d"))
-    rows = descend.descendants(df, "d", ["id"], 4).orderBy("order").collect()
+    rows = descend.descendants(df, "d", ["id"]).orderBy("order").collect()
     assert [r["path"] for r in rows] == ["$", "$['a']", "$['b']", "$['b'][0]", "$['b'][1]", "$['b'][1]['c']"]
-    with pytest.raises(Exception, match="more than 2 levels"):
-        descend.descendants(df, "d", ["id"], 2).collect()
+    deep = spark.range(1).select("id", F.parse_json(F.lit("[" * 60 + "1" + "]" * 60)).alias("d"))
+    assert [r["depth"] for r in descend.descendants(deep, "d", ["id"]).orderBy("depth").collect()] == list(range(61))
 
 
 @pytest.mark.parametrize("value,rules,want", [
