@@ -1,33 +1,49 @@
 """Schemas as data: validation of document columns by a JSON-Schema dictionary, and inference from a collection.
 
 A schema becomes Columns over a VARIANT: an array of violations (pointer, keyword), built on the driver once from the
-dictionary; rows are checked in parallel with no Python. Inference is one aggregation over the leaves of all documents.
+dictionary; rows are checked in parallel with no Python. A keyword that would be passed over raises an error. Inference is one aggregation over the nodes of
+all documents, at any depth.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtree.functions.paths import child
-from loomtree.functions.values import as_array, as_map, equal, kind, number, string
+from loomtree.functions.values import as_array, as_map, equal, integer, kind, let, number, string
+from loomtree.operators.descend import nodes
+
+_H16 = "[0-9A-Fa-f]{1,4}"
+_IPV4 = r"((25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+#: Eight groups, the last two of which may be an IPv4 address; one :: stands for one or more groups of zeros.
+_IPV6 = "|".join([f"({_H16}:){{7}}{_H16}", f"({_H16}:){{6}}{_IPV4}", *[f"({_H16}(:{_H16}){{0,{k}}})?::(({_H16}:){{0,{5 - k}}}({_H16}|{_IPV4}))?" for k in range(6)], f"({_H16}(:{_H16}){{0,6}})?::"])
 
 #: Patterns of the string formats; an unknown format holds for every string.
 FORMATS = {
     "email": r"^[^@\s]+@[^@\s.]+(\.[^@\s.]+)+$",
     "uuid": r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    "ipv4": r"^((25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(\.|$)){4}\b$",
+    "ipv4": rf"^{_IPV4}$",
+    "ipv6": f"^({_IPV6})$",
     "date": r"^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])$",
     "time": r"^([01]\d|2[0-3]):[0-5]\d:([0-5]\d|60)(\.\d+)?(Z|[+-]\d\d:\d\d)?$",
     "date-time": r"^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])[Tt ]([01]\d|2[0-3]):[0-5]\d:([0-5]\d|60)(\.\d+)?([Zz]|[+-]\d\d:\d\d)$",
     "uri": r"^[A-Za-z][A-Za-z0-9+.-]*:\S+$",
+    "uri-reference": r"^[^\s<>\"{}|\\^`]*$",
     "hostname": r"^(?=.{1,253}$)[A-Za-z0-9]([A-Za-z0-9-]{0,61}[A-Za-z0-9])?(\.[A-Za-z0-9]([A-Za-z0-9-]{0,61}[A-Za-z0-9])?)*$",
     "duration": r"^P(?=.)(\d+Y)?(\d+M)?(\d+W)?(\d+D)?(T(?=.)(\d+H)?(\d+M)?(\d+(\.\d+)?S)?)?$",
     "json-pointer": r"^(/([^~/]|~[01])*)*$",
 }
+#: Keywords that say nothing about whether a document is valid.
+ANNOTATIONS = {"$schema", "$id", "$ref", "$comment", "$anchor", "$defs", "definitions", "title", "description", "default", "examples", "deprecated", "readOnly", "writeOnly", "contentEncoding", "contentMediaType"}
+RULES = {
+    "type", "enum", "const", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf", "minLength", "maxLength", "pattern", "format", "minItems", "maxItems",
+    "uniqueItems", "prefixItems", "items", "contains", "minContains", "maxContains", "minProperties", "maxProperties", "required", "properties", "patternProperties",
+    "additionalProperties", "propertyNames", "dependentRequired", "dependentSchemas", "allOf", "anyOf", "oneOf", "not", "if", "then", "else",
+}
 _NONE = "array<struct<pointer:string,keyword:string>>"
 
 
@@ -35,12 +51,6 @@ def _no(c: Column) -> Column:
     return ~F.coalesce(c, F.lit(False))
 
 
-def _is(v: Column, name: str) -> Column:
-    if name == "integer":
-        return F.schema_of_variant(v) == "BIGINT"
-    return kind(v) == name
-
-
 def resolved(schema: object, root: object, depth: int = 0) -> object:
     """Local references put in place; a schema that refers to itself is refused."""
     if depth > 32:
@@ -51,28 +61,51 @@ def resolved(schema: object, root: object, depth: int = 0) -> object:
             for step in schema["$ref"].lstrip("#").split("/")[1:]:
                 at = at[step.replace("~1", "/").replace("~0", "~")]
             return resolved(at, root, depth + 1)
-        return {k: resolved(x, root, depth + (k in ("properties", "items", "allOf", "anyOf", "oneOf", "not"))) for k, x in schema.items()}
+        return {k: x if k in ("enum", "const", "default", "examples") else resolved(x, root, depth + (k not in ("definitions", "$defs"))) for k, x in schema.items() if k not in ("definitions", "$defs")}
     return [resolved(x, root, depth) for x in schema] if isinstance(schema, list) else schema
 
 
+def _none() -> Column:
+    return F.array().cast(_NONE)
+
+
+def _step(name: Column) -> Column:
+    return F.concat(F.lit("/"), F.replace(F.replace(name, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")))
+
+
 def _check(v: Column, schema: object, pointer: Column) -> Column:
-    """The violations of one value, which is there."""
+    """The violations of one value, which is there. What the rules ask of the value is computed once."""
     if isinstance(schema, bool):
-        return F.array().cast(_NONE) if schema else F.array(F.struct(pointer.alias("pointer"), F.lit("false").alias("keyword")))
+        return _none() if schema else F.array(F.struct(pointer.alias("pointer"), F.lit("false").alias("keyword")))
+    if unknown := set(schema) - RULES - ANNOTATIONS:
+        raise ValueError(f"no such schema keywords: {', '.join(sorted(unknown))}")
+    if not set(schema) & RULES:
+        return _none()
+    facts = F.struct(kind(v).alias("kind"), integer(v).alias("integer"), number(v).alias("number"), string(v).alias("string"), as_array(v).alias("items"), as_map(v).alias("members"))
+    return let(facts, lambda f: _found(v, f, schema, pointer))
+
+
+def _found(v: Column, f: Column, schema: Mapping, pointer: Column) -> Column:
     found: list[Column] = []
+    n, whole, s, items, members = (f[k] for k in ("number", "integer", "string", "items", "members"))
 
     def rule(keyword: str, broken: Column) -> None:
-        found.append(F.when(F.coalesce(broken, F.lit(False)), F.array(F.struct(pointer.alias("pointer"), F.lit(keyword).alias("keyword")))).otherwise(F.array().cast(_NONE)))
+        found.append(F.when(F.coalesce(broken, F.lit(False)), F.array(F.struct(pointer.alias("pointer"), F.lit(keyword).alias("keyword")))).otherwise(_none()))
+
+    def inside(each: Column) -> None:
+        """Violations found further down, an array of arrays; NULL for values of another kind."""
+        found.append(F.coalesce(F.flatten(each), _none()))
 
     def literal(x: object) -> Column:
         return F.parse_json(F.lit(json.dumps(x)))
 
-    n, s = number(v), string(v)
+    def compared(x: float, exact: Column, rough: Column) -> Column:
+        return F.when(whole.isNotNull(), exact).otherwise(rough) if isinstance(x, int) else rough
+
     if "type" in schema:
-        kinds = [schema["type"]] if isinstance(schema["type"], str) else schema["type"]
         allowed = F.lit(False)
-        for k in kinds:
-            allowed = allowed | _is(v, k)
+        for k in [schema["type"]] if isinstance(schema["type"], str) else schema["type"]:
+            allowed = allowed | (whole.isNotNull() if k == "integer" else f["kind"] == k)
         rule("type", _no(allowed))
     if "enum" in schema:
         allowed = F.lit(False)
@@ -81,39 +114,81 @@ def _check(v: Column, schema: object, pointer: Column) -> Column:
         rule("enum", ~allowed)
     if "const" in schema:
         rule("const", ~equal(v, literal(schema["const"])))
-    bounds = {"minimum": lambda x: n < x, "maximum": lambda x: n > x, "exclusiveMinimum": lambda x: n <= x, "exclusiveMaximum": lambda x: n >= x}
-    bounds |= {"minLength": lambda x: F.char_length(s) < x, "maxLength": lambda x: F.char_length(s) > x}
-    bounds |= {"multipleOf": lambda x: F.abs(n / x - F.round(n / x)) > 1e-9, "pattern": lambda x: ~s.rlike(x)}
-    bounds |= {"minItems": lambda x: F.size(as_array(v)) < x, "maxItems": lambda x: F.size(as_array(v)) > x}
-    bounds |= {"minProperties": lambda x: F.size(as_map(v)) < x, "maxProperties": lambda x: F.size(as_map(v)) > x}
-    bounds |= {"format": lambda x: ~s.rlike(FORMATS[x]) if x in FORMATS else F.lit(False)}
+    bounds = {
+        "minimum": lambda x: compared(x, whole < x, n < x),
+        "maximum": lambda x: compared(x, whole > x, n > x),
+        "exclusiveMinimum": lambda x: compared(x, whole <= x, n <= x),
+        "exclusiveMaximum": lambda x: compared(x, whole >= x, n >= x),
+        "multipleOf": lambda x: compared(x, whole % x != 0, F.abs(n / x - F.round(n / x)) > 1e-9),
+        "minLength": lambda x: F.char_length(s) < x,
+        "maxLength": lambda x: F.char_length(s) > x,
+        "pattern": lambda x: ~s.rlike(x),
+        "format": lambda x: ~s.rlike(FORMATS[x]) if x in FORMATS else F.lit(False),
+        "minItems": lambda x: F.size(items) < x,
+        "maxItems": lambda x: F.size(items) > x,
+        "minProperties": lambda x: F.size(members) < x,
+        "maxProperties": lambda x: F.size(members) > x,
+    }
     for keyword, broken in bounds.items():
         if keyword in schema:
-            present = as_array(v).isNotNull() if "Items" in keyword else as_map(v).isNotNull() if "Properties" in keyword else F.lit(True)
-            rule(keyword, present & broken(schema[keyword]))
-    is_object = kind(v) == "object"
+            there = items.isNotNull() if "Items" in keyword else members.isNotNull() if "Properties" in keyword else F.lit(True)
+            rule(keyword, there & broken(schema[keyword]))
+
+    def has(name: str) -> Column:
+        return F.map_contains_key(members, name)
+
     for name in schema.get("required", []):
-        rule("required", is_object & child(v, name).isNull())
+        rule("required", ~has(name))
     for name, others in schema.get("dependentRequired", {}).items():
         for other in others:
-            rule("dependentRequired", is_object & child(v, name).isNotNull() & child(v, other).isNull())
-    for name, part in schema.get("properties", {}).items():
-        value = child(v, name)
-        found.append(F.when(is_object & value.isNotNull(), _check(value, part, F.concat(pointer, F.lit("/" + name.replace("~", "~0").replace("/", "~1"))))).otherwise(F.array().cast(_NONE)))
-    known = list(schema.get("properties", {}))
-    patterns = list(schema.get("patternProperties", {}))
-    if schema.get("additionalProperties") is False:
-        extra = F.filter(F.map_keys(as_map(v)), lambda k: ~k.isin(known) & ~F.coalesce(F.greatest(*[k.rlike(p) for p in patterns], F.lit(False), F.lit(False)), F.lit(False)) if known else F.lit(True))
-        rule("additionalProperties", F.size(extra) > 0)
+            rule("dependentRequired", has(name) & ~has(other))
+    for name, part in schema.get("dependentSchemas", {}).items():
+        found.append(F.when(F.coalesce(has(name), F.lit(False)), _check(v, part, pointer)).otherwise(_none()))
+    known, patterns = list(schema.get("properties", {})), list(schema.get("patternProperties", {}))
+
+    def member(name: str) -> Column:
+        at, part = F.concat(pointer, _step(F.lit(name))), schema["properties"][name]
+        return let(child(v, name), lambda x: F.when(members.isNotNull() & x.isNotNull(), _check(x, part, at)).otherwise(_none()))
+
+    found += [member(name) for name in known]
+
+    def of_members(test: Callable[[Column], Column], part: object) -> Column:
+        """The violations of the members whose name passes, by one schema."""
+        kept = F.map_filter(members, lambda k, _: test(k))
+        return F.transform(F.map_entries(kept), lambda e: _check(e["value"], part, F.concat(pointer, _step(e["key"]))))
+
+    def of_pattern(pattern: str) -> Column:
+        return of_members(lambda k: k.rlike(pattern), schema["patternProperties"][pattern])
+
+    for pattern in patterns:
+        inside(of_pattern(pattern))
+
+    def is_extra(k: Column) -> Column:
+        out = ~k.isin(known) if known else F.lit(True)
+        for pattern in patterns:
+            out = out & ~k.rlike(pattern)
+        return out
+
+    extra = schema.get("additionalProperties", True)
+    if extra is False:
+        rule("additionalProperties", F.exists(F.map_keys(members), is_extra))
+    elif isinstance(extra, Mapping):
+        inside(of_members(is_extra, extra))
+    if "propertyNames" in schema:
+        rule("propertyNames", F.exists(F.map_keys(members), lambda k: F.size(_check(k.cast("variant"), schema["propertyNames"], F.lit(""))) > 0))
     if schema.get("uniqueItems"):
-        texts = F.transform(as_array(v), lambda x: F.concat(F.schema_of_variant(x), F.to_json(x)))
+        # 1 and 1.0 are equal
+        texts = F.transform(items, lambda x: F.concat(kind(x), F.when(kind(x) == "number", F.coalesce(F.coalesce(integer(x), F.when(number(x) % 1 == 0, number(x).try_cast("bigint"))).cast("string"), number(x).cast("string"))).otherwise(F.to_json(x))))
         rule("uniqueItems", F.size(F.array_distinct(texts)) < F.size(texts))
+    prefix = schema.get("prefixItems", [])
+    for i, part in enumerate(prefix):
+        found.append(F.when(F.size(items) > i, _check(F.get(items, F.lit(i)), part, F.concat(pointer, F.lit(f"/{i}")))).otherwise(_none()))
     if "items" in schema:
-        each = F.transform(as_array(v), lambda x, i: _check(x, schema["items"], F.concat(pointer, F.lit("/"), i.cast("string"))))
-        found.append(F.coalesce(F.flatten(each), F.array().cast(_NONE)))
+        rest = F.slice(items, len(prefix) + 1, 1 << 30) if prefix else items
+        inside(F.transform(rest, lambda x, i: _check(x, schema["items"], F.concat(pointer, F.lit("/"), (i + len(prefix)).cast("string")))))
     if "contains" in schema:
-        hits = F.size(F.filter(as_array(v), lambda x: F.size(_check(x, schema["contains"], pointer)) == 0))
-        rule("contains", as_array(v).isNotNull() & ((hits < schema.get("minContains", 1)) | (hits > schema.get("maxContains", 1 << 30))))
+        hits = F.size(F.filter(items, lambda x: F.size(_check(x, schema["contains"], pointer)) == 0))
+        rule("contains", items.isNotNull() & ((hits < schema.get("minContains", 1)) | (hits > schema.get("maxContains", 1 << 30))))
     if "allOf" in schema:
         found += [_check(v, part, pointer) for part in schema["allOf"]]
     holds = {k: [(F.size(_check(v, part, pointer)) == 0).cast("int") for part in schema[k]] for k in ("anyOf", "oneOf") if k in schema}
@@ -126,25 +201,70 @@ def _check(v: Column, schema: object, pointer: Column) -> Column:
     if "if" in schema:
         met = F.size(_check(v, schema["if"], pointer)) == 0
         found.append(F.when(met, _check(v, schema.get("then", True), pointer)).otherwise(_check(v, schema.get("else", True), pointer)))
-    return F.concat(*found) if len(found) > 1 else found[0] if found else F.array().cast(_NONE)
+    return F.concat(*found) if len(found) > 1 else found[0] if found else _none()
 
 
 def violations(document: Column, schema: object) -> Column:
     """array<struct<pointer, keyword>> of everything in the document that the schema forbids; empty if it is valid."""
-    return F.coalesce(_check(document, resolved(schema, schema), F.lit("")), F.array().cast(_NONE))
+    return F.coalesce(_check(document, resolved(schema, schema), F.lit("")), _none())
 
 
 def is_valid(document: Column, schema: object) -> Column:
     return F.size(violations(document, schema)) == 0
 
 
+#: Formats that inference looks for, the first that all strings of a place have.
+INFERRED = ("uuid", "ipv4", "date-time", "date", "uri", "email")
+
+
 def inferred_fields(df: DataFrame, document: str) -> DataFrame:
-    """Of a collection of objects, for each member: its kinds, whether every document has it non-null, and how many have it.
+    """Of a collection of documents, a row for each place (pointer with * for any element): kinds, format, n_present, required.
 
-    One explode and one aggregation with partial sums; the result has a row a name, however many documents there are.
+    kinds are joined by |, integers beside other numbers are numbers; format is that of all strings there; n_present counts non-null values; a
+    member is required if every object at the place above has it non-null. One explode and one aggregation with partial sums: the result has a row a
+    place, however many documents there are. A place of kinds a|b is anyOf in a schema.
     """
-    members = df.select(F.explode(F.map_entries(as_map(F.col(document)))).alias("m")).select("m.key", "m.value")
-    k = F.when(F.schema_of_variant("value") == "BIGINT", "integer").otherwise(kind(F.col("value")))
-    total = df.select(F.count_if(kind(F.col(document)) == "object").alias("n_documents"))
-    fields = members.groupBy("key").agg(F.array_sort(F.collect_set(F.when(k != "null", k))).alias("kinds"), F.count_if(k != "null").alias("n_present"))
-    return fields.crossJoin(F.broadcast(total)).select("key", F.array_join("kinds", "|").alias("kinds"), "n_present", (F.col("n_present") == F.col("n_documents")).alias("required"))
+    rows = df.where(F.col(document).isNotNull()).select(F.explode(nodes(F.col(document))).alias("n"))
+    # names are escaped in pointers, so that only elements of arrays have digits without a key; the path tells them apart
+    place = F.regexp_replace(F.regexp_replace("n.path", r"\[\d+\]", "['*']"), r"\['((?:[^'\\]|\\.)*)'\]", "/$1")
+    place = F.substr(place, F.lit(2))
+    k = F.when(integer(F.col("n.value")).isNotNull(), "integer").otherwise(kind(F.col("n.value")))
+    rows = rows.select(place.alias("place"), F.col("n.key").isNotNull().alias("named"), k.alias("kind"), F.when(k == "string", string(F.col("n.value"))).alias("text"))
+    patterns = {**FORMATS, "uri": r"^https?://\S+$"}
+    of_format = [F.count_if(F.col("text").rlike(patterns[f])).alias(f) for f in INFERRED]
+    places = rows.groupBy("place").agg(
+        F.array_sort(F.collect_set(F.when(F.col("kind") != "null", F.col("kind")))).alias("kinds"),
+        F.count_if(F.col("kind") != "null").alias("n_present"),
+        F.count("text").alias("n_texts"),
+        F.count_if(F.col("kind") == "object").alias("n_objects"),
+        F.bool_or("named").alias("named"),
+        *of_format,
+    )
+    above = places.select(F.col("place").alias("above"), F.col("n_objects").alias("n_above"))
+    places = places.withColumn("above", F.regexp_replace("place", r"/[^/]*$", "")).join(above, "above", "left")
+    kinds = F.when(F.array_contains("kinds", "number"), F.array_remove("kinds", "integer")).otherwise(F.col("kinds"))
+    form = F.coalesce(*[F.when((F.col("n_texts") > 0) & (F.col(f) == F.col("n_texts")), f) for f in INFERRED])
+    return places.select("place", F.array_join(kinds, "|").alias("kinds"), form.alias("format"), "n_present", (F.col("named") & (F.col("n_present") == F.col("n_above"))).alias("required"))
+
+
+def inferred_schema(places: DataFrame) -> dict:
+    """The JSON Schema of the rows of inferred_fields(): as many rows as a document has kinds of places."""
+    rows = {r["place"]: r for r in places.collect()}
+
+    def schema(place: str) -> dict:
+        row = rows[place]
+        below = [p for p in rows if p.startswith(place + "/") and "/" not in p[len(place) + 1 :]]
+        parts = []
+        for k in row["kinds"].split("|") if row["kinds"] else ["null"]:
+            part: dict = {"type": k}
+            if k == "string" and row["format"]:
+                part["format"] = row["format"]
+            if k == "object":
+                part["properties"] = {p[len(place) + 1 :]: schema(p) for p in sorted(below) if not p.endswith("/*")}
+                part["required"] = [name for name in part["properties"] if rows[f"{place}/{name}"]["required"]]
+            if k == "array" and f"{place}/*" in rows:
+                part["items"] = schema(f"{place}/*")
+            parts.append(part)
+        return parts[0] if len(parts) == 1 else {"anyOf": parts}
+
+    return schema("")

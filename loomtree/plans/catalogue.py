@@ -335,10 +335,80 @@ def validate_formats(spark, sf_dir):
     return made.select("event_id", *[c.alias(n) for n, c in checks.items()])
 
 
-@query("SELECT key, kinds, n_present, n_present = (SELECT count(*) FROM customer) AS required FROM (SELECT unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment']) AS key, unnest(['integer', 'string', 'integer', 'number', 'string']) AS kinds, unnest([count(c_custkey), count(c_name), count(c_nationkey), count(c_acctbal), count(c_mktsegment)]) AS n_present FROM customer)")
+@query("""WITH f AS (SELECT unnest(['/c_custkey', '/c_name', '/c_nationkey', '/c_acctbal', '/c_mktsegment']) AS place, unnest(['integer', 'string', 'integer', 'number', 'string']) AS kinds,
+  unnest([count(c_custkey), count(c_name), count(c_nationkey), count(c_acctbal), count(c_mktsegment)]) AS n_present, count(*) AS n FROM customer)
+SELECT place, kinds, CAST(NULL AS VARCHAR) AS format, n_present, n_present = n AS required FROM f UNION ALL SELECT '', 'object', NULL, count(*), false FROM customer""")
 def infer_schema(spark, sf_dir):
-    df = schema.inferred_fields(_documents(_table(spark, sf_dir, "customer")), "doc")
-    return df.withColumn("kinds", F.when(F.col("kinds") == "integer|number", "number").otherwise(F.col("kinds")))
+    return schema.inferred_fields(_documents(_table(spark, sf_dir, "customer")), "doc")
+
+
+@query("""WITH l AS (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1), t AS (SELECT count(*) AS orders, sum(n)::BIGINT AS items FROM l),
+d AS (SELECT count(DISTINCT o_orderkey) AS n FROM orders JOIN l ON o_orderkey = l_orderkey WHERE o_orderkey % 2 = 0)
+SELECT unnest(['', '/day', '/key', '/items', '/items/*', '/items/*/l_linenumber', '/items/*/l_partkey', '/items/*/l_quantity']) AS place,
+  unnest(['object', 'string', 'integer|string', 'array', 'object', 'integer', 'integer', 'number']) AS kinds, unnest([NULL, 'date', NULL, NULL, NULL, NULL, NULL, NULL]) AS format,
+  unnest([orders, d.n, orders, orders, items, items, items, items]) AS n_present, unnest([false, d.n = orders, true, true, false, true, true, true]) AS required FROM t, d""")
+def infer_nested(spark, sf_dir):
+    df = _orders(spark, sf_dir)
+    even = F.col("o_orderkey") % 2 == 0
+    key = F.when(even, F.col("o_orderkey").cast("variant")).otherwise(F.col("o_orderkey").cast("string").cast("variant"))
+    day = F.when(even, F.lit("2024-05-01"))
+    return schema.inferred_fields(df.select(F.to_variant_object(F.struct(day.alias("day"), key.alias("key"), F.transform("items", lambda x: x.withField("l_quantity", x["l_quantity"] + 0.25)).alias("items"))).alias("doc")), "doc")
+
+
+_OBJECT_RULES = {
+    "patternProperties": {"^x_": {"type": "integer", "minimum": 5}},
+    "properties": {"name": {"type": "string"}},
+    "additionalProperties": {"type": "boolean"},
+    "propertyNames": {"pattern": "^[a-z_0-9]+$"},
+    "dependentSchemas": {"x_b": {"required": ["name"]}},
+}
+
+
+@query("""SELECT p_partkey, unnest(list_filter([
+  CASE WHEN p_partkey % 12 < 5 THEN '/x_a:minimum' END, CASE WHEN p_partkey % 3 = 0 THEN '/x_b:type' END, CASE WHEN p_partkey % 4 = 0 THEN '/other:type' END,
+  CASE WHEN p_partkey % 5 = 0 THEN ':propertyNames' END, CASE WHEN p_partkey % 5 = 0 THEN '/BIG:type' END, CASE WHEN p_partkey % 2 = 0 THEN ':required' END], lambda x: x IS NOT NULL)) AS violation FROM part""")
+def validate_objects(spark, sf_dir):
+    k = F.col("p_partkey")
+    members = [
+        F.concat(F.lit('"x_a":'), (k % 12).cast("string")),
+        F.when(k % 3 == 0, '"x_b":"no"').otherwise('"x_b":7'),
+        F.when(k % 4 == 0, '"other":1').otherwise('"other":true'),
+        F.when(k % 5 == 0, '"BIG":0'),
+        F.when(k % 2 == 1, '"name":"n"'),
+    ]
+    doc = F.parse_json(F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}")))
+    df = _table(spark, sf_dir, "part").select("p_partkey", F.explode(schema.violations(doc, _OBJECT_RULES)).alias("v"))
+    return df.select("p_partkey", F.concat("v.pointer", F.lit(":"), "v.keyword").alias("violation"))
+
+
+@query("""SELECT p_partkey, p_partkey % 7 > 2 AS closed, p_partkey % 3 <> 1 AS prefixed, p_partkey % 4 IN (2, 3) AS counted FROM part""")
+def validate_prefix_and_counts(spark, sf_dir):
+    k = F.col("p_partkey")
+    df = _table(spark, sf_dir, "part")
+    named = F.parse_json(F.concat(F.lit('{"x_1":1'), F.when(k % 7 <= 2, ',"y":2').otherwise(""), F.lit("}")))
+    listed = F.parse_json(F.concat(F.lit('["a",'), F.when(k % 3 == 1, '"b"').otherwise("2"), F.lit(",true,false]")))
+    counted = F.to_variant_object(F.transform(F.sequence(F.lit(0), k % 4), lambda i: i.cast("int")))
+    return df.select(
+        "p_partkey",
+        schema.is_valid(named, {"patternProperties": {"^x_": True}, "additionalProperties": False}).alias("closed"),
+        schema.is_valid(listed, {"prefixItems": [{"type": "string"}, {"type": "integer"}], "items": {"type": "boolean"}}).alias("prefixed"),
+        schema.is_valid(counted, {"contains": {"minimum": 1}, "minContains": 2, "maxContains": 3}).alias("counted"),
+    )
+
+
+@query("""SELECT s_suppkey, s_suppkey % 3 = 0 AS ipv6, s_suppkey % 2 = 0 AS reference, s_suppkey % 5 > 0 AS ipv4, s_suppkey % 4 = 1 AS email FROM supplier""")
+def validate_formats_that_break(spark, sf_dir):
+    k, df = F.col("s_suppkey"), _table(spark, sf_dir, "supplier")
+    number = k.cast("string")
+    made = F.struct(
+        F.when(k % 3 == 0, F.concat(F.lit("2001:db8::"), F.lower(F.hex(k % 65536)))).when(k % 3 == 1, F.concat(F.lit("zzz"), number)).otherwise(F.concat(F.lit("1:2::3::"), F.hex(k % 65536))).alias("ipv6"),
+        F.when(k % 2 == 0, F.concat(F.lit("../part?k="), number, F.lit("#top"))).otherwise(F.concat(F.lit("a b "), number)).alias("uri-reference"),
+        F.when(k % 5 > 0, F.concat(F.lit("10.0."), (k % 256).cast("string"), F.lit(".1"))).otherwise(F.concat(F.lit("10.0.1."), (k % 256 + 256).cast("string"))).alias("ipv4"),
+        F.when(k % 4 == 1, F.concat(F.lit("s"), number, F.lit("@example.org"))).otherwise(F.concat(F.lit("s"), number, F.lit("@"))).alias("email"),
+    )
+    docs = df.select("s_suppkey", F.to_variant_object(made).alias("doc"))
+    names = {"ipv6": "ipv6", "reference": "uri-reference", "ipv4": "ipv4", "email": "email"}
+    return docs.select("s_suppkey", *[schema.is_valid(F.col("doc"), {"properties": {f: {"format": f}}}).alias(n) for n, f in names.items()])
 
 
 # -- differences, merges, patches ----------------------------------------------------------------------------------------------

@@ -62,12 +62,48 @@ def test_descendants_in_order(spark):
     ([1, 1], {"uniqueItems": True}, ["uniqueItems"]), ([1, "1"], {"uniqueItems": True}, []),
     (3, {"oneOf": [{"minimum": 1}, {"maximum": 5}]}, ["oneOf"]), (3, {"not": {"const": 3.0}}, ["not"]),
     ({"a": 1}, {"dependentRequired": {"a": ["b"]}}, ["dependentRequired"]), ("x", {"minimum": 3}, []), (1, False, ["false"]),
+    ({"x_1": 1}, {"patternProperties": {"^x_": True}, "additionalProperties": False}, []), ({"y": 1}, {"patternProperties": {"^x_": True}, "additionalProperties": False}, ["additionalProperties"]),
+    ({"x_1": "a"}, {"patternProperties": {"^x_": {"type": "integer"}}}, ["type"]), ({"a": 1, "b": "c"}, {"additionalProperties": {"type": "integer"}, "properties": {"a": True}}, ["type"]),
+    ({"Ab": 1}, {"propertyNames": {"pattern": "^[a-z]+$"}}, ["propertyNames"]), ({"a": 1}, {"dependentSchemas": {"a": {"required": ["b"]}}}, ["required"]), ({}, {"dependentSchemas": {"a": {"required": ["b"]}}}, []),
+    ([1, "a", 2], {"prefixItems": [{"type": "integer"}, {"type": "integer"}], "items": {"type": "string"}}, ["type", "type"]), ([1], {"prefixItems": [True, False]}, []), ([1, 2], {"prefixItems": [True, False]}, ["false"]),
+    (9007199254740993, {"const": 9007199254740992}, ["const"]), (9007199254740993, {"maximum": 9007199254740992}, ["maximum"]), ([1, 1.0], {"uniqueItems": True}, ["uniqueItems"]),
+    ("::1", {"format": "ipv6"}, []), ("1:2:3:4:5:6:7:8", {"format": "ipv6"}, []), ("1::2::3", {"format": "ipv6"}, ["format"]), ("::ffff:1.2.3.4", {"format": "ipv6"}, []), ("1:2:3:4:5:6:7:8:9", {"format": "ipv6"}, ["format"]), ("zzz", {"format": "ipv6"}, ["format"]), ("fe80::", {"format": "ipv6"}, []), ("1:2:3:4:5:6:7::8", {"format": "ipv6"}, ["format"]),
+    ("a b", {"format": "uri-reference"}, ["format"]), ("../x?y#z", {"format": "uri-reference"}, []),
     ("2024-02-30", {"format": "date"}, []), ("x@y.z", {"format": "email"}, []), ("x", {"format": "ipv4"}, ["format"]), ("1.2.3.4", {"format": "ipv4"}, []),
 ])
 def test_schema(spark, value, rules, want):
     assert [v["keyword"] for v in one(spark, schema.violations(doc(value), rules))] == want
 
 
+def test_unknown_keywords_are_refused():
+    with pytest.raises(ValueError, match="unevaluatedItems"):
+        schema.violations(F.lit(None), {"properties": {"a": {"unevaluatedItems": False}}})
+
+
+def test_inferred_schema_holds_for_its_documents(spark):
+    rows = [{"a": 1, "b": [{"c": "2024-01-02"}, {"c": "2024-03-04", "d/e": None}]}, {"a": 2.5, "b": []}, {"a": "x", "b": [{"c": "2023-01-01", "d/e": [1, "q"]}]}]
+    df = spark.createDataFrame([(json.dumps(x),) for x in rows], "t string").select(F.parse_json("t").alias("d"))
+    found = schema.inferred_schema(schema.inferred_fields(df, "d"))
+    assert found["required"] == ["a", "b"] and found["properties"]["b"]["items"]["required"] == ["c"]
+    assert found["properties"]["b"]["items"]["properties"]["c"] == {"type": "string", "format": "date"}
+    assert found["properties"]["a"] == {"anyOf": [{"type": "number"}, {"type": "string"}]}
+
+
+@pytest.mark.parametrize("a,b", [(9007199254740993, 9007199254740992), (-9007199254740993, -9007199254740994)])
+def test_integers_are_exact(spark, a, b):
+    assert one(spark, F.array(values.equal(doc(a), doc(b)), values.less(doc(b), doc(a)), values.less(doc(a), doc(b)))) == [False, True, False]
+    ordered = one(spark, F.to_json(F.to_variant_object(values.sorted_values(values.as_array(doc([a, b, 1.5]))))))
+    assert json.loads(ordered) == sorted([a, b, 1.5])
+    assert json.loads(one(spark, F.to_json(values.exact_sum(values.as_array(doc([a, b, "7", None])))))) == a + b
+
+
+def test_least_and_greatest(spark):
+    items = [3, "a", [1, 2], [1, 3], {"a": 1}, {"a": 0}, True]
+    assert json.loads(one(spark, F.to_json(values.greatest_value(values.as_array(doc(items)))))) == {"a": 1}
+    assert one(spark, F.to_json(values.least_value(values.as_array(doc([*items, None]))))) == "null"
+    assert json.loads(one(spark, F.to_json(F.to_variant_object(values.sorted_values(values.as_array(doc([[2], [1, 3], [1, 2], [], {"b": 0}, {"a": 9}]))))))) == [[], [1, 2], [1, 3], [2], {"a": 9}, {"b": 0}]
+
+
 def test_recursive_schema_is_refused():
     with pytest.raises(ValueError):
         schema.resolved({"properties": {"a": {"$ref": "#"}}}, {"properties": {"a": {"$ref": "#"}}})
