@@ -9,8 +9,8 @@ each cut between grades must reach LEAST_SCORE, so that a few telling words aren
 model is fitted on at most MAX_LABELLED rated documents, chosen by a hash of their ids; scoring reads every document, whole,
 without a shuffle.
 
-Defined results: null and empty texts have score 0; ratings with a null part and of unknown documents are left out; several
-ratings of a document are all used; without two distinct grades the model says the one grade (or 0) always; an
+Defined results: null and empty texts have score 0; ratings with a null part and of unknown documents are left out; different
+grades of a document are all used, equal ones once, and of several texts of a rated doc_id the least; without two distinct grades the model says the one grade (or 0) always; an
 empty table gives no rows; other columns pass through, but for names that
 the operator writes itself.
 """
@@ -129,7 +129,8 @@ def fit_on(docs: DataFrame, ratings: DataFrame, text: str = "text", doc_id: str
     """Fits on documents with a rating: ratings has doc_id and grade (0 to GRADES - 1)."""
     chosen = ratings.where(F.col("grade").isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("_id"), "grade")
     chosen = F.broadcast(chosen.orderBy(F.xxhash64("_id"), "_id", "grade").limit(max_labelled))  # max_labelled rows of 12 bytes
-    rated = docs.select(docs[doc_id].cast("long").alias("_id"), docs[text].cast("string").alias("text")).join(chosen, "_id").select("grade", "text")
+    rated = docs.select(docs[doc_id].cast("long").alias("_id"), docs[text].cast("string").alias("text")).join(chosen, "_id")
+    rated = rated.groupBy("_id", "grade").agg(F.min("text").alias("text")).select("grade", "text")  # at most max_labelled rows, however often an id repeats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

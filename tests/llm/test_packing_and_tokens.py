@@ -175,3 +175,13 @@ def test_a_hot_length(spark):
 def test_small_sequences(spark, size):
     rows = [(1, "one two three four five six seven eight nine"), (2, None), (3, "x")]
     checked(rows, best_fit_packing(docs(spark, rows), size=size).collect(), size)
+
+
+def test_equal_ids_stand_in_the_order_of_their_texts(spark):
+    """One id for all rows, over many partitions."""
+    rng = random.Random(8)
+    rows = [(None if k % 2 else 7, prose(rng, 3)) for k in range(300)]
+    df = docs(spark, rows).repartition(6)
+    out = [tuple(r)[:1] + tuple(r)[2:] for r in token_file.read_tokens(token_file.write_tokens(df)).orderBy("start").collect()]
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[1].encode()))
+    assert out == [(i, len(x), crc(x)) for (i, _), x in zip(order, ids_of([t for _, t in order]), strict=True)]
