@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtree.functions.paths import child, steps
-from loomtree.functions.values import as_map, kind
+from loomtree.functions.paths import follow, steps
+from loomtree.functions.values import as_array, as_map, equal, kind, let
+from loomtree.operators.descend import nodes
 
 
 def diff_rows(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
@@ -43,18 +45,218 @@ def merge_rows(base: DataFrame, patch: DataFrame, keys: list[str], removed: str
     return both.select(*keys, *[(F.coalesce(F.col(f"b.{c}"), F.col(f"a.{c}")) if c in patch.columns else F.col(f"a.{c}")).alias(c) for c in fields])
 
 
-def merge_patch(target: Column, patch: Column, depth: int = 3) -> Column:
-    """Merges a patch into a document, as map<string,variant>: null members delete, objects merge; a patch of more than depth levels raises an error."""
-    t, p = F.coalesce(as_map(target), F.map_from_entries(F.array().cast("array<struct<key:string,value:variant>>"))), as_map(patch)
+def _label(k: Column, old: Column, new: Column) -> Column:
+    return F.when(old.isNull(), "added").when(new.isNull(), "removed").when(k, "size changed").when(kind(old) != kind(new), "type changed").otherwise("modified")
 
-    def merged(k: Column, x: Column) -> Column:
-        if depth <= 1:
-            return F.when(kind(x) == "object", F.when(F.raise_error(F.lit("a patch has more levels than merge_patch() merges")).isNull(), x)).otherwise(x)
-        return F.when(kind(x) == "object", F.to_variant_object(merge_patch(F.try_element_at(t, k), x, depth - 1))).otherwise(x)
 
-    kept = F.map_filter(t, lambda k, x: ~F.map_contains_key(p, k))
-    new = F.map_filter(p, lambda k, x: ~F.is_variant_null(x))
-    return F.map_concat(kept, F.transform_values(new, merged))
+def diff_documents(before: DataFrame, after: DataFrame, keys: list[str], document: str) -> DataFrame:
+    """keys, pointer, op (add, remove, replace), label, old and new (VARIANT): what turns each document before into that after.
+
+    Objects are compared by name and arrays by place, at any depth; a part that is only on one side is one add or remove, whatever is inside it. One full outer
+    join of all nodes by key and pointer, and one semi join with the containers that both sides have. The label says added, removed, modified, type changed, or size
+    changed for an array of another length (a row of its own, with op NULL).
+    """
+
+    def side(df: DataFrame, value: str) -> DataFrame:
+        found = df.where(F.col(document).isNotNull()).select(*keys, F.explode(nodes(F.col(document))).alias("n"))
+        return found.select(*keys, F.col("n.pointer").alias("pointer"), F.col("n.value").alias(value))
+
+    both = side(before, "old").join(side(after, "new"), [*keys, "pointer"], "full_outer")
+    shared = kind(F.col("old")).isin("array", "object") & (kind(F.col("old")) == kind(F.col("new")))
+    both = both.withColumn("_shared", F.coalesce(shared, F.lit(False)))
+    open_ = both.where("_shared").select(*keys, F.col("pointer").alias("_above"))
+    longer = F.col("_shared") & (F.size(as_array(F.col("old"))) != F.size(as_array(F.col("new"))))
+    changed = both.where(F.coalesce(longer, F.lit(False)) | (~F.col("_shared") & ~equal(F.col("old"), F.col("new"))))
+    root = F.col("pointer") == ""
+    inner = changed.where(~root).withColumn("_above", F.regexp_replace("pointer", "/[^/]*$", "")).join(open_, [*keys, "_above"], "left_semi").drop("_above")
+    op = F.when(F.col("_shared"), None).when(F.col("old").isNull(), "add").when(F.col("new").isNull(), "remove").otherwise("replace")
+    label = _label(F.col("_shared"), F.col("old"), F.col("new"))
+    return inner.unionByName(changed.where(root)).select(*keys, "pointer", op.alias("op"), label.alias("label"), "old", "new")
+
+
+def _empty_map() -> Column:
+    return F.map_from_entries(F.array().cast("array<struct<key:string,value:variant>>"))
+
+
+def merge_patch(target: Column, patch: Column, depth: int = 20, keep_nulls: bool = False) -> Column:
+    """Merges a patch into a document, as map<string,variant>: null members delete (or stay, with keep_nulls), objects merge.
+
+    A patch of more than depth levels raises an error.
+    """
+
+    def merged(t: Column, p: Column) -> Column:
+        def value(k: Column, x: Column) -> Column:
+            if depth <= 1:
+                return F.when(as_map(x).isNotNull(), F.when(F.raise_error(F.lit("a patch has more levels than merge_patch() merges")).isNull(), x)).otherwise(x)
+            return F.when(as_map(x).isNotNull(), F.to_variant_object(merge_patch(F.try_element_at(t, k), x, depth - 1, keep_nulls))).otherwise(x)
+
+        kept = F.map_filter(t, lambda k, x: ~F.map_contains_key(p, k))
+        new = p if keep_nulls else F.map_filter(p, lambda k, x: ~F.is_variant_null(x))
+        return F.map_concat(kept, F.transform_values(new, value))
+
+    return let(F.struct(F.coalesce(as_map(target), _empty_map()).alias("t"), as_map(patch).alias("p")), lambda s: merged(s["t"], s["p"]))
+
+
+def create_merge_patch(before: Column, after: Column, depth: int = 8) -> Column:
+    """The merge patch that turns before into after, a VARIANT: {} if they are equal, after itself if a side is no object.
+
+    Objects that differ more than depth levels down raise an error.
+    """
+
+    def made(a: Column, b: Column) -> Column:
+        def value(k: Column, x: Column) -> Column:
+            old = F.try_element_at(a, k)
+            both = as_map(old).isNotNull() & as_map(x).isNotNull()
+            if depth <= 1:
+                return F.when(both, F.when(F.raise_error(F.lit("documents have more levels than create_merge_patch() compares")).isNull(), x)).otherwise(x)
+            return F.when(both, create_merge_patch(old, x, depth - 1)).otherwise(x)
+
+        gone = F.transform_values(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), lambda k, x: F.parse_json(F.lit("null")))
+        new = F.map_filter(b, lambda k, x: ~equal(F.try_element_at(a, k), x))
+        return F.to_variant_object(F.map_concat(gone, F.transform_values(new, value)))
+
+    objects = as_map(before).isNotNull() & as_map(after).isNotNull()
+    return F.when(objects, let(F.struct(as_map(before).alias("a"), as_map(after).alias("b")), lambda s: made(s["a"], s["b"]))).otherwise(after)
+
+
+def merge_all(*documents: Column, keep_nulls: bool = False) -> Column:
+    """Documents merged left to right, a VARIANT; a NULL one changes nothing, one that is no object replaces all before it."""
+    out = documents[0]
+    for d in documents[1:]:
+
+        def step(below: Column, above: Column = d) -> Column:
+            return F.when(above.isNull(), below).when(as_map(above).isNotNull(), F.to_variant_object(merge_patch(below, above, keep_nulls=keep_nulls))).otherwise(above)
+
+        out = step(out)
+    return out
+
+
+# -- edits at pointers --------------------------------------------------------------------------------------------------------
+
+
+def _index(step: str) -> int | None:
+    return int(step) if step.isdigit() and (step == "0" or step[0] != "0") else None
+
+
+def _edited(v: Column, path: Sequence[str], at_member: Callable, at_element: Callable, made: Callable | None) -> Column:
+    """A document with the last step of path edited; NULL where the path leads nowhere, unless made gives what is missing."""
+    step, rest = path[0], path[1:]
+    n = _index(step)
+
+    def inner(x: Column) -> Column:
+        return _edited(x, rest, at_member, at_element, made)
+
+    def in_object(m: Column) -> Column:
+        if not rest:
+            return F.to_variant_object(at_member(m, step))
+        other = F.map_filter(m, lambda k, _: k != step)
+        put = let(inner(F.try_element_at(m, F.lit(step))), lambda x: F.when(x.isNotNull(), F.to_variant_object(F.map_concat(other, F.create_map(F.lit(step), x)))))
+        return put if made else F.when(F.map_contains_key(m, step), put)
+
+    def in_array(items: Column) -> Column:
+        if not rest:
+            return let(at_element(items, step, n), lambda x: F.when(x.isNotNull(), F.to_variant_object(x)))
+        if n is None:
+            return F.lit(None).cast("variant")
+        put = let(inner(F.get(items, F.lit(n))), lambda x: F.when(x.isNotNull(), F.to_variant_object(F.transform(items, lambda y, i: F.when(i == n, x).otherwise(y)))))
+        return F.when(F.size(items) > n, put)
+
+    found = F.when(as_array(v).isNotNull(), let(as_array(v), in_array)).when(as_map(v).isNotNull(), let(as_map(v), in_object))
+    return found.otherwise(in_object(_empty_map())) if made else found
+
+
+def _put(m: Column, name: str, value: Column) -> Column:
+    return F.map_concat(F.map_filter(m, lambda k, _: k != name), F.create_map(F.lit(name), value))
+
+
+def add_at(v: Column, path: Sequence[str], value: Column) -> Column:
+    """RFC 6902 add: a member is set, an element inserted, - appends; NULL if the place above is missing."""
+    if not path:
+        return value
+
+    def element(items: Column, step: str, n: int | None) -> Column:
+        if step == "-":
+            return F.concat(items, F.array(value))
+        if n is None:
+            return F.lit(None).cast("array<variant>")
+        return F.when(F.size(items) >= n, F.concat(F.slice(items, 1, n), F.array(value), F.slice(items, n + 1, 1 << 30)))
+
+    return let(v, lambda d: _edited(d, path, lambda m, name: _put(m, name, value), element, None))
+
+
+def replace_at(v: Column, path: Sequence[str], value: Column) -> Column:
+    """RFC 6902 replace: NULL if there is nothing at the place."""
+    if not path:
+        return value
+
+    def element(items: Column, step: str, n: int | None) -> Column:
+        return F.lit(None).cast("array<variant>") if n is None else F.when(F.size(items) > n, F.transform(items, lambda y, i: F.when(i == n, value).otherwise(y)))
+
+    return let(v, lambda d: _edited(d, path, lambda m, name: F.when(F.map_contains_key(m, name), _put(m, name, value)), element, None))
+
+
+def remove_at(v: Column, path: Sequence[str]) -> Column:
+    """RFC 6902 remove: NULL if there is nothing at the place, or for the root."""
+    if not path:
+        return F.lit(None).cast("variant")
+
+    def element(items: Column, step: str, n: int | None) -> Column:
+        return F.lit(None).cast("array<variant>") if n is None else F.when(F.size(items) > n, F.filter(items, lambda y, i: i != n))
+
+    return let(v, lambda d: _edited(d, path, lambda m, name: F.when(F.map_contains_key(m, name), F.map_filter(m, lambda k, _: k != name)), element, None))
+
+
+def set_at(v: Column, path: Sequence[str], value: Column) -> Column:
+    """A document with the value at the path: objects that are missing on the way are made, arrays are filled with nulls up to the place."""
+    if not path:
+        return value
+    step, n = path[0], _index(path[0])
+
+    def in_object(m: Column) -> Column:
+        return F.to_variant_object(_put(m, step, set_at(F.try_element_at(m, F.lit(step)), path[1:], value)))
+
+    def in_array(items: Column) -> Column:
+        null = F.parse_json(F.lit("null"))
+        padded = F.concat(items, F.array_repeat(null, F.greatest(F.lit(n + 1) - F.size(items), F.lit(0))))
+        return F.to_variant_object(F.transform(padded, lambda y, i: F.when(i == n, set_at(y, path[1:], value)).otherwise(y)))
+
+    new = in_object(_empty_map()) if n is None else in_array(F.array().cast("array<variant>"))
+    out = F.when(as_map(v).isNotNull(), let(as_map(v), in_object))
+    return (out if n is None else out.when(as_array(v).isNotNull(), let(as_array(v), in_array))).otherwise(new)
+
+
+def apply_document_patch(document: Column, operations: Sequence[dict]) -> Column:
+    """A document after add, remove, replace, move, copy and test at pointers; NULL if any fails, so that a patch is whole or not at all.
+
+    Values are Python values or Columns (VARIANT). More than about three operations on deep paths need a higher spark.sql.analyzer.maxIterations.
+    """
+
+    def value(op: dict) -> Column:
+        return op["value"] if isinstance(op["value"], Column) else F.parse_json(F.lit(json.dumps(op["value"])))
+
+    def run(d: Column, rest: Sequence[dict]) -> Column:
+        if not rest:
+            return d
+        op, path = rest[0], steps(rest[0]["path"])
+        if op["op"] == "add":
+            new = add_at(d, path, value(op))
+        elif op["op"] == "replace":
+            new = replace_at(d, path, value(op))
+        elif op["op"] == "remove":
+            new = remove_at(d, path)
+        elif op["op"] == "test":
+            new = F.when(equal(follow(d, path), value(op)), d)
+        elif op["op"] in ("copy", "move"):
+            source = steps(op["from"])
+            if op["op"] == "move" and path[: len(source)] == source and path != source:
+                raise ValueError("a place can't be moved into itself")
+            base = remove_at(d, source) if op["op"] == "move" else d
+            new = let(follow(d, source), lambda x: F.when(x.isNotNull(), add_at(base, path, x)))
+        else:
+            raise ValueError(f"no such operation: {op['op']}")
+        return let(new, lambda x: F.when(x.isNotNull(), run(x, rest[1:])))
+
+    return run(document, operations)
 
 
 def apply_patch(row: Column, operations: Sequence[dict]) -> Column:
@@ -83,12 +285,3 @@ def apply_patch(row: Column, operations: Sequence[dict]) -> Column:
         else:
             raise ValueError(f"no such operation: {op['op']}")
     return F.when(ok, row)
-
-
-def set_member(document: Column, name: str, value: Column) -> Column:
-    """An object with a member set, as map<string,variant>."""
-    return F.map_concat(F.map_filter(as_map(document), lambda k, _: k != name), F.create_map(F.lit(name), value))
-
-
-def has_changed(before: Column, after: Column, name: str) -> Column:
-    return ~F.coalesce(F.to_json(child(before, name)), F.lit("")).eqNullSafe(F.coalesce(F.to_json(child(after, name)), F.lit("")))

@@ -11,6 +11,8 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "12g") ->
         .appName("loomtree")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
+        # deep merges and long patches are nested lambdas, of which the analyzer resolves one or two a round
+        .config("spark.sql.analyzer.maxIterations", "1000")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
