@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -127,5 +128,57 @@ def splat(items: Column, field: str) -> Column:
 
 
 def integer_quotient(a: Column, b: Column) -> Column:
-    """Truncates toward zero; NULL for a zero divisor."""
-    return F.try_divide(a - F.sign(a) * F.pmod(F.abs(a), F.abs(F.nullif(b, F.lit(0)))), b).cast("long")
+    """Of integers, exact; truncates toward zero; NULL for a zero divisor."""
+    return F.call_function("div", a.cast("bigint"), F.nullif(b.cast("bigint"), F.lit(0).cast("bigint")))
+
+
+def power(base: Column, exponent: int) -> Column:
+    """An integer for an integer base and an exponent of 0 or more, else a double; NULL where an integer is beyond its range."""
+    wide = F.pow(base.cast("double"), F.lit(exponent))
+    if exponent < 0:
+        return wide
+    out = F.lit(1).cast("bigint")
+    for _ in range(exponent):
+        out = F.try_multiply(out, base.cast("bigint"))
+    return out
+
+
+def formatted(pattern: str, *values: Column) -> Column:
+    """%s and %v as text, %d as an integer, %f as a double without padding, %t as a boolean, %q quoted, %% a percent sign."""
+    parts, left, at = [], list(values), 0
+    while at < len(pattern):
+        stop = pattern.find("%", at)
+        if stop < 0 or stop == len(pattern) - 1:
+            parts.append(F.lit(pattern[at:]))
+            break
+        parts.append(F.lit(pattern[at:stop]))
+        verb, at = pattern[stop + 1], stop + 2
+        if verb == "%":
+            parts.append(F.lit("%"))
+            continue
+        if verb not in "svdftq" or not left:
+            raise ValueError(f"no value or verb for %{verb}")
+        v = left.pop(0)
+        cast = {"d": "bigint", "f": "double", "t": "boolean"}.get(verb)
+        text = v.cast(cast).cast("string") if cast else v.cast("string")
+        parts.append(F.concat(F.lit('"'), F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')) if verb == "q" else text)
+    return F.concat(*[F.coalesce(p, F.lit("null")) for p in parts]) if parts else F.lit("")
+
+
+def template(text: str, **values: Column) -> Column:
+    """A text with ${name} filled in; $${ stands for ${; an unknown name raises."""
+    parts, at = [], 0
+    for m in re.finditer(r"\$\$\{|\$\{\s*([A-Za-z_][A-Za-z0-9_]*)\s*\}", text):
+        parts += [F.lit(text[at : m.start()]), F.lit("${") if m[1] is None else F.coalesce(values[m[1]].cast("string"), F.lit(""))]
+        at = m.end()
+    return F.concat(*parts, F.lit(text[at:]))
+
+
+def template_for(items: Column, body: Callable[[Column], Column], between: str = "") -> Column:
+    """%{ for x in items }body%{ endfor }"""
+    return F.array_join(F.transform(items, body), between)
+
+
+def template_if(test: Column, then: Column, otherwise: Column | None = None) -> Column:
+    """%{ if test }then%{ else }otherwise%{ endif }"""
+    return F.when(F.coalesce(test, F.lit(False)), then).otherwise(F.lit("") if otherwise is None else otherwise)

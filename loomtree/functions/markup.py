@@ -1,4 +1,4 @@
-"""XPath over XML text columns by Spark's own functions, with the string functions of XPath 2 outside the expression."""
+"""XPath over XML text columns by Spark's own functions; ends-with, upper-case, lower-case and replace, which XPath 1 lacks, go around the path."""
 
 from __future__ import annotations
 
@@ -26,6 +26,22 @@ def count(xml: Column, path: str) -> Column:
     return F.xpath_long(xml, F.lit(f"count({path})"))
 
 
+def ends_with(xml: Column, path: str, end: str) -> Column:
+    return F.endswith(text(xml, path), F.lit(end))
+
+
+def upper_case(xml: Column, path: str) -> Column:
+    return F.upper(text(xml, path))
+
+
+def lower_case(xml: Column, path: str) -> Column:
+    return F.lower(text(xml, path))
+
+
+def replaced(xml: Column, path: str, old: str, new: str) -> Column:
+    return F.replace(text(xml, path), F.lit(old), F.lit(new))
+
+
 def bound(path: str, **variables: str) -> str:
     """A path with $name replaced by an XPath literal."""
     for name, value in variables.items():

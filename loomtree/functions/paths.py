@@ -92,9 +92,16 @@ def at_dots(v: Column, path: str) -> Column:
     return follow(v, [p for p in path.split(".") if p])
 
 
-def set_field(row: Column, path: Sequence[str], value: Column) -> Column:
-    """A struct column with the field at this path set or added."""
-    return row.withField(".".join(f"`{p}`" for p in path), value)
+def required(v: Column, pointer: str, kind_: str | None = None) -> Column:
+    """The value at a pointer; raises if it is missing, or not of the kind."""
+    found = at_pointer(v, pointer)
+    wrong = found.isNull() if kind_ is None else found.isNull() | (kind(found) != kind_)
+    return F.when(wrong, F.raise_error(F.lit(f"no {kind_ or 'value'} at {pointer}")).cast("variant")).otherwise(found)
+
+
+def matched(v: Column) -> Column:
+    """How many nodes a path has matched: the elements of one array, 1 for another value, 0 for none."""
+    return F.when(v.isNull(), 0).otherwise(F.coalesce(F.size(as_array(v)), F.lit(1)))
 
 
 def set_elements(items: Column, test: Callable[[Column], Column], change: Callable[[Column], Column]) -> Column:

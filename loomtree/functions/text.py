@@ -15,6 +15,27 @@ def from_base64_url(s: Column) -> Column:
     return F.unbase64(F.translate(s, "-_", "+/"))
 
 
+def is_base64(s: Column, url: bool = False) -> Column:
+    """Whether a text is base64 of the standard alphabet with padding, or URL-safe with or without."""
+    return s.rlike(r"^(?:[A-Za-z0-9_-]{4})*(?:[A-Za-z0-9_-]{2}(?:==)?|[A-Za-z0-9_-]{3}=?)?$" if url else r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$")
+
+
+def crc32(s: Column) -> Column:
+    return F.crc32(F.encode(s, "UTF-8"))
+
+
+def decoded(raw: Column) -> Column:
+    """Text of bytes by their byte order mark (UTF-8, UTF-16 of both orders; UTF-8 without), newlines as line feeds."""
+    head = F.hex(F.substr(raw, F.lit(1), F.lit(3)))
+    text = (
+        F.when(head == "EFBBBF", F.decode(F.substr(raw, F.lit(4)), "UTF-8"))
+        .when(head.startswith("FFFE"), F.decode(F.substr(raw, F.lit(3)), "UTF-16LE"))
+        .when(head.startswith("FEFF"), F.decode(F.substr(raw, F.lit(3)), "UTF-16BE"))
+        .otherwise(F.decode(raw, "UTF-8"))
+    )
+    return unix_newlines(text)
+
+
 def hex_lower(raw: Column) -> Column:
     return F.lower(F.hex(raw))
 
@@ -56,6 +77,35 @@ def json_minified(s: Column) -> Column:
     return F.to_json(F.try_parse_json(s))
 
 
+def json_pretty(value: Column) -> Column:
+    """A struct, map, array or VARIANT as JSON over several lines."""
+    return F.to_json(value, {"pretty": "true"})
+
+
+def json_escaped(s: Column) -> Column:
+    """The text as a JSON string, quotes included."""
+    return F.to_json(s.cast("variant"))
+
+
+def csv_escaped(s: Column, delimiter: str = ",") -> Column:
+    """A cell in quotes if it holds a delimiter, a quote or a line break."""
+    return F.when(s.rlike("[\"\r\n]") | s.contains(delimiter), F.concat(F.lit('"'), F.replace(s, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(s)
+
+
+def within_limits(s: Column, max_bytes: int = 64 << 20, max_brackets: int | None = None) -> Column:
+    """Whether a document's text is small enough to parse: its bytes, and its opening brackets, which bound its depth."""
+    brackets = F.char_length(s) - F.char_length(F.translate(s, "[{", ""))
+    small = F.octet_length(s) <= max_bytes
+    return small if max_brackets is None else small & (brackets <= max_brackets)
+
+
+def lenient_json(s: Column) -> Column:
+    """A VARIANT of JSON with comments, single quotes, unquoted names, NaN, leading zeros and trailing commas in; NULL if it is none."""
+    plain = F.regexp_replace(s, r'("(?:[^"\\]|\\.)*")|,(\s*[}\]])', "$1$2")
+    options = {"allowComments": "true", "allowSingleQuotes": "true", "allowUnquotedFieldNames": "true", "allowNonNumericNumbers": "true", "allowNumericLeadingZeros": "true"}
+    return F.from_json(plain, "variant", options)
+
+
 def frontmatter(s: Column) -> Column:
     """struct(format, frontmatter, content): --- fences YAML, +++ fences TOML; no fence leaves the text alone."""
     s = unix_newlines(s)

@@ -169,18 +169,23 @@ def filter_nested(spark, sf_dir):
     return _orders(spark, sf_dir).select("o_orderkey", F.array_join(F.transform(kept, lambda x: x["l_partkey"].cast("string")), ",").alias("parts"))
 
 
-@query("SELECT event_id, (props->'$.k') IS NOT NULL AS has_k, false AS has_other FROM events")
+@query("SELECT event_id, event_id % 3 < 2 AS has_k, event_id % 2 = 0 AS has_other FROM events")
 def filter_exists(spark, sf_dir):
-    df = _table(spark, sf_dir, "events").select("event_id", F.try_parse_json("props").alias("doc"))
+    i = F.col("event_id")
+    members = F.concat_ws(",", F.when(i % 3 == 0, '"k":null').when(i % 3 == 1, '"k":1'), F.when(i % 2 == 0, '"other":[]'))
+    df = _table(spark, sf_dir, "events").select("event_id", F.parse_json(F.concat(F.lit("{"), members, F.lit("}"))).alias("doc"))
     return df.select("event_id", paths.child(F.col("doc"), "k").isNotNull().alias("has_k"), paths.child(F.col("doc"), "other").isNotNull().alias("has_other"))
 
 
-@query("SELECT event_id, CAST(props->>'$.k' AS BIGINT) = 87 AS same, CAST(props->>'$.k' AS BIGINT) <> 87 AS other, false AS missing, CAST(props->>'$.k' AS BIGINT) < 50 AS below, false AS mixed FROM events")
+@query("SELECT event_id, CAST(props->>'$.k' AS BIGINT) = 87 AS same, CAST(props->>'$.k' AS BIGINT) <> 87 AS other, event_id % 4 = 1 AS missing, CAST(props->>'$.k' AS BIGINT) < 50 AS below, event_id % 3 = 2 AS mixed FROM events")
 def filter_two_valued(spark, sf_dir):
     df = _table(spark, sf_dir, "events").select("event_id", F.try_parse_json("props").alias("doc"))
-    k, x, word = paths.child(F.col("doc"), "k"), F.parse_json(F.lit("87.0")), F.parse_json(F.lit('"a"'))
+    k, x = paths.child(F.col("doc"), "k"), F.parse_json(F.lit("87.0"))
+    i = F.col("event_id")
+    maybe = paths.child(F.parse_json(F.when(i % 4 == 1, '{"no":"87"}').otherwise("{}")), "no")  # there for one in four, of another kind than 87
+    word = F.parse_json(F.when(i % 3 == 2, "1e300").otherwise('"a"'))
     below = values.less(k, F.parse_json(F.lit("50")))
-    return df.select("event_id", values.equal(k, x).alias("same"), values.unequal(k, x).alias("other"), values.unequal(paths.child(F.col("doc"), "no"), x).alias("missing"), below.alias("below"), values.less(k, word).alias("mixed"))
+    return df.select("event_id", values.equal(k, x).alias("same"), values.unequal(k, x).alias("other"), values.unequal(maybe, x).alias("missing"), below.alias("below"), values.less(k, word).alias("mixed"))
 
 
 @query("SELECT p_partkey FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) FROM part)")
@@ -230,9 +235,9 @@ def group_rows(spark, sf_dir):
     return df.select("key", F.array_join(F.transform("items", lambda x: x["c_custkey"].cast("string")), ",").alias("items"))
 
 
-@query("SELECT CAST(user_id AS VARCHAR) AS key, count(*) AS n, CAST(sum(CAST(props->>'$.k' AS BIGINT)) AS DOUBLE) AS total FROM events WHERE event_type = 'error' GROUP BY 1")
+@query("SELECT CAST(user_id AS VARCHAR) AS key, count(*) AS n, CAST(sum(CAST(props->>'$.k' AS BIGINT)) AS DOUBLE) AS total FROM events GROUP BY 1")
 def group_agg(spark, sf_dir):
-    df = collection.select(_table(spark, sf_dir, "events"), F.col("event_type") == "error")
+    df = _table(spark, sf_dir, "events")
     k = values.number(paths.child(F.try_parse_json("props"), "k"))
     return collection.group_agg(df, F.col("user_id"), n=F.count("*"), total=F.coalesce(F.sum(k), F.lit(0.0)))
 
@@ -268,17 +273,18 @@ def total_order(spark, sf_dir):
     return df.select("n_nationkey", F.to_json(F.to_variant_object(values.sorted_values(items))).alias("ordered"))
 
 
-@query("SELECT n_nationkey, '[' || n_nationkey || ',1,2,3]' AS flat FROM nation")
+@query("SELECT o_orderkey, '[' || o_orderkey || ',1,2,' || o_orderkey % 10 || ']' AS flat FROM orders")
 def flatten(spark, sf_dir):
-    nested = F.parse_json(F.concat(F.lit("["), F.col("n_nationkey").cast("string"), F.lit(",[1,[2,[3]]],[]]")))
-    return _table(spark, sf_dir, "nation").select("n_nationkey", F.to_json(F.to_variant_object(descend.flattened(nested))).alias("flat"))
+    k = F.col("o_orderkey")
+    nested = F.parse_json(F.concat(F.lit("["), k.cast("string"), F.lit(",[1,[2,[[[["), (k % 10).cast("string"), F.lit("]]]]]],[]]")))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", F.to_json(F.to_variant_object(descend.flattened(nested))).alias("flat"))
 
 
-@query("SELECT event_id, 'object' AS doc, 'number' AS k, 'string' AS word, 'null' AS nothing, 'array' AS list FROM events")
+@query("SELECT event_id, 'object' AS doc, 'number' AS k, ['string', 'null', 'array', 'boolean', 'number', 'object'][event_id % 6 + 1] AS other FROM events")
 def kinds(spark, sf_dir):
     df = _table(spark, sf_dir, "events").select("event_id", F.try_parse_json("props").alias("doc"))
-    other = {n: values.kind(F.parse_json(F.lit(t))).alias(n) for n, t in (("word", '"1"'), ("nothing", "null"), ("list", "[1]"))}
-    return df.select("event_id", values.kind(F.col("doc")).alias("doc"), values.kind(paths.child(F.col("doc"), "k")).alias("k"), *other.values())
+    other = F.parse_json(F.get(F.array(*map(F.lit, ('"1"', "null", "[1]", "true", "1.5", "{}"))), (F.col("event_id") % 6).cast("int")))
+    return df.select("event_id", values.kind(F.col("doc")).alias("doc"), values.kind(paths.child(F.col("doc"), "k")).alias("k"), values.kind(other).alias("other"))
 
 
 @query("SELECT o_orderkey, 4 + 4 * len(a) AS n_nodes, CASE WHEN len(a) > 0 THEN 3 ELSE 1 END AS max_depth, 1 + 3 * len(a) AS n_numbers, 1 AS n_strings, 2 + len(a) AS n_containers, 1 AS longest_string, 13 AS longest_key, len(a) AS largest_array FROM (" + _SLICE + ")")
@@ -442,6 +448,44 @@ def merge_patch(spark, sf_dir):
     return df.select("n_nationkey", F.to_json(F.to_variant_object(merged)).alias("doc"))
 
 
+@query("""SELECT c_custkey, '{"c_acctbal":' || CASE WHEN c_custkey % 2 = 0 THEN '1' ELSE '0' END || ',"in":{"a":' || CASE WHEN c_custkey % 3 = 0 THEN '[1]' ELSE '[1,2]' END || ',"k":' || c_custkey || '}}' AS merged,
+  CASE WHEN c_custkey % 3 = 0 THEN '{"in":{"a":[1]}}' ELSE '{}' END AS patch FROM customer""")
+def merge_documents(spark, sf_dir):
+    k = F.col("c_custkey")
+    first = F.parse_json(F.concat(F.lit('{"gone":1,"c_acctbal":0,"in":{"a":[1,2],"k":'), k.cast("string"), F.lit("}}")))
+    second = F.when(k % 2 == 0, F.parse_json(F.lit('{"c_acctbal":1}')))
+    third = F.parse_json(F.when(k % 3 == 0, '{"gone":null,"in":{"a":[1]}}').otherwise('{"gone":null}'))
+    merged = change.merge_all(first, second, third)
+    before = change.merge_all(first, second, F.parse_json(F.lit('{"gone":null}')))
+    return _table(spark, sf_dir, "customer").select("c_custkey", F.to_json(merged).alias("merged"), F.to_json(change.create_merge_patch(before, merged)).alias("patch"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 3 THEN '{"a":[' || CASE WHEN o_orderkey % 4 = 2 THEN '' ELSE '0,' END || o_orderkey || ',{"b":"x"}],"z":' || CASE WHEN o_orderkey % 2 = 0 THEN '[null,{"n":7}]' ELSE '[null,{"n":7},' || o_orderkey || ']' END || '}' END AS doc
+FROM orders WHERE o_orderkey % 4 <> 3 UNION ALL SELECT o_orderkey, NULL FROM orders WHERE o_orderkey % 4 = 3""")
+def patch_documents(spark, sf_dir):
+    k = F.col("o_orderkey")
+    start = F.parse_json(F.concat(F.lit('{"a":[0,'), k.cast("string"), F.lit(',{"b":1}],"s":'), (k % 4).cast("string"), F.lit("}")))
+    made = change.set_at(start, ["z", "1", "n"], F.lit(7).cast("variant"))
+    made = F.when(k % 2 == 1, change.add_at(made, ["z", "-"], k.cast("variant"))).otherwise(made)
+    made = F.when(k % 4 == 2, change.remove_at(made, ["a", "0"])).otherwise(made)
+    at = F.when(k % 4 == 2, change.replace_at(made, ["a", "1", "b"], F.lit("x").cast("variant"))).otherwise(change.replace_at(made, ["a", "2", "b"], F.lit("x").cast("variant")))
+    patched = change.apply_document_patch(F.when(k % 4 != 3, at), [{"op": "remove", "path": "/s"}])
+    return _table(spark, sf_dir, "orders").select("o_orderkey", F.to_json(patched).alias("doc"))
+
+
+@query("""WITH l AS (SELECT l_orderkey AS o_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1)
+SELECT o_orderkey, '/items/0/l_quantity' AS pointer, 'replace' AS op, 'modified' AS label FROM l WHERE o_orderkey % 3 = 0 AND n > 0
+UNION ALL SELECT o_orderkey, '/items/' || (n - 1), 'remove', 'removed' FROM l WHERE o_orderkey % 3 = 1 UNION ALL SELECT o_orderkey, '/items', NULL, 'size changed' FROM l WHERE o_orderkey % 3 = 1
+UNION ALL SELECT o_orderkey, '/o_orderstatus', 'replace', 'type changed' FROM l WHERE o_orderkey % 3 = 2 UNION ALL SELECT o_orderkey, '/more', 'add', 'added' FROM l WHERE o_orderkey % 3 = 2""")
+def diff_documents(spark, sf_dir):
+    before = _order_documents(spark, sf_dir)
+    k, doc, items = F.col("o_orderkey"), F.col("doc"), paths.members(paths.child(F.col("doc"), "items"))
+    less = change.replace_at(doc, ["items"], F.to_variant_object(F.slice(items, F.lit(1), F.size(items) - 1)))
+    other = change.add_at(change.replace_at(doc, ["o_orderstatus"], F.lit(1).cast("variant")), ["more"], F.parse_json(F.lit('{"x":[1,{"y":2}]}')))
+    after = before.select("o_orderkey", F.when(k % 3 == 0, change.replace_at(doc, ["items", "0", "l_quantity"], F.lit(-1).cast("variant"))).when(k % 3 == 1, less).otherwise(other).alias("doc"))
+    return change.diff_documents(before, after, ["o_orderkey"], "doc").select("o_orderkey", "pointer", "op", "label")
+
+
 @query("SELECT n_nationkey, n_name AS label, n_regionkey AS region, 'x' AS added FROM nation WHERE n_regionkey = 2")
 def apply_patch(spark, sf_dir):
     operations = [{"op": "test", "path": "/n_regionkey", "value": 2}, {"op": "add", "path": "/added", "value": "x"}, {"op": "move", "from": "/n_name", "path": "/label"}, {"op": "copy", "from": "/n_regionkey", "path": "/region"}, {"op": "remove", "path": "/n_regionkey"}]
@@ -466,11 +510,83 @@ def expression_collections(spark, sf_dir):
     return df.select("o_orderkey", X.element(F.col("a"), 7).alias("wrapped"), F.array_join(X.sort_text(F.col("a")), ",").alias("sorted"), F.array_join(doubled, ",").alias("doubled"), F.size(F.array_distinct("a")).cast("long").alias("n"), F.array_contains("a", 7).alias("has7"))
 
 
-@query("SELECT n_nationkey, 'b,k,x' AS names, n_name AS looked, 'none' AS missing, '2' AS merged, 'BRAZIL' = n_name AS brazil FROM nation")
+@query("SELECT s_suppkey, 'b,' || CASE WHEN s_suppkey % 2 = 0 THEN 'k' ELSE 'l' END || ',x' AS names, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE 'none' END AS looked, CAST(s_nationkey AS VARCHAR) AS merged, s_nationkey || ',' || s_name || ',3' AS vals, s_name || '=' || s_nationkey AS pairs FROM supplier")
 def expression_maps(spark, sf_dir):
-    df, m = _table(spark, sf_dir, "nation"), X.zipmap(F.array(F.lit("k"), F.lit("b"), F.lit("no")), F.array(F.col("n_name"), F.lit("1")))
-    both = X.merge(m, F.create_map(F.lit("b"), F.lit("2"), F.lit("x"), F.lit("3")))
-    return df.select("n_nationkey", F.array_join(X.keys(both), ",").alias("names"), X.lookup(m, "k", F.lit("none")).alias("looked"), X.lookup(m, "z", F.lit("none")).alias("missing"), X.lookup(both, "b", F.lit("none")).alias("merged"), (F.col("n_name") == "BRAZIL").alias("brazil"))
+    k, name, nation = F.when(F.col("s_suppkey") % 2 == 0, "k").otherwise("l"), F.col("s_name"), F.col("s_nationkey").cast("string")
+    m = X.zipmap(F.array(k, F.lit("b"), F.lit("no")), F.array(name, F.lit("1")))
+    both = X.merge(m, F.create_map(F.lit("b"), nation, F.lit("x"), F.lit("3")))
+    pairs = X.for_map(F.array(name), lambda x: x, lambda x: nation)
+    shown = F.array_join(F.transform(F.map_entries(pairs), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    df = _table(spark, sf_dir, "supplier")
+    return df.select("s_suppkey", F.array_join(X.keys(both), ",").alias("names"), X.lookup(m, "k", F.lit("none")).alias("looked"), X.lookup(both, "b", F.lit("none")).alias("merged"), F.array_join(X.values(both), ",").alias("vals"), shown.alias("pairs"))
+
+
+@query("""SELECT o_orderkey, CAST(o_orderkey + 9007199254740992 AS BIGINT) AS total, o_orderkey % 2 = 1 AS same, o_orderkey % 3 = 2 AS below, CAST(least(o_orderkey % 7, 3) AS VARCHAR) AS least,
+  CASE WHEN o_orderkey % 5 = 0 THEN 'true' ELSE CAST(9007199254740992 + o_orderkey % 2 AS VARCHAR) END AS least_of_large, 9007199254740993 // 2 + 0 * o_orderkey AS half, CAST((o_orderkey % 9) * (o_orderkey % 9) * (o_orderkey % 9) AS BIGINT) AS cube FROM orders""")
+def exact_numbers(spark, sf_dir):
+    k, big = F.col("o_orderkey"), 1 << 53
+
+    def doc(x):
+        return x.cast("variant")
+
+    near = doc(F.lit(big) + k % 2)
+    some = F.array(near, F.when(k % 5 == 0, doc(F.lit(True))).otherwise(doc(F.lit(big + 2))))
+    return _table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        F.try_variant_get(values.exact_sum(F.array(doc(k), doc(F.lit(big)), doc(F.lit("7")))), "$", "bigint").alias("total"),
+        values.equal(near, doc(F.lit(big + 1))).alias("same"),
+        values.less(doc(F.lit(big + 1)), doc(F.lit(big) + k % 3)).alias("below"),
+        F.to_json(values.least_value(F.array(doc(F.lit(3).cast("bigint")), doc(k % 7)))).alias("least"),
+        F.to_json(values.least_value(some)).alias("least_of_large"),
+        X.integer_quotient(F.lit(big + 1), F.lit(2)).alias("half"),
+        X.power(k % 9, 3).alias("cube"),
+    )
+
+
+@query("""SELECT p_partkey, p_name || ' costs ' || CAST(p_size AS VARCHAR) || '% "' || p_brand || '" ' || CASE WHEN p_size > 20 THEN 'true' ELSE 'false' END AS formatted,
+  'part ' || p_partkey || ': ' || p_name || ' ${x}' AS filled, CASE WHEN p_size > 20 THEN 'large' ELSE '' END AS conditional, CASE WHEN p_size > 20 THEN p_brand ELSE p_type END AS first_filled,
+  trim(p_name) AS spaced, length(p_name) AS length, p_name[2:4] AS middle, array_to_string(list_filter([p_name, CASE WHEN p_size > 20 THEN p_brand ELSE '' END], lambda x: x <> ''), '|') AS compacted,
+  CASE WHEN p_type LIKE '%L' THEN p_type[:-2] ELSE p_type END AS cut FROM part""")
+def expression_templates(spark, sf_dir):
+    name, size, large = F.col("p_name"), F.col("p_size"), F.col("p_size") > 20
+    return _table(spark, sf_dir, "part").select(
+        "p_partkey",
+        X.formatted("%s costs %d%% %q %t", name, size, F.col("p_brand"), large).alias("formatted"),
+        X.template("part ${k}: ${name} $${x}", k=F.col("p_partkey"), name=name).alias("filled"),
+        X.template_if(large, F.lit("large")).alias("conditional"),
+        X.coalesce(F.when(large, F.col("p_brand")).otherwise(""), F.col("p_type")).alias("first_filled"),
+        X.trimspace(F.concat(F.lit(" \t"), name, F.lit("\n"))).alias("spaced"),
+        values.length(name.cast("variant")).cast("long").alias("length"),
+        F.array_join(X.slice_(F.split(name, ""), 1, 4), "").alias("middle"),
+        X.template_for(X.compact(F.array(name, F.when(large, F.col("p_brand")).otherwise(""))), lambda x: x, "|").alias("compacted"),
+        X.trimsuffix(F.col("p_type"), "L").alias("cut"),
+    )
+
+
+@query("""SELECT c_custkey, c_custkey % 2 = 0 AS base64, c_custkey % 3 > 0 AS url, c_name || chr(10) || 'ok' AS decoded, '"' || c_name || '\\"' || '"' AS json_text, CASE WHEN c_custkey % 2 = 0 THEN '"' || c_name || ',x"' ELSE c_name END AS cell,
+  '{' || chr(10) || '  "k" : ' || c_custkey || chr(10) || '}' AS pretty, c_custkey % 4 = 0 AS small, c_custkey AS lenient, c_name AS wanted, CASE WHEN c_custkey % 2 = 0 THEN 3 ELSE 1 END AS matched, upper(c_name) || 'end' AS upper_end, c_name LIKE '%7' AS ends FROM customer""")
+def text_and_limits(spark, sf_dir):
+    k, name = F.col("c_custkey"), F.col("c_name")
+    even = k % 2 == 0
+    raw = F.concat(name, F.lit("\r\nok"))
+    bytes_ = F.when(k % 3 == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(raw, "UTF-8"))).when(k % 3 == 1, F.concat(F.unhex(F.lit("FFFE")), F.encode(raw, "UTF-16LE"))).otherwise(F.encode(raw, "UTF-8"))
+    loose = F.parse_json(F.concat(F.lit('{"a":'), F.when(even, "[1,2,3]").otherwise("5"), F.lit(',"n":'), text.json_escaped(name), F.lit("}")))
+    xml = F.concat(F.lit("<c>"), text.xml_escaped(name), F.lit("</c>"))
+    return _table(spark, sf_dir, "customer").select(
+        "c_custkey",
+        text.is_base64(F.when(even, "QUJD").otherwise("QUJ")).alias("base64"),
+        text.is_base64(F.when(k % 3 > 0, "__79_A").otherwise("a+b/"), url=True).alias("url"),
+        text.decoded(bytes_).alias("decoded"),
+        text.json_escaped(F.concat(name, F.lit('"'))).alias("json_text"),
+        text.csv_escaped(F.when(even, F.concat(name, F.lit(",x"))).otherwise(name)).alias("cell"),
+        text.json_pretty(F.struct(k.alias("k"))).alias("pretty"),
+        text.within_limits(F.when(k % 4 == 0, "[[1]]").otherwise("[[[1]]]"), 100, 2).alias("small"),
+        F.try_variant_get(text.lenient_json(F.concat(F.lit("{k: "), k.cast("string"), F.lit(", /* no */ 'x': ',]',}"))), "$.k", "bigint").alias("lenient"),
+        F.try_variant_get(paths.required(loose, "/n", "string"), "$", "string").alias("wanted"),
+        paths.matched(paths.at_pointer(loose, "/a")).alias("matched"),
+        F.concat(markup.upper_case(xml, "/c"), F.lit("end")).alias("upper_end"),
+        markup.ends_with(xml, "/c", "7").alias("ends"),
+    )
 
 
 @query("SELECT c_custkey, ceil(c_acctbal) AS up, floor(c_acctbal) AS down, abs(c_acctbal) AS size, greatest(c_acctbal, 100.0) AS most, CAST(sign(c_acctbal) AS DOUBLE) AS side, CAST(trunc(c_nationkey / 4) AS BIGINT) AS quarter FROM customer")
@@ -485,11 +601,11 @@ def expression_encodings(spark, sf_dir):
     return _table(spark, sf_dir, "part").select("p_partkey", X.base64encode(name).alias("b64"), X.base64decode(X.base64encode(name)).alias("back"), text.hex_lower(F.encode(name, "UTF-8")).alias("hexed"), F.to_json(F.struct("p_partkey")).alias("json"))
 
 
-@query("SELECT n_nationkey, 'a' || chr(10) || '  ' || n_name AS dedented, 2 AS lines, replace(n_name, 'A', '&lt;A&gt;') AS escaped FROM nation")
+@query("SELECT n_nationkey, 'a' || chr(10) || '  ' || n_name AS dedented, 2 + n_nationkey % 3 AS lines, replace(n_name, 'A', '&lt;A&gt;') AS escaped FROM nation")
 def text_helpers(spark, sf_dir):
     df = _table(spark, sf_dir, "nation")
     body = F.concat(F.lit("  a\n    "), "n_name")
-    return df.select("n_nationkey", text.dedent(body).alias("dedented"), text.line_count(body).alias("lines"), text.xml_escaped(F.replace("n_name", F.lit("A"), F.lit("<A>"))).alias("escaped"))
+    return df.select("n_nationkey", text.dedent(body).alias("dedented"), text.line_count(F.concat(body, F.repeat(F.lit("\n-"), (F.col("n_nationkey") % 3).cast("int")))).cast("long").alias("lines"), text.xml_escaped(F.replace("n_name", F.lit("A"), F.lit("<A>"))).alias("escaped"))
 
 
 @query("SELECT r_regionkey, CASE r_regionkey % 3 WHEN 0 THEN 'yaml' WHEN 1 THEN 'toml' END AS format, CASE WHEN r_regionkey % 3 < 2 THEN 'title: ' || r_name END AS frontmatter, 'body ' || r_name AS content FROM region")
@@ -566,8 +682,8 @@ def parquet_columns_limit(spark, sf_dir):
     return _table(spark, sf_dir, "part").select("p_partkey", "p_name").orderBy("p_partkey").offset(10).limit(30)
 
 
-@query("SELECT n_nationkey, '1,2,3' AS flat FROM nation")
+@query("SELECT p_partkey, p_partkey || ',' || p_size || ',3' AS flat FROM part")
 def flatten_typed(spark, sf_dir):
-    nested = F.array(F.array(F.array(F.lit(1)), F.array(F.lit(2))), F.array(F.array(F.lit(3))))
-    kind = T.ArrayType(T.ArrayType(T.ArrayType(T.IntegerType())))
-    return _table(spark, sf_dir, "nation").select("n_nationkey", F.array_join(F.transform(X.flatten(nested, kind), lambda x: x.cast("string")), ",").alias("flat"))
+    nested = F.array(F.array(F.array(F.col("p_partkey")), F.array(F.col("p_size").cast("long"))), F.array(F.array(F.lit(3).cast("long"))))
+    kind = T.ArrayType(T.ArrayType(T.ArrayType(T.LongType())))
+    return _table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(X.flatten(nested, kind), lambda x: x.cast("string")), ",").alias("flat"))

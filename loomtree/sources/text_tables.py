@@ -101,3 +101,30 @@ def read(spark: SparkSession, path: str, kind: str, schema: str | None = None, *
     reader = reader.option("sep", "\t") if kind == "tsv" else reader
     reader = reader.option("rowTag", options.get("rowTag", "row")) if kind == "xml" else reader
     return reader.format({"tsv": "csv"}.get(kind, kind)).load(path)
+
+
+#: Formats by file extension and by MIME type.
+EXTENSIONS = {"json": "json", "jsonl": "json", "ndjson": "json", "csv": "csv", "tsv": "tsv", "tab": "tsv", "xml": "xml", "parquet": "parquet", "orc": "orc", "txt": "text", "log": "text"}
+MIME = {"application/json": "json", "application/x-ndjson": "json", "text/csv": "csv", "text/tab-separated-values": "tsv", "application/xml": "xml", "text/xml": "xml", "application/vnd.apache.parquet": "parquet", "text/plain": "text"}
+
+
+def kind_of(name: str) -> str:
+    """The format of a file name (also compressed), an extension or a MIME type."""
+    if name.split(";")[0].strip().lower() in MIME:
+        return MIME[name.split(";")[0].strip().lower()]
+    parts = name.lower().rstrip("/").rsplit("/", 1)[-1].split(".")
+    parts = parts[:-1] if parts[-1] in ("gz", "bz2", "zst", "lz4", "snappy") else parts
+    if parts[-1] not in EXTENSIONS:
+        raise ValueError(f"no format for {name!r}; there are {', '.join(sorted(set(EXTENSIONS.values())))}")
+    return EXTENSIONS[parts[-1]]
+
+
+def read_any(spark: SparkSession, path: str, schema: str | None = None, **options: str) -> DataFrame:
+    """A file by its extension."""
+    return read(spark, path, kind_of(path), schema, **options)
+
+
+def read_bytes(spark: SparkSession, folder: str, extension: str) -> DataFrame:
+    """(path, length, content) of the files of a folder, at any depth, with this extension; only their listing if content is not selected."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{extension}").option("recursiveFileLookup", True).load(folder)
+    return found.select("path", "length", "content")
