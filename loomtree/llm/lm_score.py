@@ -7,7 +7,7 @@ The network sees REACH tokens on either side: an embedding for each id and place
 groups of GROUP ids of like frequency, then over the ids of the group, so that a token costs 2 * 64 outputs and not 4,096. It is trained on
 every token of every document, in rounds: each task starts from the shared weights, goes once through its documents of the round by
 Adagrad steps, and gives its change of the weights; the changes, weighted by tokens, are averaged in two shuffles of pieces of the weights, and
-the mean (1.6 MB, whatever the corpus) begins the next round. The first round is a sixteenth of the documents, by a hash of the text, the last three quarters.
+the mean (1.1 MB, whatever the corpus) begins the next round. The first round is a sixteenth of the documents, by a hash of the text, the last three quarters.
 
 A word without an id of its own scores as its shape given the neighbours times its own share of the shape: log(count of the word / count
 of the shape), from the counts of all words, joined to the words of the documents. That table grows with the corpus and stays distributed.
@@ -35,10 +35,10 @@ SIZE = GROUP * GROUP
 SHAPES = 32
 WORDS = SIZE - SHAPES - 1
 REACH = 2
-WIDTH = 16
-HIDDEN = 32
-STEP = 4096
-RATE = 0.15
+WIDTH = 12
+HIDDEN = 24
+STEP = 8192
+RATE = 0.2
 #: Documents whose hash modulo the last number lies below each number and not below the one before make a round.
 ROUNDS = (1, 4, 16)
 #: The weights travel in so many pieces, and are added up in so many parts first.
@@ -129,29 +129,42 @@ def fresh(counts: np.ndarray, seed: int = 3) -> Weights:
     }
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
-
-
 def _runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct values of a sorted array and where each begins."""
     first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(sorted_) else np.zeros(0, np.int64)
     return sorted_[first], first
 
 
+def _by_group(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return at[np.argsort((ids[at] // GROUP).astype(np.uint8), kind="stable")]
+
+
 def forward(w: Weights, around: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
-    """For tokens sorted by group: embeddings, hidden values, log-probabilities of groups and of the ids in each token's group, and the runs of groups."""
+    """For tokens sorted by group: embeddings, hidden values, outputs for groups and for the ids in each token's group, and the runs of groups."""
     x = np.concatenate([w["places"][k][around[:, k]] for k in range(2 * REACH)], axis=1)
     h = np.tanh(x @ w["inner"] + w["shift"])
-    groups = _log_softmax(h @ w["group"] + w["group_bias"])
-    within = np.empty((len(token), GROUP), h.dtype)
+    groups, within = h @ w["group"] + w["group_bias"], np.empty((len(token), GROUP), h.dtype)
     which, first = _runs(token // GROUP)
     runs = list(zip(which.tolist(), first.tolist(), [*first[1:].tolist(), len(token)], strict=True))
     for g, a, b in runs:
-        within[a:b] = h[a:b] @ w["word"][g] + w["word_bias"][g]
-    return x, h, groups, _log_softmax(within), runs
+        np.matmul(h[a:b], w["word"][g], out=within[a:b])
+        within[a:b] += w["word_bias"][g]
+    return x, h, groups, within, runs
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    """In place."""
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
+
+
+def _log_share(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The logarithm of the softmax of each row at one place."""
+    z -= z.max(axis=1, keepdims=True)
+    chosen = z[np.arange(len(z)), at]
+    return chosen - np.log(np.exp(z, out=z).sum(axis=1))
 
 
 def log_probabilities(w: Weights, ids: np.ndarray) -> np.ndarray:
@@ -159,45 +172,49 @@ def log_probabilities(w: Weights, ids: np.ndarray) -> np.ndarray:
     out = np.zeros(len(ids))
     every = np.flatnonzero(ids)
     for k in range(0, len(every), STEP):
-        at = every[k : k + STEP]
-        at = at[np.argsort(ids[at] // GROUP, kind="stable")]
+        at = _by_group(ids, every[k : k + STEP])
         token = ids[at]
         _, _, groups, within, _ = forward(w, neighbours(ids, at), token)
-        row = np.arange(len(at))
-        out[at] = groups[row, token // GROUP] + within[row, token % GROUP]
+        out[at] = _log_share(groups, token // GROUP) + _log_share(within, token % GROUP)
     return out
 
 
 def train_step(w: Weights, seen: Weights, ids: np.ndarray, at: np.ndarray, rate: float = RATE) -> None:
     """One Adagrad step on the tokens at these places; seen holds the sums of squared gradients."""
-    at = at[np.argsort(ids[at] // GROUP, kind="stable")]
+    at = _by_group(ids, at)
     token, around = ids[at], neighbours(ids, at)
     x, h, groups, within, runs = forward(w, around, token)
     row = np.arange(len(at))
-    dg, dw = np.exp(groups), np.exp(within)
+    dg, dw = _softmax(groups), _softmax(within)
     dg[row, token // GROUP] -= 1
     dw[row, token % GROUP] -= 1
     dh = dg @ w["group"].T
+    words, biases = np.zeros_like(w["word"]), np.zeros_like(w["word_bias"])
     for g, a, b in runs:
         dh[a:b] += dw[a:b] @ w["word"][g].T
+        np.matmul(h[a:b].T, dw[a:b], out=words[g])
+        biases[g] = dw[a:b].sum(axis=0)
 
-    def move(name: str, key: int | tuple | np.ndarray | slice, gradient: np.ndarray) -> None:
-        total = seen[name][key] + gradient * gradient
+    def move(name: str, key: slice | tuple, gradient: np.ndarray) -> None:
+        total = gradient * gradient
+        total += seen[name][key]
         seen[name][key] = total
-        w[name][key] -= rate * gradient / np.sqrt(total)
+        np.sqrt(total, out=total)
+        gradient *= rate
+        gradient /= total
+        w[name][key] -= gradient
 
     dz = dh * (1 - h * h)
     dx = dz @ w["inner"].T
-    for g, a, b in runs:
-        move("word", g, h[a:b].T @ dw[a:b])
-        move("word_bias", g, dw[a:b].sum(axis=0))
     every = slice(None)
+    move("word", every, words)
+    move("word_bias", every, biases)
     move("group", every, h.T @ dg)
     move("group_bias", every, dg.sum(axis=0))
     move("inner", every, x.T @ dz)
     move("shift", every, dz.sum(axis=0))
     for k in range(2 * REACH):
-        order = np.argsort(around[:, k], kind="stable")
+        order = np.argsort(around[:, k].astype(np.uint16), kind="stable")
         rows, first = _runs(around[order, k])
         move("places", (k, rows), np.add.reduceat(dx[order, k * WIDTH : (k + 1) * WIDTH], first, axis=0))
 
