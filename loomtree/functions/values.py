@@ -17,6 +17,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def facts(v: Column) -> Column:
+    """struct of kind, integer, number and string, the last three NULL where they don't apply."""
+    return F.struct(kind(v).alias("kind"), integer(v).alias("integer"), number(v).alias("number"), string(v).alias("string"))
+
+
 def as_array(v: Column) -> Column:
     """The elements of an array; NULL for other kinds."""
     return F.try_variant_get(v, "$", "array<variant>")
@@ -27,57 +32,40 @@ def as_map(v: Column) -> Column:
     return F.try_variant_get(v, "$", "map<string,variant>")
 
 
-def _scalar_kind(name: Column) -> Column:
-    return (
-        F.when(name.isin("BIGINT", "DOUBLE", "FLOAT") | name.startswith("DECIMAL"), "number")
-        .when(name == "BOOLEAN", "boolean")
-        .when(name == "BINARY", "bytes")
-        .when(name == "VOID", "null")
-        .when(name.isNotNull(), "string")
-    )
-
-
-def scalar_type(v: Column) -> Column:
-    """Spark's name of a scalar's type; NULL for containers, which are not walked, and missing values."""
-    return F.when(as_array(v).isNull() & as_map(v).isNull(), F.schema_of_variant(v))
+#: Kinds of scalars by the names of their types; all others are texts: strings, dates and times.
+_KINDS = {"BIGINT": "number", "DOUBLE": "number", "FLOAT": "number", "DECIMAL": "number", "BOOLEAN": "boolean", "BINARY": "bytes", "VOID": "null"}
 
 
 def kind(v: Column) -> Column:
-    """null, boolean, number, string, bytes, array or object; SQL NULL for a missing value."""
-    return F.when(v.isNull(), None).when(as_array(v).isNotNull(), "array").when(as_map(v).isNotNull(), "object").otherwise(let(F.schema_of_variant(v), _scalar_kind))
+    """null, boolean, number, string, bytes, array or object; SQL NULL for a missing value. Containers are not walked."""
+    names = F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair])
+    scalar = F.try_element_at(names, F.substring_index(F.schema_of_variant(v), "(", 1))
+    return F.coalesce(F.when(as_array(v).isNotNull(), "array"), F.when(as_map(v).isNotNull(), "object"), scalar, F.when(v.isNotNull(), "string"))
 
 
 def number(v: Column) -> Column:
     """The value of a number; NULL for every other kind, strings of digits included."""
-    return F.when(let(scalar_type(v), _scalar_kind) == "number", F.try_variant_get(v, "$", "double"))
+    return F.when(kind(v) == "number", F.try_variant_get(v, "$", "double"))
 
 
 def integer(v: Column) -> Column:
     """The value of an integer, exact; NULL for every other number and kind."""
-    return F.when(scalar_type(v) == "BIGINT", F.try_variant_get(v, "$", "bigint"))
+    return F.when((kind(v) == "number") & (F.schema_of_variant(v) == "BIGINT"), F.try_variant_get(v, "$", "bigint"))
 
 
 def string(v: Column) -> Column:
-    return F.when(let(scalar_type(v), _scalar_kind) == "string", F.try_variant_get(v, "$", "string"))
+    return F.when(kind(v) == "string", F.try_variant_get(v, "$", "string"))
 
 
 def _sure(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
-def _facts(v: Column) -> Column:
-    return F.struct(kind(v).alias("kind"), integer(v).alias("integer"), number(v).alias("number"))
-
-
 def equal(a: Column, b: Column) -> Column:
     """Numbers compare across integer and float; all else by kind and canonical text."""
-
-    def same(x: Column, y: Column) -> Column:
-        exact = x["integer"].isNotNull() & y["integer"].isNotNull()
-        numbers = F.when(exact, x["integer"] == y["integer"]).otherwise(x["number"] == y["number"])
-        return (x["kind"] == y["kind"]) & F.when(x["kind"] == "number", numbers).otherwise(F.to_json(a) == F.to_json(b))
-
-    return _sure(let(_facts(a), lambda x: let(_facts(b), lambda y: same(x, y))))
+    exact = integer(a).isNotNull() & integer(b).isNotNull()
+    numbers = F.when(exact, integer(a) == integer(b)).otherwise(number(a) == number(b))
+    return _sure((kind(a) == kind(b)) & F.when(kind(a) == "number", numbers).otherwise(F.to_json(a) == F.to_json(b)))
 
 
 def unequal(a: Column, b: Column) -> Column:
@@ -98,12 +86,11 @@ def at_most(a: Column, b: Column) -> Column:
 
 def _scalar_key(v: Column) -> Column:
     """Sorts scalars, and containers of a kind as equals: (rank, number, integer, string). Equal numbers of both sorts are equal keys."""
-    k = kind(v)
-    rank = F.when(v.isNull() | (k == "null"), 0).when(k == "boolean", F.when(F.try_variant_get(v, "$", "boolean"), 2).otherwise(1))
-    for place, name in enumerate(("number", "string", "bytes", "array", "object"), 3):
-        rank = rank.when(k == name, place)
+    ranks = F.create_map(*[F.lit(x) for pair in (("null", 0), ("boolean", 1), ("number", 3), ("string", 4), ("bytes", 5), ("array", 6), ("object", 7)) for x in pair])
+    truth = F.when(F.coalesce(F.try_variant_get(v, "$", "string"), F.lit("")) == "true", 1).otherwise(0)
+    rank = F.coalesce(F.try_element_at(ranks, kind(v)), F.lit(0))
     exact = F.coalesce(integer(v), number(v).try_cast("bigint"))
-    return F.struct(rank.alias("rank"), number(v).alias("number"), exact.alias("integer"), string(v).alias("string"))
+    return F.struct(F.when(rank == 1, rank + truth).otherwise(rank).alias("rank"), number(v).alias("number"), exact.alias("integer"), string(v).alias("string"))
 
 
 def order_key(v: Column) -> Column:

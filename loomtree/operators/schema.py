@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtree.functions.paths import child
-from loomtree.functions.values import as_array, as_map, equal, integer, kind, let, number, string
+from loomtree.functions.values import as_array, as_map, equal, facts, integer, kind, let, number, string
 from loomtree.operators.descend import nodes
 
 _H16 = "[0-9A-Fa-f]{1,4}"
@@ -81,13 +81,14 @@ def _check(v: Column, schema: object, pointer: Column) -> Column:
         raise ValueError(f"no such schema keywords: {', '.join(sorted(unknown))}")
     if not set(schema) & RULES:
         return _none()
-    facts = F.struct(kind(v).alias("kind"), integer(v).alias("integer"), number(v).alias("number"), string(v).alias("string"), as_array(v).alias("items"), as_map(v).alias("members"))
-    return let(facts, lambda f: _found(v, f, schema, pointer))
+    known = F.struct(facts(v).alias("scalar"), as_array(v).alias("items"), as_map(v).alias("members"))
+    return let(known, lambda f: _found(v, f, schema, pointer))
 
 
 def _found(v: Column, f: Column, schema: Mapping, pointer: Column) -> Column:
     found: list[Column] = []
-    n, whole, s, items, members = (f[k] for k in ("number", "integer", "string", "items", "members"))
+    n, whole, s = (f["scalar"][k] for k in ("number", "integer", "string"))
+    items, members = f["items"], f["members"]
 
     def rule(keyword: str, broken: Column) -> None:
         found.append(F.when(F.coalesce(broken, F.lit(False)), F.array(F.struct(pointer.alias("pointer"), F.lit(keyword).alias("keyword")))).otherwise(_none()))
@@ -105,7 +106,7 @@ def _found(v: Column, f: Column, schema: Mapping, pointer: Column) -> Column:
     if "type" in schema:
         allowed = F.lit(False)
         for k in [schema["type"]] if isinstance(schema["type"], str) else schema["type"]:
-            allowed = allowed | (whole.isNotNull() if k == "integer" else f["kind"] == k)
+            allowed = allowed | (whole.isNotNull() if k == "integer" else f["scalar"]["kind"] == k)
         rule("type", _no(allowed))
     if "enum" in schema:
         allowed = F.lit(False)

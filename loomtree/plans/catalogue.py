@@ -624,6 +624,39 @@ def xpath(spark, sf_dir):
     return xml.select("r_regionkey", markup.count(F.col("xml"), "/region/nation").alias("n"), markup.number(F.col("xml"), "sum(/region/nation/@key)").alias("total"), F.array_min(markup.nodes(F.col("xml"), "//nation/text()")).alias("first_name"), markup.test(F.col("xml"), markup.bound("//nation[@key=$k]", k="3")).alias("has3"))
 
 
+_REGION_XML = "SELECT n_regionkey AS r_regionkey, list(n_name ORDER BY CAST(n_nationkey AS VARCHAR)) AS names, list(n_nationkey ORDER BY CAST(n_nationkey AS VARCHAR)) AS keys FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1"
+
+
+@query(f"""SELECT r_regionkey, len(names) - 1 AS n_after, names[-1] AS last_name, CAST(keys[2] AS VARCHAR) AS second_key, floor(list_sum(keys) / 2) AS half, ceil(list_sum(keys) / 4) AS quarter_up, round(list_sum(keys) / 4 + 0.001) AS quarter,
+  contains(names[1], 'AN') OR len(names) > 5 AS tested, names[1][2:4] AS part, translate(names[1], 'AE', 'ae') AS swapped, names[1] || ' x' AS spaced, CAST(length(names[1]) AS DOUBLE) AS n_letters, 2 AS n_union, 'nation' AS tag,
+  len(list_filter(keys, lambda k: k > 10 AND k % 2 = 0)) AS n_even, split_part(names[1] || '=', '=', 1) AS before, names[1] LIKE 'A%' AS starts, len(names) AS n_attributes FROM ({_REGION_XML})""")
+def xpath_functions(spark, sf_dir):
+    nations = F.array_sort(F.collect_list(markup.element("nation", text.xml_escaped(F.col("n_name")), key=F.col("n_nationkey").cast("string"))))
+    rows = _table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(nations.alias("parts"))
+    xml = F.concat(F.lit("<region>"), F.array_join("parts", ""), F.lit("</region>"))
+    first = "/region/nation[1]"
+    return rows.select(
+        "r_regionkey",
+        markup.count(xml, f"{first}/following-sibling::nation").alias("n_after"),
+        markup.text(xml, "//nation[last()]").alias("last_name"),
+        markup.text(xml, "//nation[position() = 2]/@key").alias("second_key"),
+        markup.number(xml, "floor(sum(//@key) div 2)").alias("half"),
+        markup.number(xml, "ceiling(sum(//@key) div 4)").alias("quarter_up"),
+        markup.number(xml, "round(sum(//@key) div 4 + 0.001)").alias("quarter"),
+        markup.test(xml, f"contains({first}, 'AN') or count(//nation) > 5").alias("tested"),
+        markup.text(xml, f"substring({first}, 2, 3)").alias("part"),
+        markup.text(xml, f"translate({first}, 'AE', 'ae')").alias("swapped"),
+        markup.text(xml, f"normalize-space(concat('  ', {first}, '   x '))").alias("spaced"),
+        markup.number(xml, f"string-length({first})").alias("n_letters"),
+        markup.count(xml, f"{first} | //nation[last()] | {first}").alias("n_union"),
+        markup.text(xml, "name(//*[@key][1])").alias("tag"),
+        markup.count(xml, "//nation[@key > 10 and not(@key mod 2 = 1)]").alias("n_even"),
+        markup.text(xml, f"substring-before(concat({first}, '='), '=')").alias("before"),
+        markup.test(xml, f"starts-with(string({first}), 'A')").alias("starts"),
+        markup.count(xml, "/region/descendant::nation/attribute::key[number(.) >= 0]/parent::nation[ancestor::region]").alias("n_attributes"),
+    )
+
+
 # -- sources and conversions -----------------------------------------------------------------------------------------------------
 
 
@@ -687,3 +720,20 @@ def flatten_typed(spark, sf_dir):
     nested = F.array(F.array(F.array(F.col("p_partkey")), F.array(F.col("p_size").cast("long"))), F.array(F.array(F.lit(3).cast("long"))))
     kind = T.ArrayType(T.ArrayType(T.ArrayType(T.LongType())))
     return _table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(X.flatten(nested, kind), lambda x: x.cast("string")), ",").alias("flat"))
+
+
+@query("SELECT s_suppkey, 'integer' AS kind, CASE WHEN s_suppkey % 2 = 0 THEN 'string' ELSE 'integer' END AS quoted, s_name || ', \"x\"' AS name FROM supplier")
+def csv_cells(spark, sf_dir):
+    k = F.col("s_suppkey").cast("string")
+    second = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit('"'), k, F.lit('"'))).otherwise(k)
+    line = F.concat_ws(",", k, second, text.csv_escaped(F.concat("s_name", F.lit(', "x"'))))
+    cells = text_tables.typed_cells(line)
+    return _table(spark, sf_dir, "supplier").select("s_suppkey", F.get(cells, F.lit(0))["kind"].alias("kind"), F.get(cells, F.lit(1))["kind"].alias("quoted"), F.get(cells, F.lit(2))["text"].alias("name"))
+
+
+@query("SELECT s_suppkey, '{\"s_suppkey\":' || s_suppkey || ',\"s_name\":\"' || s_name || '\"}' AS json FROM supplier")
+def convert_bytes(spark, sf_dir):
+    csv = convert.format_as("csv", F.struct("s_suppkey", "s_name"))
+    raw = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.unhex(F.lit("FEFF")), F.encode(csv, "UTF-16BE"))).otherwise(F.encode(csv, "UTF-8"))
+    out = convert.convert_bytes(raw, "csv", "json", "s_suppkey bigint, s_name string")
+    return _table(spark, sf_dir, "supplier").select("s_suppkey", F.decode(out, "UTF-8").alias("json"))

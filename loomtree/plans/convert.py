@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtree.functions.text import decoded
 from loomtree.sources import text_tables
 
 COLUMN_FORMATS = ("json", "csv", "xml", "variant")
@@ -37,6 +38,11 @@ def convert_column(text: Column, source: str, target: str, schema: str) -> Colum
     return format_as(target, parse_as(source, text, schema))
 
 
+def convert_bytes(raw: Column, source: str, target: str, schema: str) -> Column:
+    """The same for bytes of any encoding with a byte order mark, or UTF-8."""
+    return F.encode(convert_column(decoded(raw), source, target, schema), "UTF-8")
+
+
 def convert_files(spark: SparkSession, source: str, source_kind: str, target: str, target_kind: str, schema: str | None = None) -> DataFrame:
     """Writes what source holds in another format and returns it as read back."""
     df = text_tables.read(spark, source, source_kind, schema)

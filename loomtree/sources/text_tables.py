@@ -6,6 +6,8 @@ format allows it.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +38,14 @@ def typed(cell: Column) -> Column:
     return F.struct(k.alias("kind"), text.alias("text"))
 
 
+def typed_cells(line: Column, delimiter: str = ",") -> Column:
+    """array<struct(kind, text)> of one line's cells; a quoted cell is always a string, "" inside quotes is a quote."""
+    d = re.escape(delimiter)
+    raw = F.regexp_extract_all(F.concat(line, F.lit(delimiter)), F.lit(rf'("(?:[^"]|"")*"|[^{d}]*){d}'), F.lit(1))
+    inside = lambda c: F.replace(F.substr(c, F.lit(2), F.char_length(c) - 2), F.lit('""'), F.lit('"'))
+    return F.transform(raw, lambda c: F.when(c.rlike('(?s)^".*"$'), F.struct(F.lit("string").alias("kind"), inside(c).alias("text"))).otherwise(typed(c)))
+
+
 def column_kinds(df: DataFrame) -> DataFrame:
     """(column, kind): the narrowest kind that holds all cells, by one aggregation over all rows."""
     order = {"boolean": 1, "integer": 2, "float": 3, "string": 4}

@@ -3,29 +3,27 @@
 import pytest
 from pyspark.sql import functions as F
 
+from loomtree.functions import text
 from loomtree.plans import convert
-from loomtree.sources import text_tables, toml_files
-
-TOML = """
-title = "x"
-when = 2024-05-01T10:00:00Z
-[server]
-ports = [1, 2]
-ratio = nan
-"""
-
-
-def test_toml(spark, tmp_path):
-    (tmp_path / "a.toml").write_text(TOML)
-    (tmp_path / "b.toml").write_text("no = = toml")
-    rows = {r["path"][-6:]: r["j"] for r in toml_files.read_toml(spark, str(tmp_path)).select("path", F.to_json("document").alias("j")).collect()}
-    assert rows["b.toml"] is None
-    assert rows["a.toml"] == '{"server":{"ports":[1,2],"ratio":null},"title":"x","when":"2024-05-01T10:00:00+00:00"}'
-
-
-def test_toml_nulls(spark):
-    df = spark.createDataFrame([(None,), ("",), ("a = 1",)], "t string").select(F.to_json(toml_files.from_toml(F.col("t"))).alias("j"))
-    assert [r["j"] for r in df.collect()] == [None, "{}", '{"a":1}']
+from loomtree.sources import text_tables
+
+def test_kinds_by_name(spark, tmp_path):
+    assert [text_tables.kind_of(x) for x in ("a/b.CSV", "x.ndjson.gz", "tsv", "text/xml; charset=utf-8", "d/t.parquet/")] == ["csv", "json", "tsv", "xml", "parquet"]
+    with pytest.raises(ValueError):
+        text_tables.kind_of("a.xyz")
+    (tmp_path / "a.csv").write_text("k,v\n1,x\n")
+    (tmp_path / "b.bin").write_bytes("\ufeffé\r\n".encode("utf-16-le"))
+    assert text_tables.read_any(spark, f"{tmp_path}/a.csv").collect()[0].asDict() == {"k": "1", "v": "x"}
+    found = text_tables.read_bytes(spark, str(tmp_path), "bin")
+    assert [r["t"] for r in found.select(text.decoded(F.col("content")).alias("t")).collect()] == ["é\n"]
+
+
+def test_quoted_cells_are_text(spark):
+    lines = spark.createDataFrame([('1,"1",,"a ""b"", c",x',), ("",), ('"",true',)], "value string")
+    rows = lines.select(text_tables.typed_cells(F.col("value")).alias("c")).collect()
+    assert [(c["kind"], c["text"]) for c in rows[0]["c"]] == [("integer", "1"), ("string", "1"), ("null", None), ("string", 'a "b", c'), ("string", "x")]
+    assert [(c["kind"], c["text"]) for c in rows[1]["c"]] == [("null", None)]
+    assert [(c["kind"], c["text"]) for c in rows[2]["c"]] == [("string", ""), ("boolean", "true")]
 
 
 @pytest.mark.parametrize("kind", ["json", "csv", "tsv", "xml", "parquet", "orc"])
