@@ -1,6 +1,12 @@
 """A training corpus from documents: quality rules, near-dedup, repeated passages, mixing, packing.
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and works on all rows that the stage before kept.
+
+Defined results: a stage reads doc_id, text, lang, source and n_chars; further columns, whatever their names, end with the first stage. A null in any
+column is kept as it is; a document without an id is a document like others. Null, empty and blank texts have no words and go with
+the quality rules. Rows are judged one by one there; near-dedup keeps one row of a class, the one of least doc_id (nulls last), and other texts
+under the same id stay; in suffix-array dedup rows equal in doc_id and text are one document; in mixing and packing they count one by one. n_chars follows the text.
+A document that suffix-array dedup empties stays, with an empty text. An empty table gives no rows at every stage.
 """
 
 from __future__ import annotations
