@@ -4,9 +4,9 @@ A byte goes if a SPAN-byte string that covers it also starts earlier: in a docum
 one. Matches never cross documents; overlaps count; everything is judged on the input.
 
 The suffix order is built as Burrows-Wheeler transforms of collections are built column by column: every round inserts one
-more symbol of each document, to the left of what is in; the order of all documents' suffixes is a stable sort of the new symbols
-over the order so far, and the longest common prefixes follow from minima over the old ones. Strings are equal where the
-common prefix reaches SPAN. Each round reads and writes order, symbols and prefixes once, front to back.
+more symbol of each document, to the left of what is in; the new symbols in the order so far are the transform's column, the order of all documents'
+suffixes is a stable sort of it, and the longest common prefixes follow from minima over the old ones. Strings are equal where the
+common prefix reaches SPAN. Each round reads and writes order, transform and prefixes once, front to back.
 
 To run this on a cluster the corpus is cut into collections that can't share a string. Of every SPAN-byte window the
 K-byte string of least hash is its anchor, so equal windows have equal anchors at equal places. (1) Anchors are dealt by hash, and those
@@ -14,7 +14,8 @@ that occur once are dropped. (2) Around each other anchor the bytes of its windo
 task, equal reads are one, and the rounds run over the columns of the reads, aligned at their anchors, to find the first
 window of each class. (4) Back at its document, every window of a repeated anchor that is not the first of its class removes its
 bytes. Windows of anchors with more than HOT occurrences are dealt by their own content, each equal one once per batch,
-so that a passage in a third of all documents does not meet in one task as many times.
+so that a passage in a third of all documents does not meet in one task as many times; this is a matter of ways, and changes no result.
+(5) What a task receives beyond MOST bytes it deals to sequential files, by group, and takes back file by file, so that its memory does not grow with the corpus.
 
 Defined results: null text is empty; shorter texts than SPAN keep all; a null doc_id comes first; of equal doc_ids with
 different texts, the one with the smaller text hash is earlier; rows equal in doc_id and text are one document and get the
@@ -25,15 +26,18 @@ the operator writes itself.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtree.llm.common import flat_bytes, mixed, pieces, rest_of, written
+from loomtree.llm.common import flat_bytes, mixed, new_path, pieces, rest_of, written
 
 SPAN = 100
 K = 50
@@ -42,6 +46,9 @@ COLUMNS = STARTS - 1 + SPAN
 HOT = 4096
 BLOCK = 1 << 14  # reads that are built at once
 HELD = 1 << 17  # distinct reads that are held before they are sent
+#: Records of a task that take more bytes than this go through files, in so many parts.
+MOST = 128 << 20
+PARTS = 64
 _SEGMENT = 1 << 22
 _LOW = np.uint64((1 << 24) - 1)
 _BYTES = mixed(np.arange(256, dtype=np.uint64), 21)
@@ -124,9 +131,79 @@ def opened(raw: bytes, *kinds: np.dtype) -> tuple[np.ndarray, ...]:
     return keys[index], *out
 
 
-def gathered(batches: Iterator[pa.RecordBatch], *kinds: np.dtype) -> tuple[np.ndarray, ...]:
-    blocks = [opened(x.as_buffer(), *kinds) for b in batches for x in b.column("block")]
-    return tuple(np.concatenate(x) for x in zip(*blocks, strict=True)) if blocks else tuple(np.zeros(0, k) for k in (KEY, *kinds))
+Arrays = tuple[np.ndarray, ...]
+
+
+def in_parts(batches: Iterator[pa.RecordBatch], kinds: tuple, group_of: Callable[..., np.ndarray], folder: str, most: int) -> Iterator[Arrays]:
+    """The records of all blocks as arrays (keys first), whole groups at a time: all at once where they take at most `most` bytes, else by way of files.
+
+    Then every record goes to one of PARTS files by a hash of its group, appended block by block; afterwards each file is read from front to back. The files lie in the shared
+    folder, below a name that no other attempt of the task uses, and go when the task is through.
+    """
+    held: list[Arrays] = []
+    size, streams, store, path = 0, [], None, ""
+    try:
+        for batch in batches:
+            for x in batch.column("block"):
+                held.append(opened(x.as_buffer(), *kinds))
+                size += sum(a.nbytes for a in held[-1])
+                if size <= most:
+                    continue
+                if not streams:
+                    store, path = fs.FileSystem.from_uri(f"{folder}/{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex}")
+                    store.create_dir(path, recursive=True)
+                    streams = [store.open_output_stream(f"{path}/{k}") for k in range(PARTS)]
+                _append(streams, held, group_of)
+                held, size = [], 0
+        if not streams:
+            if held:
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            return
+        if held:
+            _append(streams, held, group_of)
+        for s in streams:
+            s.close()
+        for k in range(PARTS):
+            found = list(_blocks(store, f"{path}/{k}", (KEY, *kinds)))
+            if found:
+                yield tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    finally:
+        if streams:
+            for s in streams:
+                s.close()
+            store.delete_dir(path)
+
+
+def _append(streams: list, held: list[Arrays], group_of: Callable[..., np.ndarray]) -> None:
+    arrays = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+    part = (mixed(group_of(*arrays).astype(np.uint64), 31) >> np.uint64(64 - PARTS.bit_length() + 1)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    edges = np.searchsorted(part[order], np.arange(PARTS + 1))
+    for k, s in enumerate(streams):
+        rows = order[edges[k] : edges[k + 1]]
+        if len(rows):
+            s.write(struct.pack("<Q", len(rows)))
+            for a in arrays:
+                s.write(a[rows].tobytes())
+
+
+def _blocks(store: fs.FileSystem, path: str, kinds: tuple) -> Iterator[Arrays]:
+    with store.open_input_stream(path) as file:
+        while head := file.read(8):
+            (n,) = struct.unpack("<Q", head)
+            yield tuple(np.frombuffer(file.read(n * np.dtype(kind).itemsize), kind, n) for kind in kinds)
+
+
+def _of_document(keys: np.ndarray, *_: np.ndarray) -> np.ndarray:
+    return keys["id"].astype(np.uint64) ^ keys["text"].astype(np.uint64)
+
+
+def _of_anchor(keys: np.ndarray, high: np.ndarray, low: np.ndarray, *_: np.ndarray) -> np.ndarray:
+    return high.astype(np.uint64) << np.uint64(16) | low
+
+
+def _of_read(keys: np.ndarray, reads: np.ndarray, *_: np.ndarray) -> np.ndarray:
+    return reads["h"]
 
 
 def dealt(hashes: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
@@ -156,17 +233,19 @@ def homeward(keys: np.ndarray, values: np.ndarray, buckets: int) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array([b for b, _ in sent], pa.int32()), pa.array(blocks, pa.binary())], ["bucket", "block"])
 
 
-def by_document(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[pa.RecordBatch]:
+def by_document(batches: Iterator[pa.RecordBatch], kind: np.dtype, folder: str, most: int) -> Iterator[pa.RecordBatch]:
     """Of the blocks for whole buckets of documents, one row a document: its key and its values as bytes."""
-    keys, values = gathered(batches, kind)
-    if not len(keys):
-        return
+    for keys, values in in_parts(batches, (kind,), _of_document, folder, most):
+        yield _by_document(keys, values)
+
+
+def _by_document(keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
     order = np.lexsort((keys["text"], keys["id"], keys["null"]))
     keys, values = keys[order], values[order]
     edges = np.flatnonzero(np.concatenate([[True], ~same_as_last(keys), [True]]))
     first, raw, size = keys[edges[:-1]], values.tobytes(), values.itemsize
     columns = [*(pa.array(np.ascontiguousarray(first[n])) for n in ("null", "id", "text")), pa.array([raw[i * size : j * size] for i, j in zip(edges[:-1], edges[1:], strict=True)], pa.binary())]
-    yield pa.RecordBatch.from_arrays(columns, ["_known", "_id", "_hash", "_found"])
+    return pa.RecordBatch.from_arrays(columns, ["_known", "_id", "_hash", "_found"])
 
 
 #: A text cell has less than 2 ** 31 bytes.
@@ -187,11 +266,13 @@ def send_anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in sent], pa.int32()), pa.array(blocks, pa.binary())], ["bucket", "block"])
 
 
-def repeated_anchors(batches: Iterator[pa.RecordBatch], buckets: int, most: int = HOT) -> Iterator[pa.RecordBatch]:
+def repeated_anchors(batches: Iterator[pa.RecordBatch], buckets: int, folder: str, most: int, hot: int = HOT) -> Iterator[pa.RecordBatch]:
     """Of the anchors of whole buckets, those with two or more places, for their documents."""
-    keys, high, low, at, back, ahead = gathered(batches, *ANCHOR)
-    if not len(keys):
-        return
+    for keys, high, low, at, back, ahead in in_parts(batches, ANCHOR, _of_anchor, folder, most):
+        yield _repeated(keys, high, low, at, back, ahead, buckets, hot)
+
+
+def _repeated(keys: np.ndarray, high: np.ndarray, low: np.ndarray, at: np.ndarray, back: np.ndarray, ahead: np.ndarray, buckets: int, hot: int) -> pa.RecordBatch:
     h = high.astype(np.uint64) << np.uint64(16) | low
     unique, doc = np.unique(keys, return_inverse=True)
     order = np.lexsort((back, at, doc, h))
@@ -203,9 +284,9 @@ def repeated_anchors(batches: Iterator[pa.RecordBatch], buckets: int, most: int
     count = np.repeat(sizes, sizes)
     kept = count > 1
     marks = np.zeros(kept.sum(), MARK)
-    marks["at"], marks["back"], marks["ahead"], marks["hot"] = at[kept], back[kept], ahead[kept], count[kept] > most
+    marks["at"], marks["back"], marks["ahead"], marks["hot"] = at[kept], back[kept], ahead[kept], count[kept] > hot
     order = np.lexsort((marks["at"], doc[kept]))
-    yield homeward(unique[doc[kept][order]], marks[order], buckets)
+    return homeward(unique[doc[kept][order]], marks[order], buckets)
 
 
 def send_reads(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -280,12 +361,14 @@ def first_windows(group: np.ndarray, back: np.ndarray, starts: np.ndarray, text:
     grouped = group[order].astype(np.int64) << 16
     mask = np.zeros(n, np.uint64)
     for c in range(COLUMNS - 1, -1, -1):
-        key = grouped | symbols[c][order]
-        move = np.argsort(key, kind="stable")
+        # the symbols before the suffixes, in the order of the suffixes: this column of the collection's Burrows-Wheeler transform
+        transform = grouped | symbols[c][order]
+        # inserting one symbol of each read is a stable sort of the transform; prefixes grow by one over the least of those passed
+        move = np.argsort(transform, kind="stable")
         low = np.minimum.reduceat(prefix, move + 1)[:-1] if n > 1 else prefix[:0]
-        key = key[move]
+        transform = transform[move]
         prefix[0] = prefix[n] = 0
-        prefix[1:n] = np.where(key[1:] == key[:-1], low + 1, 0)
+        prefix[1:n] = np.where(transform[1:] == transform[:-1], low + 1, 0)
         order = order[move]
         if c < STARTS:
             inside = (begin[order] <= c) & (c < begin[order] + starts[order])
@@ -296,11 +379,13 @@ def first_windows(group: np.ndarray, back: np.ndarray, starts: np.ndarray, text:
     return mask
 
 
-def find_first(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+def find_first(batches: Iterator[pa.RecordBatch], buckets: int, folder: str, most: int) -> Iterator[pa.RecordBatch]:
     """Of the reads of whole buckets, for their documents, the windows that are the first of their class."""
-    keys, reads, at = gathered(batches, READ, np.dtype("<u4"))
-    if not len(keys):
-        return
+    for keys, reads, at in in_parts(batches, (READ, np.dtype("<u4")), _of_read, folder, most):
+        yield _first(keys, reads, at, buckets)
+
+
+def _first(keys: np.ndarray, reads: np.ndarray, at: np.ndarray, buckets: int) -> pa.RecordBatch:
     order = np.lexsort((at, keys["text"], keys["id"], keys["null"]))
     keys, reads, at = keys[order], reads[order], at[order]
     _, once = np.unique(reads.view(f"V{READ.itemsize}"), return_index=True)
@@ -315,7 +400,7 @@ def find_first(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.R
     some = mask != 0
     firsts = np.zeros(some.sum(), FIRST)
     firsts["at"], firsts["mask"] = at[some], mask[some]
-    yield homeward(keys[some], firsts, buckets)
+    return homeward(keys[some], firsts, buckets)
 
 
 def removed_bytes(n: int, marks: np.ndarray, firsts: np.ndarray) -> np.ndarray:
@@ -335,7 +420,7 @@ def removed_bytes(n: int, marks: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return np.cumsum(cover[:n]) > 0
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", as_text: bool = False, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", as_text: bool = False, hot: int = HOT, most: int = MOST) -> DataFrame:
     """docs without text, with kept (the remaining bytes; as_text: without cut characters, as a string), n_bytes, n_removed, n_spans (maximal removed runs)."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -346,13 +431,14 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     names = ["_known", "_id", "_hash"]
     rows = docs.select(*key, body.alias("_text"))
     sent = rows.mapInArrow(lambda b: send_anchors(b, buckets), "bucket int, block binary")
-    marks = sent.repartition("bucket").mapInArrow(lambda b: repeated_anchors(b, buckets, hot), "bucket int, block binary")
-    marks = written(marks.repartition("bucket").mapInArrow(lambda b: by_document(b, MARK), _FOUND).withColumnRenamed("_found", "_marks"), "marks")
+    folder = new_path(spark, "suffix-files")
+    marks = sent.repartition("bucket").mapInArrow(lambda b: repeated_anchors(b, buckets, folder, most, hot), "bucket int, block binary")
+    marks = written(marks.repartition("bucket").mapInArrow(lambda b: by_document(b, MARK, folder, most), _FOUND).withColumnRenamed("_found", "_marks"), "marks")
     # both uses of this join read all its columns, so that the texts are dealt once
     every = docs.select(*key, body.alias("_text"), F.struct(*[docs[c] for c in rest]).alias("_row")).join(marks, names, "left")
     sent = every.mapInArrow(lambda b: send_reads(b, buckets), "bucket int, block binary")
-    firsts = sent.repartition("bucket").mapInArrow(lambda b: find_first(b, buckets), "bucket int, block binary")
-    firsts = firsts.repartition("bucket").mapInArrow(lambda b: by_document(b, FIRST), _FOUND).withColumnRenamed("_found", "_firsts")
+    firsts = sent.repartition("bucket").mapInArrow(lambda b: find_first(b, buckets, folder, most), "bucket int, block binary")
+    firsts = firsts.repartition("bucket").mapInArrow(lambda b: by_document(b, FIRST, folder, most), _FOUND).withColumnRenamed("_found", "_firsts")
     schema = every.select("_row").schema.add("kept", "string" if as_text else "binary").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,9 +1,11 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from helpers import docs, prose, removed, runs
 
+from loomtree.llm import suffix_dedup
 from loomtree.llm.suffix_dedup import remove_repeats
 
 
@@ -36,10 +38,33 @@ def passages():
     return rows
 
 
-@pytest.mark.parametrize("hot", [4096, 2])
-def test_against_brute_force(spark, hot):
+@pytest.mark.parametrize("hot,most", [(4096, 1 << 27), (2, 1 << 27), (4096, 3000), (2, 500)])
+def test_against_brute_force(spark, hot, most):
+    """Also with hot anchors dealt by content, and with all records by way of files."""
     rows = passages()
-    assert found(remove_repeats(docs(spark, rows[::-1]), hot=hot)) == expected(rows)
+    assert found(remove_repeats(docs(spark, rows[::-1]), hot=hot, most=most)) == expected(rows)
+
+
+def test_files_go_with_the_task(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "shared"
+    monkeypatch.setattr(suffix_dedup, "new_path", lambda spark, name: f"file://{folder}/{name}")
+    assert found(remove_repeats(docs(spark, passages()), most=1000)) == expected(passages())
+    assert folder.is_dir() and not list(folder.glob("suffix-files/*"))
+
+
+def test_columns_of_the_transform():
+    """Order and prefixes after all rounds are those of a plain sort of the reads of a group."""
+    rng = np.random.default_rng(4)
+    reads = rng.integers(97, 99, (40, suffix_dedup.COLUMNS)).astype(np.uint8)
+    reads[20:, 10:] = reads[:20, 10:]
+    n, begin = len(reads), suffix_dedup.STARTS - 1
+    mask = suffix_dedup.first_windows(np.zeros(n, int), np.full(n, begin), np.full(n, suffix_dedup.STARTS), reads)
+    for c in range(suffix_dedup.STARTS):
+        seen = set()
+        for k in range(n):
+            window = reads[k, c : c + suffix_dedup.SPAN].tobytes()
+            assert bool(mask[k] >> np.uint64(c) & np.uint64(1)) == (window not in seen)
+            seen.add(window)
 
 
 def test_lengths_around_the_span(spark):
