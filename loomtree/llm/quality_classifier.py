@@ -85,6 +85,33 @@ def telling(rows: list[tuple[int, np.ndarray]], grades: int) -> np.ndarray:
     return (best >= LEAST_SCORE) & (have >= MIN_DOCUMENTS)
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
+
+
+def thresholds_of(steps: np.ndarray) -> np.ndarray:
+    """Ordered thresholds: the first, and how far each lies above the one before, as exponentials."""
+    return np.cumsum(np.concatenate([steps[:1], np.exp(steps[1:])]))
+
+
+def likelihood(weights: np.ndarray, steps: np.ndarray, y: np.ndarray, at: np.ndarray, row: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log-likelihood of the grades y, and its gradients by weights and steps. at, row: the buckets of all documents and whose they are.
+
+    P(y) = sigmoid(threshold[y] - score) - sigmoid(threshold[y - 1] - score), the outer thresholds at the ends of the line.
+    """
+    grades, n = len(steps) + 1, len(y)
+    score, theta = np.bincount(row, weights[at], minlength=n), thresholds_of(steps)
+    upper, lower = _sigmoid(np.append(theta, 500.0)[y] - score), _sigmoid(np.insert(theta, 0, -500.0)[y] - score)
+    p = np.maximum(upper - lower, 1e-9)
+    by_weights = np.bincount(at, (1 - upper - lower)[row], minlength=len(weights)) / n
+    by_theta = np.zeros(grades)
+    np.add.at(by_theta, y, -upper * (1 - upper) / p)
+    np.add.at(by_theta, y - 1, np.where(y > 0, lower * (1 - lower) / p, 0))
+    by_steps = np.cumsum(by_theta[:-1][::-1])[::-1] / n
+    by_steps[1:] *= np.exp(steps[1:])
+    return float(-np.log(p).mean()), by_weights, by_steps
+
+
 def fit(rows: list[tuple[int, np.ndarray]], grades: int = GRADES, epochs: int = 60, batch: int = 256, rate: float = 0.3, decay: float = 3e-5, seed: int = 5) -> Ordinal:
     """rows: (grade, the distinct buckets of a document). Adagrad on the negative log-likelihood; thresholds stay ordered by exponential steps."""
     weights = np.zeros(1 << BITS)
@@ -102,27 +129,14 @@ def fit(rows: list[tuple[int, np.ndarray]], grades: int = GRADES, epochs: int =
         order = rng.permutation(len(rows))
         for k in range(0, len(order), batch):
             part = [rows[i] for i in order[k : k + batch]]
-            y = np.array([g for g, _ in part])
-            sizes = np.array([len(b) for _, b in part])
-            at = np.concatenate([b for _, b in part])
-            row = np.repeat(np.arange(len(part)), sizes)
-            score = np.bincount(row, weights[at], minlength=len(part))
-            theta = np.cumsum(np.concatenate([steps[:1], np.exp(steps[1:])]))
-            upper = 1 / (1 + np.exp(-np.clip(np.append(theta, 500.0)[y] - score, -500, 500)))
-            lower = 1 / (1 + np.exp(-np.clip(np.insert(theta, 0, -500.0)[y] - score, -500, 500)))
-            p = np.maximum(upper - lower, 1e-9)
-            gw = np.bincount(at, (1 - upper - lower)[row], minlength=1 << BITS) / len(part) + decay * weights
-            d_theta = np.zeros(grades)
-            np.add.at(d_theta, y, -upper * (1 - upper) / p)
-            np.add.at(d_theta, y - 1, np.where(y > 0, lower * (1 - lower) / p, 0))
-            d_theta = d_theta[:-1] / len(part)
-            gs = np.cumsum(d_theta[::-1])[::-1].copy()
-            gs[1:] *= np.exp(steps[1:])
+            row = np.repeat(np.arange(len(part)), [len(b) for _, b in part])
+            _, gw, gs = likelihood(weights, steps, np.array([g for g, _ in part]), np.concatenate([b for _, b in part]), row)
+            gw += decay * weights
             g2w += gw * gw
             g2t += gs * gs
             weights -= rate * gw / np.sqrt(g2w)
             steps -= 0.1 * gs / np.sqrt(g2t)
-    return Ordinal(weights.astype(np.float32), np.cumsum(np.concatenate([steps[:1], np.exp(steps[1:])])))
+    return Ordinal(weights.astype(np.float32), thresholds_of(steps))
 
 
 def fit_on(docs: DataFrame, ratings: DataFrame, text: str = "text", doc_id: str = "doc_id", max_labelled: int = MAX_LABELLED) -> Ordinal:

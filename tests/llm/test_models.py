@@ -74,3 +74,37 @@ def test_same_text_same_score_and_reruns_agree(spark, rated):
     rows = docs(spark, odd_rows())
     first, second = (sorted(map(str, quality_classifier.classify(rows.repartition(n), quality_classifier.fit_on(table.repartition(n), labels)).collect())) for n in (1, 5))
     assert first == second
+
+
+def test_likelihood_against_a_loop_and_gradients_against_differences():
+    rng = np.random.default_rng(9)
+    weights, steps = rng.standard_normal(12), np.array([-0.4, 0.3])
+    documents = [(int(rng.integers(0, 3)), rng.choice(12, rng.integers(1, 6), replace=False)) for _ in range(30)]
+    y = np.array([g for g, _ in documents])
+    at, row = np.concatenate([b for _, b in documents]), np.repeat(np.arange(30), [len(b) for _, b in documents])
+
+    def loss(weights, steps):
+        theta, total = [-np.inf, steps[0], steps[0] + np.exp(steps[1]), np.inf], 0.0
+        for grade, buckets in documents:
+            score = sum(weights[b] for b in buckets)
+            up, low = (1 / (1 + np.exp(score - theta[grade + k])) for k in (1, 0))
+            total -= np.log(up - low)
+        return total / len(documents)
+
+    value, by_weights, by_steps = quality_classifier.likelihood(weights, steps, y, at, row)
+    assert abs(value - loss(weights, steps)) < 1e-9
+    for vector, gradient in ((weights, by_weights), (steps, by_steps)):
+        for k in range(len(vector)):
+            kept, sides = vector[k], []
+            for d in (1e-5, -1e-5):
+                vector[k] = kept + d
+                sides.append(loss(weights, steps))
+            vector[k] = kept
+            assert abs((sides[0] - sides[1]) / 2e-5 - gradient[k]) < 1e-6
+
+
+def test_a_rated_document_that_repeats_counts_once(spark):
+    rows = [(k, f"word{k % 5} good" if k % 2 else f"word{k % 5} bad") for k in range(40)]
+    ratings = spark.createDataFrame([(k, 2 if k % 2 else 0) for k in range(40)], "doc_id long, grade int")
+    once, often = (quality_classifier.fit_on(docs(spark, r), ratings) for r in (rows, rows + rows[:4] * 50))
+    assert np.allclose(once.weights, often.weights) and np.allclose(once.thresholds, often.thresholds)
