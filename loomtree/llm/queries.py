@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomtree.llm import chat, lm_score, media, minhash, mixing, packing, quality_classifier, quality_rules, suffix_dedup, token_file
@@ -21,12 +21,26 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 EXTRA_TURN = "<|im_end|><|im_start|>assistant ok"
 
 
+def streamed(turns: DataFrame) -> DataFrame:
+    """Finished turns as the log of a chat that led to them: halves of texts as deltas; every other message first has a draft that is regenerated, the others an edit."""
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.char_length(text) / 2).cast("int")
+
+    def event(kind: str, text: Column) -> Column:
+        return F.struct(F.lit(kind).alias("event"), text.alias("text"))
+
+    left, right = event("delta", F.substr(text, F.lit(1), half)), event("delta", F.substr(text, half + 1))
+    again = F.array(event("delta", F.lit("a draft ")), event("regenerate", F.lit(None).cast("string")), left, right)
+    events = F.when(F.col("number") % 2 == 0, again).otherwise(F.array(left, event("edit", text)))
+    rows = turns.select("conv_id", "number", "role", F.posexplode(events).alias("place", "e"))
+    return rows.select("conv_id", (F.col("number") * 4 + F.col("place")).alias("seq"), F.col("number").alias("message_id"), "e.event", "role", "e.text")
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(EXTRA_TURN).alias("text"))
     number = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
-    events = rows.unionByName(extra).select("conv_id", number.alias("seq"), number.alias("message_id"), F.lit("delta").alias("event"), "role", "text")
-    out = chat.render(chat.fold_events(events))
+    out = chat.render(chat.fold_events(streamed(rows.unionByName(extra).withColumn("number", number))))
     out = out.withColumn("turns", chat.parsed(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans")))
     listed = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
