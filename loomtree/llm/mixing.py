@@ -12,6 +12,8 @@ Positions need no sort of a whole source: a cell is a (source, size class, hash
 counts are summed in order, and rows are numbered within their cells. A source has at most 512 size classes times
 BUCKETS cells however many documents it has.
 
+Targets are found by windows over all sources, a row each, in one task: this is for sources in their thousands, not for one a host.
+
 Defined results: null text has size 0; documents of size 0 keep their copies but take no words; a source of size 0 has target
 0; repeated rows are sampled one by one; an empty table gives no rows; other columns pass through, but for names that
 the operator writes itself.
@@ -57,7 +59,9 @@ def offset(source_key: Column, seed: int) -> Column:
 def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 7) -> DataFrame:
     """docs with size, source_size, target, copies, taken: how often the mix takes each document, and its words so taken."""
     made = ["size", "source_size", "target", "copies", "taken"]
-    df = docs.select(F.struct(*[docs[c] for c in rest_of(docs, *made)]).alias("row"), docs[doc_id].alias("id"), n_words(docs[text].cast("string")).alias("size"), docs[source].cast("string").alias("source"))
+    rest = rest_of(docs, *made)
+    # flat, so that columns that nobody reads afterwards, like texts, are not shuffled
+    df = docs.select(*[docs[c].alias(f"_rest{k}") for k, c in enumerate(rest)], docs[doc_id].alias("id"), n_words(docs[text].cast("string")).alias("size"), docs[source].cast("string").alias("source"))
     size_class = F.when(F.col("size") == 0, -1).otherwise(F.floor(F.log2(F.col("size").cast("double")) * 8)).cast("int")
     df = df.withColumns({
         "source_null": F.col("source").isNull(),
@@ -77,4 +81,4 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc
     df = df.withColumn("each", each).withColumn("offset", offset(F.col("source_key"), seed))
     copies = F.floor(F.col("place") * F.col("each") + F.col("offset")) - F.floor((F.col("place") - 1) * F.col("each") + F.col("offset"))
     df = df.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
-    return df.select("row.*", *made)
+    return df.select(*[F.col(f"_rest{k}").alias(c) for k, c in enumerate(rest)], *made)
