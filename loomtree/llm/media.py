@@ -251,11 +251,19 @@ def indexed(batches: Batches, media: str, keep: bool = False) -> Batches:
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), *made], [*rest, *(n for n, _ in _KINDS)])
 
 
+def _free(name: str, taken: list[str]) -> str:
+    """A column name that is not taken."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def to_media(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs without text, with n_bytes and the media file of each text."""
     rest = rest_of(docs, text, "n_bytes", "media")
     schema = docs.select(*rest).schema.add("n_bytes", "long").add("media", "binary")
-    return docs.select(*rest, docs[text].cast("string").alias("_text")).mapInArrow(lambda b: muxed(b, "_text"), schema)
+    name = _free("_text", rest)
+    return docs.select(*rest, docs[text].cast("string").alias(name)).mapInArrow(lambda b: muxed(b, name), schema)
 
 
 def index_media(files: DataFrame, media: str = "media") -> DataFrame:
@@ -263,7 +271,8 @@ def index_media(files: DataFrame, media: str = "media") -> DataFrame:
     extra = T._parse_datatype_string(INDEX).fields
     rest = rest_of(files, media, *(f.name for f in extra))
     schema = T.StructType([*files.select(*rest).schema.fields, *extra])
-    return files.select(*rest, files[media].alias("_media")).mapInArrow(lambda b: indexed(b, "_media"), schema)
+    name = _free("_media", rest)
+    return files.select(*rest, files[media].alias(name)).mapInArrow(lambda b: indexed(b, name), schema)
 
 
 DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, codec string, duration long, keyframes array<struct<start:long,length:long,time:long>>, feature string"
