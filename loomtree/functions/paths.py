@@ -109,10 +109,14 @@ def set_elements(items: Column, test: Callable[[Column], Column], change: Callab
     return F.transform(items, lambda x: F.when(F.coalesce(test(x), F.lit(False)), change(x)).otherwise(x))
 
 
+def escaped(key: Column) -> Column:
+    """A key with its quotes and backslashes escaped."""
+    return F.replace(F.replace(key, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
+
+
 def normal_step(key: Column, position: Column) -> Column:
     """['key'] or [0], with quotes and backslashes of keys escaped."""
-    escaped = F.replace(F.replace(key, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
-    return F.when(key.isNotNull(), F.concat(F.lit("['"), escaped, F.lit("']"))).otherwise(F.concat(F.lit("["), position.cast("string"), F.lit("]")))
+    return F.when(key.isNotNull(), F.concat(F.lit("['"), escaped(key), F.lit("']"))).otherwise(F.concat(F.lit("["), position.cast("string"), F.lit("]")))
 
 
 def pointer_step(key: Column, position: Column) -> Column:

@@ -8,9 +8,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtree.functions.paths import follow, steps
+from loomtree.functions.paths import follow, pointer_step, steps
 from loomtree.functions.values import as_array, as_map, equal, kind, let
-from loomtree.operators.descend import nodes
+from loomtree.operators.descend import every_level
 
 
 def diff_rows(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
@@ -49,29 +49,50 @@ def _label(k: Column, old: Column, new: Column) -> Column:
     return F.when(old.isNull(), "added").when(new.isNull(), "removed").when(k, "size changed").when(kind(old) != kind(new), "type changed").otherwise("modified")
 
 
+def _changes(a: Column, b: Column) -> Column:
+    """array<struct<pointer, old, new, shared>> of the places where two documents may differ: shared ones are arrays of other lengths, of the others values are compared later."""
+
+    def pair(pointer: Column, x: Column, y: Column) -> Column:
+        """Of two containers of a kind, inside has their parts side by side; of all else it is NULL."""
+        none = F.lit(None).cast("string")
+        listed = F.zip_with(as_array(x), as_array(y), lambda p, q: F.struct(none.alias("key"), p.alias("a"), q.alias("b")))
+        named = F.transform(F.map_entries(F.map_zip_with(as_map(x), as_map(y), lambda _, p, q: F.struct(p.alias("a"), q.alias("b")))), lambda e: F.struct(e["key"].alias("key"), e["value"]["a"].alias("a"), e["value"]["b"].alias("b")))
+        return F.struct(pointer.alias("pointer"), x.alias("old"), y.alias("new"), F.coalesce(listed, named).alias("inside"))
+
+    def opened(above: Column) -> Column:
+        inner = F.filter(above, lambda n: n["inside"].isNotNull())
+        return F.flatten(F.transform(inner, lambda n: F.transform(n["inside"], lambda e, i: pair(F.concat(n["pointer"], pointer_step(e["key"], i)), e["a"], e["b"]))))
+
+    def differ(n: Column) -> Column:
+        """The lengths of two arrays, or the types or texts of what is not two containers."""
+        types = ~F.schema_of_variant(n["old"]).eqNullSafe(F.schema_of_variant(n["new"]))
+        texts = ~F.try_variant_get(n["old"], "$", "string").eqNullSafe(F.try_variant_get(n["new"], "$", "string"))
+        last = F.get(n["inside"], F.size(n["inside"]) - 1)
+        return F.when(n["inside"].isNull(), types | texts | (F.schema_of_variant(n["old"]) == "BINARY")).otherwise(F.coalesce(last["key"].isNull() & (last["a"].isNull() | last["b"].isNull()), F.lit(False)))
+
+    levels = every_level(F.array(pair(F.lit(""), a, b)), opened)
+    found = F.filter(levels, differ)
+    return F.transform(found, lambda n: F.struct(n["pointer"].alias("pointer"), n["old"].alias("old"), n["new"].alias("new"), n["inside"].isNotNull().alias("shared")))
+
+
 def diff_documents(before: DataFrame, after: DataFrame, keys: list[str], document: str) -> DataFrame:
     """keys, pointer, op (add, remove, replace), label, old and new (VARIANT): what turns each document before into that after.
 
     Objects are compared by name and arrays by place, at any depth; a part that is only on one side is one add or remove, whatever is inside it. One full outer
-    join of all nodes by key and pointer, and one semi join with the containers that both sides have. The label says added, removed, modified, type changed, or size
+    join of the documents by key; what two documents share is walked side by side within their row. The label says added, removed, modified, type changed, or size
     changed for an array of another length (a row of its own, with op NULL).
     """
 
     def side(df: DataFrame, value: str) -> DataFrame:
-        found = df.where(F.col(document).isNotNull()).select(*keys, F.explode(nodes(F.col(document))).alias("n"))
-        return found.select(*keys, F.col("n.pointer").alias("pointer"), F.col("n.value").alias(value))
-
-    both = side(before, "old").join(side(after, "new"), [*keys, "pointer"], "full_outer")
-    shared = kind(F.col("old")).isin("array", "object") & (kind(F.col("old")) == kind(F.col("new")))
-    both = both.withColumn("_shared", F.coalesce(shared, F.lit(False)))
-    open_ = both.where("_shared").select(*keys, F.col("pointer").alias("_above"))
-    longer = F.col("_shared") & (F.size(as_array(F.col("old"))) != F.size(as_array(F.col("new"))))
-    changed = both.where(F.coalesce(longer, F.lit(False)) | (~F.col("_shared") & ~equal(F.col("old"), F.col("new"))))
-    root = F.col("pointer") == ""
-    inner = changed.where(~root).withColumn("_above", F.regexp_replace("pointer", "/[^/]*$", "")).join(open_, [*keys, "_above"], "left_semi").drop("_above")
+        return df.where(F.col(document).isNotNull()).select(*keys, F.col(document).alias(value))
+
+    both = side(before, "_old").join(side(after, "_new"), keys, "full_outer")
+    both = both.select(*keys, F.explode(_changes(F.col("_old"), F.col("_new"))).alias("_n"))
+    both = both.select(*keys, F.col("_n.pointer").alias("pointer"), F.col("_n.old").alias("old"), F.col("_n.new").alias("new"), F.col("_n.shared").alias("_shared"))
+    changed = both.where(F.col("_shared") | ~equal(F.col("old"), F.col("new")))
     op = F.when(F.col("_shared"), None).when(F.col("old").isNull(), "add").when(F.col("new").isNull(), "remove").otherwise("replace")
     label = _label(F.col("_shared"), F.col("old"), F.col("new"))
-    return inner.unionByName(changed.where(root)).select(*keys, "pointer", op.alias("op"), label.alias("label"), "old", "new")
+    return changed.select(*keys, "pointer", op.alias("op"), label.alias("label"), "old", "new")
 
 
 def _empty_map() -> Column:

@@ -1,77 +1,95 @@
 """All values inside documents, as rows: recursive descent, located results and tree statistics over a VARIANT column.
 
-One pass a row: a fold opens the containers of the level above until there are none, and the array of all nodes is exploded
+One pass a row: a fold opens the nodes of the level above until there are none, and the array of all nodes is exploded
 once. There is no shuffle, no second scan and no bound on depth (beyond the parser's own), and it runs on streams as well.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtree.functions.paths import normal_step, pointer_step
+from loomtree.functions.paths import escaped, normal_step, pointer_step
 from loomtree.functions.values import as_array, as_map, kind, let
 
-#: JSON texts nest no deeper than the parser reads.
-DEEPEST = 1000
+#: Steps of the folds that follow each other while there is more to do: a fold copies its state in every step, idle ones included, so that shallow documents
+#: get by with few. JSON texts nest no deeper than 1,000 levels.
+STEPS = (4, 16, 1000)
+
+
+def repeated(start: Column, more: Callable[[Column], Column], step: Callable[[Column], Column]) -> Column:
+    """step(step(... start)) as long as more(state)."""
+
+    def run(state: Column, n: int) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.lit(n)), state, lambda s, _: F.when(more(s), step(s)).otherwise(s))
 
+    def next_fold(state: Column, n: Column) -> Column:
+        out = run(state, STEPS[-1])
+        for few in STEPS[-2::-1]:
+            out = F.when(n == few, run(state, few)).otherwise(out)
+        return F.when(more(state), out).otherwise(state)
 
-def entries(v: Column) -> Column:
-    """The direct parts of a container: array of (position, key, value), members by name; NULL for scalars."""
-    listed = F.transform(as_array(v), lambda x, i: F.struct(i.alias("position"), F.lit(None).cast("string").alias("key"), x.alias("value")))
+    return F.aggregate(F.array(*map(F.lit, STEPS)), start, next_fold)
 
-    def members(m: Column) -> Column:
-        order = F.array_sort(F.transform(F.map_keys(m), lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
-        return F.transform(order, lambda e, i: F.struct(i.alias("position"), e["k"].alias("key"), F.get(F.map_values(m), e["i"]).alias("value")))
 
-    return F.coalesce(listed, let(as_map(v), members))
+def every_level(first: Column, opened: Callable[[Column], Column]) -> Column:
+    """first, opened(first), opened of that and so on until there is nothing, as one array."""
+    levels = repeated(F.array(first), lambda s: F.size(F.element_at(s, -1)) > 0, lambda s: F.concat(s, F.array(opened(F.element_at(s, -1)))))
+    return F.flatten(levels)
 
 
-def containers(v: Column) -> Column:
-    """At least as many as the levels of a document."""
-    text = F.to_json(v)
-    return F.char_length(text) - F.char_length(F.translate(text, "[{", ""))
+def sorted_members(m: Column) -> Column:
+    """The entries of a map by name. Those of a VARIANT are sorted as they come, but for names beyond the Basic Multilingual Plane."""
 
+    def ordered(entries: Column) -> Column:
+        at = F.array_sort(F.transform(entries, lambda e, i: F.struct(e["key"].alias("k"), i.alias("i"))))
+        return F.transform(at, lambda k: F.get(entries, k["i"]))
 
-def nodes(v: Column, located: bool = True) -> Column:
-    """All nodes of a document, by level: array of depth, key, position, value, parts (entries, NULL for scalars), and if located path, pointer, order."""
+    return F.when(F.map_keys(m) == F.sort_array(F.map_keys(m)), F.map_entries(m)).otherwise(ordered(F.map_entries(m)))
 
-    def node(depth: Column, key: Column, position: Column, value: Column, path: Column, pointer: Column, order: Column) -> Column:
-        fields = [depth.alias("depth"), key.alias("key"), position.alias("position"), value.alias("value"), entries(value).alias("parts")]
-        return F.struct(*fields, *([path.alias("path"), pointer.alias("pointer"), order.alias("order")] if located else []))
 
-    def opened(above: Column) -> Column:
-        def below(n: Column, part: Column) -> Column:
-            where = (n["path"], n["pointer"], n["order"]) if located else (F.lit(""),) * 3
-            step = (normal_step, pointer_step)
-            return node(n["depth"] + 1, part["key"], part["position"], part["value"], *[F.concat(w, s(part["key"], part["position"])) for w, s in zip(where[:2], step, strict=True)], F.concat(where[2], F.array(part["position"])) if located else where[2])
+def nodes(v: Column, *fields: str) -> Column:
+    """All nodes of a document, by level: array of value, depth, key, position and those of path, pointer, order and place (the path with * for any index) that are named."""
+    steps = {
+        "path": normal_step,
+        "pointer": pointer_step,
+        "order": lambda key, position: F.array(position),
+        "place": lambda key, position: F.concat(F.lit("/"), F.coalesce(escaped(key), F.lit("*"))),
+    }
+    roots = {"path": F.lit("$"), "pointer": F.lit(""), "order": F.array().cast("array<int>"), "place": F.lit("")}
 
-        return F.flatten(F.transform(F.filter(above, lambda n: F.size(n["parts"]) > 0), lambda n: F.transform(n["parts"], lambda part: below(n, part))))
+    def node(value: Column, depth: Column, key: Column, position: Column, where: dict[str, Column]) -> Column:
+        return F.struct(value.alias("value"), depth.alias("depth"), key.alias("key"), position.alias("position"), *[c.alias(name) for name, c in where.items()])
 
-    root = node(F.lit(0), F.lit(None).cast("string"), F.lit(None).cast("int"), v, F.lit("$"), F.lit(""), F.array().cast("array<int>"))
-    start = F.struct(F.array(root).alias("all"), F.array(root).alias("last"))
+    def below(n: Column) -> Column:
+        def part(key: Column, position: Column, value: Column) -> Column:
+            return node(value, n["depth"] + 1, key, position, {f: F.concat(n[f], steps[f](key, position)) for f in fields})
 
-    def deeper(state: Column, _: Column) -> Column:
-        step = let(opened(state["last"]), lambda new: F.struct(F.concat(state["all"], new).alias("all"), new.alias("last")))
-        return F.when(F.size(state["last"]) > 0, step).otherwise(state)
+        none = F.lit(None).cast("string")
+        listed = F.transform(as_array(n["value"]), lambda x, i: part(none, i, x))
+        members = let(as_map(n["value"]), lambda m: F.when(m.isNotNull(), sorted_members(m)))
+        named = F.transform(members, lambda e, i: part(e["key"], i, e["value"]))
+        return F.coalesce(listed, named, F.slice(F.array(n), 1, 0))
 
-    levels = F.least(containers(v), F.lit(DEEPEST)) + 1
-    return F.aggregate(F.sequence(F.lit(1), levels), start, deeper, lambda state: state["all"])
+    root = node(v, F.lit(0), F.lit(None).cast("string"), F.lit(None).cast("int"), {f: roots[f] for f in fields})
+    return F.when(v.isNotNull(), every_level(F.array(root), lambda above: F.flatten(F.transform(above, below))))
 
 
 def descendants(df: DataFrame, document: str, keep: list[str]) -> DataFrame:
     """keep, depth, path, pointer, key, position, order (array, sorts in pre-order) and value of every node, the root included."""
-    found = df.where(F.col(document).isNotNull()).select(*keep, F.explode(nodes(F.col(document))).alias("_node"))
+    found = df.where(F.col(document).isNotNull()).select(*keep, F.explode(nodes(F.col(document), "path", "pointer", "order")).alias("_node"))
     return found.select(*keep, *[F.col(f"_node.{c}").alias(c) for c in ("depth", "path", "pointer", "key", "position", "order", "value")])
 
 
 def _plain(df: DataFrame, document: str, keep: list[str]) -> DataFrame:
-    return df.where(F.col(document).isNotNull()).select(*keep, F.explode(nodes(F.col(document), located=False)).alias("_node"))
+    return df.where(F.col(document).isNotNull()).select(*keep, F.explode(nodes(F.col(document))).alias("_node"))
 
 
 def named(df: DataFrame, document: str, keep: list[str], key: str) -> DataFrame:
     """All members of this name at any depth: keep, depth, key, value."""
-    found = F.filter(nodes(F.col(document), located=False), lambda n: n["key"] == key)
+    found = F.filter(nodes(F.col(document)), lambda n: n["key"] == key)
     rows = df.select(*keep, F.explode(F.transform(found, lambda n: F.struct(n["depth"].alias("depth"), n["key"].alias("key"), n["value"].alias("value")))).alias("_node"))
     return rows.select(*keep, "_node.*")
 
@@ -83,7 +101,7 @@ def of_kind(df: DataFrame, document: str, keep: list[str], wanted: str) -> DataF
 
 def leaves(df: DataFrame, document: str, keep: list[str]) -> DataFrame:
     """Scalars and empty containers, with the text of each value."""
-    leaf = F.filter(nodes(F.col(document)), lambda n: F.coalesce(F.size(n["parts"]), F.lit(0)) == 0)
+    leaf = F.filter(nodes(F.col(document), "path", "pointer"), lambda n: F.coalesce(F.size(as_array(n["value"])), F.size(as_map(n["value"])), F.lit(0)) == 0)
     rows = df.select(*keep, F.explode(F.transform(leaf, lambda n: F.struct(*[n[c].alias(c) for c in ("depth", "path", "pointer", "value")]))).alias("_node")).select(*keep, "_node.*")
     return rows.select(*keep, "depth", "path", "pointer", kind(F.col("value")).alias("kind"), F.to_json("value").alias("text"))
 
@@ -100,7 +118,7 @@ def tree_statistics(df: DataFrame, document: str, keep: list[str]) -> DataFrame:
         F.count_if(k.isin("array", "object")).alias("n_containers"),
         F.coalesce(F.max(F.when(k == "string", F.char_length(F.try_variant_get("_node.value", "$", "string")))), F.lit(0)).alias("longest_string"),
         F.coalesce(F.max(F.char_length("_node.key")), F.lit(0)).alias("longest_key"),
-        F.coalesce(F.max(F.when(k == "array", F.size("_node.parts"))), F.lit(0)).alias("largest_array"),
+        F.coalesce(F.max(F.when(k == "array", F.size(as_array(F.col("_node.value"))))), F.lit(0)).alias("largest_array"),
     )
 
 
@@ -110,5 +128,4 @@ def flattened(v: Column) -> Column:
     def one_level(items: Column) -> Column:
         return F.flatten(F.transform(items, lambda x: F.coalesce(as_array(x), F.array(x))))
 
-    levels = F.least(containers(v), F.lit(DEEPEST)) + 1
-    return F.aggregate(F.sequence(F.lit(1), levels), as_array(v), lambda items, _: F.when(F.exists(items, lambda x: as_array(x).isNotNull()), one_level(items)).otherwise(items))
+    return repeated(as_array(v), lambda items: F.exists(items, lambda x: as_array(x).isNotNull()), one_level)

@@ -225,12 +225,11 @@ def inferred_fields(df: DataFrame, document: str) -> DataFrame:
     member is required if every object at the place above has it non-null. One explode and one aggregation with partial sums: the result has a row a
     place, however many documents there are. A place of kinds a|b is anyOf in a schema.
     """
-    rows = df.where(F.col(document).isNotNull()).select(F.explode(nodes(F.col(document))).alias("n"))
-    # names are escaped in pointers, so that only elements of arrays have digits without a key; the path tells them apart
-    place = F.regexp_replace(F.regexp_replace("n.path", r"\[\d+\]", "['*']"), r"\['((?:[^'\\]|\\.)*)'\]", "/$1")
-    place = F.substr(place, F.lit(2))
-    k = F.when(integer(F.col("n.value")).isNotNull(), "integer").otherwise(kind(F.col("n.value")))
-    rows = rows.select(place.alias("place"), F.col("n.key").isNotNull().alias("named"), k.alias("kind"), F.when(k == "string", string(F.col("n.value"))).alias("text"))
+    found = df.where(F.col(document).isNotNull()).select(F.explode(nodes(F.col(document), "place")).alias("n"))
+    # the facts of a value are told once, before its text meets the patterns
+    found = found.select(F.col("n.place").alias("place"), F.col("n.key").isNotNull().alias("named"), facts(F.col("n.value")).alias("f"))
+    k = F.when(F.col("f.integer").isNotNull(), "integer").otherwise(F.col("f.kind"))
+    rows = found.select("place", "named", k.alias("kind"), F.col("f.string").alias("text"))
     patterns = {**FORMATS, "uri": r"^https?://\S+$"}
     of_format = [F.count_if(F.col("text").rlike(patterns[f])).alias(f) for f in INFERRED]
     places = rows.groupBy("place").agg(
