@@ -99,23 +99,65 @@ def _empty_map() -> Column:
     return F.map_from_entries(F.array().cast("array<struct<key:string,value:variant>>"))
 
 
+def _zipped(a: Column, b: Column, kept: Callable, opens: Callable, value: Callable, depth: int, deeper: str) -> Column:
+    """Two maps made one, as map<string,variant>: of each name kept(x, y), where a side may be NULL, value(x, y), or what comes of the two objects if opens(x, y).
+
+    Level by level down, an object with what is already known of it and the pairs of objects to open; then up again, where each object takes its parts from the level below.
+    """
+
+    def side_by_side(name: Column, x: Column, y: Column) -> Column:
+        pairs = F.map_entries(F.map_zip_with(x, y, lambda _, p, q: F.struct(p.alias("a"), q.alias("b"))))
+        there = F.filter(pairs, lambda e: kept(e["value"]["a"], e["value"]["b"]))
+        marked = F.transform(there, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), opens(e["value"]["a"], e["value"]["b"]).alias("opens")))
+
+        def parted(m: Column) -> Column:
+            known = F.transform(F.filter(m, lambda e: ~e["opens"]), lambda e: F.struct(e["key"].alias("key"), value(e["value"]["a"], e["value"]["b"]).alias("value")))
+            return F.struct(name.alias("name"), known.alias("known"), F.filter(m, lambda e: e["opens"]).alias("open"))
+
+        return let(marked, parted)
+
+    def opened(above: Column) -> Column:
+        return F.flatten(F.transform(above, lambda o: F.transform(o["open"], lambda e: side_by_side(e["key"], F.coalesce(as_map(e["value"]["a"]), _empty_map()), as_map(e["value"]["b"])))))
+
+    def is_open(levels: Column) -> Column:
+        return F.exists(F.element_at(levels, -1), lambda o: F.size(o["open"]) > 0)
+
+    root = side_by_side(F.lit(""), a, b)
+    rounds = F.sequence(F.lit(1), F.lit(depth - 1)) if depth > 1 else F.array().cast("array<int>")
+    down = F.aggregate(rounds, F.array(F.array(root)), lambda levels, _: F.when(is_open(levels), F.concat(levels, F.array(opened(F.element_at(levels, -1))))).otherwise(levels))
+
+    def starts(level: Column) -> Column:
+        return F.aggregate(level, F.array(F.lit(0)), lambda at, o: F.concat(at, F.array(F.element_at(at, -1) + F.size(o["open"]))))
+
+    def up(below: Column, level: Column) -> Column:
+        def whole(o: Column, at: Column) -> Column:
+            return F.map_from_entries(F.concat(o["known"], F.slice(below, at + 1, F.size(o["open"]))))
+
+        return F.zip_with(level, F.slice(starts(level), F.lit(1), F.size(level)), lambda o, at: F.struct(o["name"].alias("key"), F.to_variant_object(whole(o, at)).alias("value")))
+
+    def rebuilt(levels: Column) -> Column:
+        none = F.array().cast("array<struct<key:string,value:variant>>")
+        # the root's own map is given, not its object
+        below = F.aggregate(F.reverse(F.slice(levels, F.lit(2), F.size(levels) - 1)), none, up)
+        return F.map_from_entries(F.concat(F.get(F.get(levels, F.lit(0)), F.lit(0))["known"], below))
+
+    too_deep = F.raise_error(F.lit(deeper)).cast("map<string,variant>")
+    return let(down, lambda levels: F.when(is_open(levels), too_deep).otherwise(rebuilt(levels)))
+
+
 def merge_patch(target: Column, patch: Column, depth: int = 20, keep_nulls: bool = False) -> Column:
     """Merges a patch into a document, as map<string,variant>: null members delete (or stay, with keep_nulls), objects merge.
 
     A patch of more than depth levels raises an error.
     """
 
-    def merged(t: Column, p: Column) -> Column:
-        def value(k: Column, x: Column) -> Column:
-            if depth <= 1:
-                return F.when(as_map(x).isNotNull(), F.when(F.raise_error(F.lit("a patch has more levels than merge_patch() merges")).isNull(), x)).otherwise(x)
-            return F.when(as_map(x).isNotNull(), F.to_variant_object(merge_patch(F.try_element_at(t, k), x, depth - 1, keep_nulls))).otherwise(x)
+    def kept(_: Column, y: Column) -> Column:
+        return F.lit(True) if keep_nulls else y.isNull() | ~F.is_variant_null(y)
 
-        kept = F.map_filter(t, lambda k, x: ~F.map_contains_key(p, k))
-        new = p if keep_nulls else F.map_filter(p, lambda k, x: ~F.is_variant_null(x))
-        return F.map_concat(kept, F.transform_values(new, value))
+    def merged(t: Column, p: Column) -> Column:
+        return _zipped(t, p, kept, lambda _, y: as_map(y).isNotNull(), lambda x, y: F.coalesce(y, x), depth, "a patch has more levels than merge_patch() merges")
 
-    return let(F.struct(F.coalesce(as_map(target), _empty_map()).alias("t"), as_map(patch).alias("p")), lambda s: merged(s["t"], s["p"]))
+    return let(F.struct(F.coalesce(as_map(target), _empty_map()).alias("t"), as_map(patch).alias("p")), lambda s: F.when(s["p"].isNotNull(), merged(s["t"], s["p"])))
 
 
 def create_merge_patch(before: Column, after: Column, depth: int = 8) -> Column:
@@ -124,20 +166,15 @@ def create_merge_patch(before: Column, after: Column, depth: int = 8) -> Column:
     Objects that differ more than depth levels down raise an error.
     """
 
-    def made(a: Column, b: Column) -> Column:
-        def value(k: Column, x: Column) -> Column:
-            old = F.try_element_at(a, k)
-            both = as_map(old).isNotNull() & as_map(x).isNotNull()
-            if depth <= 1:
-                return F.when(both, F.when(F.raise_error(F.lit("documents have more levels than create_merge_patch() compares")).isNull(), x)).otherwise(x)
-            return F.when(both, create_merge_patch(old, x, depth - 1)).otherwise(x)
+    def opens(x: Column, y: Column) -> Column:
+        return as_map(x).isNotNull() & as_map(y).isNotNull()
 
-        gone = F.transform_values(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), lambda k, x: F.parse_json(F.lit("null")))
-        new = F.map_filter(b, lambda k, x: ~equal(F.try_element_at(a, k), x))
-        return F.to_variant_object(F.map_concat(gone, F.transform_values(new, value)))
+    def made(a: Column, b: Column) -> Column:
+        null = F.parse_json(F.lit("null"))
+        return F.to_variant_object(_zipped(a, b, lambda x, y: ~equal(x, y), opens, lambda _, y: F.coalesce(y, null), depth, "documents have more levels than create_merge_patch() compares"))
 
-    objects = as_map(before).isNotNull() & as_map(after).isNotNull()
-    return F.when(objects, let(F.struct(as_map(before).alias("a"), as_map(after).alias("b")), lambda s: made(s["a"], s["b"]))).otherwise(after)
+    sides = F.struct(as_map(before).alias("a"), as_map(after).alias("b"), after.alias("after"))
+    return let(sides, lambda s: F.when(s["a"].isNotNull() & s["b"].isNotNull(), made(s["a"], s["b"])).otherwise(s["after"]))
 
 
 def merge_all(*documents: Column, keep_nulls: bool = False) -> Column:
@@ -145,10 +182,10 @@ def merge_all(*documents: Column, keep_nulls: bool = False) -> Column:
     out = documents[0]
     for d in documents[1:]:
 
-        def step(below: Column, above: Column = d) -> Column:
+        def step(below: Column, above: Column) -> Column:
             return F.when(above.isNull(), below).when(as_map(above).isNotNull(), F.to_variant_object(merge_patch(below, above, keep_nulls=keep_nulls))).otherwise(above)
 
-        out = step(out)
+        out = let(F.struct(out.alias("below"), d.alias("above")), lambda s: step(s["below"], s["above"]))
     return out
 
 
