@@ -19,7 +19,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def facts(v: Column) -> Column:
     """struct of kind, integer, number and string, the last three NULL where they don't apply."""
-    return F.struct(kind(v).alias("kind"), integer(v).alias("integer"), number(v).alias("number"), string(v).alias("string"))
+    def told(k: Column) -> Column:
+        whole = F.when((k == "number") & (F.schema_of_variant(v) == "BIGINT"), F.try_variant_get(v, "$", "bigint"))
+        number = F.when(k == "number", F.try_variant_get(v, "$", "double"))
+        return F.struct(k.alias("kind"), whole.alias("integer"), number.alias("number"), F.when(k == "string", F.try_variant_get(v, "$", "string")).alias("string"))
+
+    return let(kind(v), told)
 
 
 def as_array(v: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtree.functions.paths import child
-from loomtree.functions.values import as_array, as_map, equal, facts, integer, kind, let, number, string
+from loomtree.functions.values import as_array, as_map, equal, facts, let, string
 from loomtree.operators.descend import nodes
 
 _H16 = "[0-9A-Fa-f]{1,4}"
@@ -73,6 +73,15 @@ def _step(name: Column) -> Column:
     return F.concat(F.lit("/"), F.replace(F.replace(name, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")))
 
 
+#: What rules ask of a value, each with the keywords that ask it: only this is computed.
+_FACTS = {
+    "scalar": ({"type", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf"}, facts),
+    "string": ({"minLength", "maxLength", "pattern", "format"}, string),
+    "items": ({"minItems", "maxItems", "uniqueItems", "prefixItems", "items", "contains"}, as_array),
+    "members": ({"minProperties", "maxProperties", "required", "properties", "patternProperties", "additionalProperties", "propertyNames", "dependentRequired", "dependentSchemas"}, as_map),
+}
+
+
 def _check(v: Column, schema: object, pointer: Column) -> Column:
     """The violations of one value, which is there. What the rules ask of the value is computed once."""
     if isinstance(schema, bool):
@@ -81,14 +90,13 @@ def _check(v: Column, schema: object, pointer: Column) -> Column:
         raise ValueError(f"no such schema keywords: {', '.join(sorted(unknown))}")
     if not set(schema) & RULES:
         return _none()
-    known = F.struct(facts(v).alias("scalar"), as_array(v).alias("items"), as_map(v).alias("members"))
-    return let(known, lambda f: _found(v, f, schema, pointer))
+    asked = [make(v).alias(name) for name, (keywords, make) in _FACTS.items() if set(schema) & keywords]
+    return let(F.struct(*asked), lambda f: _found(v, f, schema, pointer)) if asked else _found(v, F.lit(None), schema, pointer)
 
 
 def _found(v: Column, f: Column, schema: Mapping, pointer: Column) -> Column:
     found: list[Column] = []
-    n, whole, s = (f["scalar"][k] for k in ("number", "integer", "string"))
-    items, members = f["items"], f["members"]
+    n, whole, s, items, members = f["scalar"]["number"], f["scalar"]["integer"], f["string"], f["items"], f["members"]
 
     def rule(keyword: str, broken: Column) -> None:
         found.append(F.when(F.coalesce(broken, F.lit(False)), F.array(F.struct(pointer.alias("pointer"), F.lit(keyword).alias("keyword")))).otherwise(_none()))
@@ -179,8 +187,12 @@ def _found(v: Column, f: Column, schema: Mapping, pointer: Column) -> Column:
         rule("propertyNames", F.exists(F.map_keys(members), lambda k: F.size(_check(k.cast("variant"), schema["propertyNames"], F.lit(""))) > 0))
     if schema.get("uniqueItems"):
         # 1 and 1.0 are equal
-        texts = F.transform(items, lambda x: F.concat(kind(x), F.when(kind(x) == "number", F.coalesce(F.coalesce(integer(x), F.when(number(x) % 1 == 0, number(x).try_cast("bigint"))).cast("string"), number(x).cast("string"))).otherwise(F.to_json(x))))
-        rule("uniqueItems", F.size(F.array_distinct(texts)) < F.size(texts))
+        def text(x: Column, g: Column) -> Column:
+            whole = F.coalesce(g["integer"], F.when(g["number"] % 1 == 0, g["number"].try_cast("bigint")))
+            return F.concat(g["kind"], F.when(g["kind"] == "number", F.coalesce(whole.cast("string"), g["number"].cast("string"))).otherwise(F.to_json(x)))
+
+        texts = F.transform(items, lambda x: let(facts(x), lambda g: text(x, g)))
+        rule("uniqueItems", let(texts, lambda t: F.size(F.array_distinct(t)) < F.size(t)))
     prefix = schema.get("prefixItems", [])
     for i, part in enumerate(prefix):
         found.append(F.when(F.size(items) > i, _check(F.get(items, F.lit(i)), part, F.concat(pointer, F.lit(f"/{i}")))).otherwise(_none()))
