@@ -17,7 +17,7 @@ common subsequence is computed by bits, a machine word of columns at a time; tex
 Not all pairs are made within a bucket. Texts of equal words are one text first. Each member of a bucket meets the bucket's
 head, the member that shares its buckets with most others (an original rather than one of its copies, which are farther from
 each other than from it); this grows with the number of members, and in a bucket of two the pair itself is looked at. Members that are not in the class of a head
-meet all others with whom they agree in two neighbouring tables, wherever their classes differ, in blocks of at most BLOCK of them, so that no task holds a bucket's pairs.
+meet all others of the bucket, wherever their classes differ, in blocks of at most BLOCK of them, so that no task holds a bucket's pairs.
 Whoever meets is aligned only if the bin sketches of their labelled words (a bit of the least hash in each of BINS bins of hashes) agree as those of near
 texts do, but for five standard deviations: near texts have at least 0.8 of their words in common, in whatever order, so that texts that share a passage
 or a line, and copies that are too far from each other, fall out within the join.
@@ -294,13 +294,12 @@ def near_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     links = linked_to_heads(buckets.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")))
     classes = written(components(links), "classes")
 
-    # nodes that are not in the class of a bucket's head, against all that agree with them in two neighbouring tables
+    # nodes that are not in the class of a bucket's head, against all others of their buckets
     found = buckets.join(classes, "node", "left").select("node", "head", F.coalesce("root", "node").alias("root"))
     head_class = classes.select(F.col("node").alias("head"), F.col("root").alias("head_root"))
     found = salted_join(found, head_class, "head", of_head, "node", "left").where(F.col("root") != F.coalesce("head_root", "head"))
     apart = found.select("node", F.lit(True).alias("apart")).distinct()
-    two = F.array_distinct(F.transform("tables", lambda x, i: F.xxhash64(x, F.element_at("tables", F.pmod(i + 1, F.size("tables")) + 1))))
-    member = known.select("node", two.alias("tables")).join(classes, "node", "left").join(apart, "node", "left")
+    member = known.select("node", F.array_distinct("tables").alias("tables")).join(classes, "node", "left").join(apart, "node", "left")
     member = written(member.select("node", F.coalesce("root", "node").alias("root"), F.coalesce("apart", F.lit(False)).alias("apart"), "tables"), "members")
     thin = member.select("node", "root", "apart", F.explode("tables").alias("bucket"))
     live = thin.groupBy("bucket").agg(F.count_if("apart").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("n > 0 and least <> most")
