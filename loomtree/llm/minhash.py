@@ -20,7 +20,8 @@ each other than from it); this grows with the number of members, and in a bucket
 meet all others of the bucket, wherever their classes differ, in blocks of at most BLOCK of them, so that no task holds a bucket's pairs.
 Whoever meets is aligned only if the bin sketches of their labelled words (a bit of the least hash in each of BINS bins of hashes) agree as those of near
 texts do, but for five standard deviations: near texts have at least 0.8 of their words in common, in whatever order, so that texts that share a passage
-or a line, and copies that are too far from each other, fall out within the join.
+or a line, and copies that are too far from each other, fall out within the join. Sketches leave in copies that are nearly near, and there may be very many; so where
+all others of a bucket are met, texts of up to COUNTED words are compared by all their words (share_words), which no near pair fails.
 
 Keys with many rows (a text with many copies, a head or root of a large class) are salted in joins, and copies are dropped in tasks before
 their texts are shuffled.
@@ -49,6 +50,7 @@ TABLES = 40
 KINDS = ((0, 12, 1, 4), (9, 100, 3, 3), (75, 1 << 62, 5, 3))
 BLOCK = 1024
 BINS = 1024
+COUNTED = 1024
 WORDS = BINS // 64
 
 
@@ -137,6 +139,30 @@ def may_be_alike(a: str, b: str) -> Column:
     return sizes & (bits(filled) * ((1 + SIMILARITY) / 2) - bits(differ) >= each * (SIMILARITY / 2) - 5 * spread - 1)
 
 
+def counted(texts: DataFrame) -> DataFrame:
+    """(node, words): the labelled words of texts (node, text) as sorted 32-bit hashes, NULL for a text of more than COUNTED words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                words, rows, _, _ = word_hashes(*flat_bytes(part.column("text")))
+                found = [None if b - a > COUNTED else np.unique((kmers(words[a:b], 1) >> np.uint64(32)).astype(np.uint32).view(np.int32)) for a, b in zip(rows[:-1], rows[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("node").cast(pa.binary()), pa.array(found, pa.list_(pa.int32()))], ["node", "words"])
+
+    return texts.select("node", "text").mapInArrow(run, "node binary, words array<int>")
+
+
+def share_words(a: str, b: str) -> Column:
+    """Whether two rows' words have as many in common as an alignment of near texts matches; true where either is not counted.
+
+    Words of equal 32-bit hashes count once, so both the bound and the words in common lessen by as many.
+    """
+    x, y = F.col(f"{a}.words"), F.col(f"{b}.words")
+    merged = F.col(f"{a}.n") - F.size(x) + F.col(f"{b}.n") - F.size(y)
+    need = (F.col(f"{a}.n") + F.col(f"{b}.n")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6
+    return F.coalesce(F.size(F.array_intersect(x, y)) + merged >= need, F.lit(True))
+
+
 def banded_matches(a: list[int], b: list[int], behind: int, ahead: int) -> int:
     """The longest common subsequence of two sequences in a band: place i of a meets j of b if j - ahead <= i <= j + behind.
 
@@ -305,16 +331,18 @@ def near_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     live = thin.groupBy("bucket").agg(F.count_if("apart").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("n > 0 and least <> most")
     thin = written(thin.join(live.select("bucket", "n"), "bucket"), "met")
     open_ = thin.groupBy("node").agg(F.collect_list("bucket").alias("open"))
-    wide = written(open_.join(known.select("node", side.alias("side")), "node"), "wide")
+    words = written(counted(texts.join(open_.select("node"), "node", "left_semi")), "words")
+    again_side = F.struct("words", "n", "filled", *[f"{p}{k}" for p in "mv" for k in range(WORDS)])
+    wide = written(open_.join(known, "node").join(words, "node").select("node", "open", again_side.alias("side")), "wide")
     of_a, of_b = ([F.col("node").alias(k), F.col("open").alias(f"open_{k}"), F.col("side").alias(v)] for k, v in (("a", "x"), ("b", "y")))
     x = thin.where("apart").select("bucket", F.col("node").alias("a"), F.col("root").alias("root_a")).join(wide.select(*of_a), "a")
     y = thin.select("bucket", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("apart").alias("apart_b")).join(wide.select(*of_b), "b")
     # a pair meets once: in one direction, and in the least of its buckets
     once = (~F.col("apart_b") | (F.col("a") < F.col("b"))) & (F.array_min(F.array_intersect("open_a", "open_b")) == F.col("bucket"))
-    again = salted_join(x, y, "bucket", live.select("bucket", "n"), "a", most=BLOCK).where((F.col("root_a") != F.col("root_b")) & may_be_alike("x", "y") & once)
+    again = salted_join(x, y, "bucket", live.select("bucket", "n"), "a", most=BLOCK).where((F.col("root_a") != F.col("root_b")) & may_be_alike("x", "y") & once & share_words("x", "y"))
     again = written(again.select("a", "b"), "again")
     final = components(links.unionByName(linked(again, texts)))
-    for table in (entries, buckets, known, texts, links, classes, member, thin, wide, again):
+    for table in (entries, buckets, known, texts, links, classes, member, thin, words, wide, again):
         dropped(spark, table)
 
     of_node = salted_join(rows.select("doc_id", "node", "turn"), final, "node", distinct.select("node", F.col("copies").alias("n")), "turn", "left")
