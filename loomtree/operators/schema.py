@@ -10,11 +10,11 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtree.functions.paths import child
-from loomtree.functions.values import as_array, as_map, equal, facts, let, string
+from loomtree.functions.values import as_array, as_map, equal, facts, kind, let, string
 from loomtree.operators.descend import nodes
 
 _H16 = "[0-9A-Fa-f]{1,4}"
@@ -234,26 +234,34 @@ def inferred_fields(df: DataFrame, document: str) -> DataFrame:
     """Of a collection of documents, a row for each place (pointer with * for any element): kinds, format, n_present, required.
 
     kinds are joined by |, integers beside other numbers are numbers; format is that of all strings there; n_present counts non-null values; a
-    member is required if every object at the place above has it non-null. One explode and one aggregation with partial sums: the result has a row a
-    place, however many documents there are. A place of kinds a|b is anyOf in a schema.
+    member is required if every object at the place above has it non-null. One explode and one aggregation with partial sums, then one of its few rows: the
+    result has a row a place, however many documents there are. A place of kinds a|b is anyOf in a schema.
     """
     found = df.where(F.col(document).isNotNull()).select(F.explode(nodes(F.col(document), "place")).alias("n"))
-    # the facts of a value are told once, before its text meets the patterns
-    found = found.select(F.col("n.place").alias("place"), F.col("n.key").isNotNull().alias("named"), facts(F.col("n.value")).alias("f"))
-    k = F.when(F.col("f.integer").isNotNull(), "integer").otherwise(F.col("f.kind"))
-    rows = found.select("place", "named", k.alias("kind"), F.col("f.string").alias("text"))
+    found = found.select(F.col("n.place").alias("place"), F.col("n.key").isNotNull().alias("named"), kind(F.col("n.value")).alias("kind"), F.col("n.value").alias("value"))
+    is_whole = (F.col("kind") == "number") & (F.schema_of_variant("value") == "BIGINT")
+    text = F.when(F.col("kind") == "string", F.try_variant_get("value", "$", "string"))
+    rows = found.select("place", "named", F.when(is_whole, "integer").otherwise(F.col("kind")).alias("kind"), text.alias("text"))
     patterns = {**FORMATS, "uri": r"^https?://\S+$"}
-    of_format = [F.count_if(F.col("text").rlike(patterns[f])).alias(f) for f in INFERRED]
-    places = rows.groupBy("place").agg(
-        F.array_sort(F.collect_set(F.when(F.col("kind") != "null", F.col("kind")))).alias("kinds"),
-        F.count_if(F.col("kind") != "null").alias("n_present"),
-        F.count("text").alias("n_texts"),
-        F.count_if(F.col("kind") == "object").alias("n_objects"),
+    # plain counts first, by kind too: sets are made of the few rows of a place
+    counts = rows.groupBy("place", "named", "kind").agg(F.count("*").alias("n"), *[F.count_if(F.col("text").rlike(patterns[f])).alias(f) for f in INFERRED])
+
+    def nodes_of(test: Column) -> Column:
+        return F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+
+    k = F.col("kind")
+    places = counts.groupBy("place").agg(
+        F.array_sort(F.collect_set(F.when(k != "null", k))).alias("kinds"),
+        nodes_of(k != "null").alias("n_present"),
+        nodes_of(k == "string").alias("n_texts"),
+        nodes_of(k == "object").alias("n_objects"),
         F.bool_or("named").alias("named"),
-        *of_format,
+        *[F.sum(f).alias(f) for f in INFERRED],
     )
-    above = places.select(F.col("place").alias("above"), F.col("n_objects").alias("n_above"))
-    places = places.withColumn("above", F.regexp_replace("place", r"/[^/]*$", "")).join(above, "above", "left")
+    # each place goes to its own name and to the one above, so that documents are not read again for a join
+    above, none = F.regexp_replace("place", r"/[^/]*$", ""), F.lit(None).cast("bigint")
+    told = F.array(F.struct(above.alias("at"), none.alias("n"), F.lit(True).alias("below")), F.struct(F.col("place").alias("at"), F.col("n_objects").alias("n"), F.lit(False).alias("below")))
+    places = places.withColumn("told", F.explode(told)).withColumn("n_above", F.max("told.n").over(Window.partitionBy("told.at"))).where("told.below")
     kinds = F.when(F.array_contains("kinds", "number"), F.array_remove("kinds", "integer")).otherwise(F.col("kinds"))
     form = F.coalesce(*[F.when((F.col("n_texts") > 0) & (F.col(f) == F.col("n_texts")), f) for f in INFERRED])
     return places.select("place", F.array_join(kinds, "|").alias("kinds"), form.alias("format"), "n_present", (F.col("named") & (F.col("n_present") == F.col("n_above"))).alias("required"))
