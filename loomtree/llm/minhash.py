@@ -109,6 +109,14 @@ def bins(elements: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.int64).ravel()
 
 
+PLANES = [f"{p}{k}" for p in "mv" for k in range(WORDS)]
+
+
+def side(*more: Column) -> Column:
+    """What may_be_alike() reads, and more columns, as one struct. Its fields are never null: the checks for nulls would double the code of the comparisons, which the JVM compiles up to 8,000 bytes a method only."""
+    return F.struct(*[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n", "filled", *PLANES)], *more)
+
+
 def may_be_alike(a: str, b: str) -> Column:
     """Whether two rows' n and bins are as those of near texts, but for five standard deviations.
 
@@ -130,11 +138,11 @@ def may_be_alike(a: str, b: str) -> Column:
         return F.col(f"{a}.v{k}").bitwiseXOR(F.col(f"{b}.v{k}")).bitwiseAND(filled(k))
 
     each = F.col(f"{a}.filled") + F.col(f"{b}.filled")
-    either = F.least(each / (1 + SIMILARITY), F.lit(float(BINS)))
-    union = (F.col(f"{a}.n") + F.col(f"{b}.n")) / (1 + SIMILARITY)
+    either = F.least(each * (1 / (1 + SIMILARITY)), F.lit(float(BINS)))
+    union = (F.col(f"{a}.n") + F.col(f"{b}.n")) * (1 / (1 + SIMILARITY))
     sampled = either * (SIMILARITY * (1 - SIMILARITY)) * F.greatest(1 - either / union, F.lit(0.0))
     chance = F.greatest(each - either * (1 + SIMILARITY), F.lit(0.0))
-    spread = F.sqrt(sampled / 4 + chance / 4)
+    spread = F.sqrt((sampled + chance) * 0.25)
     sizes = F.least(f"{a}.n", f"{b}.n") >= F.greatest(f"{a}.n", f"{b}.n") * SIMILARITY
     return sizes & (bits(filled) * ((1 + SIMILARITY) / 2) - bits(differ) >= each * (SIMILARITY / 2) - 5 * spread - 1)
 
@@ -301,9 +309,7 @@ def near_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
     texts = digested(docs.select(docs[text].cast("string").alias("text")), once=True)
     texts = written(texts.join(known, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "texts")
-    side = F.struct("n", "filled", *[f"{p}{k}" for p in "mv" for k in range(WORDS)])
-
-    ours, others = known.select(F.col("node").alias("a"), side.alias("x")), known.select(F.col("node").alias("b"), side.alias("y"))
+    ours, others = known.select(F.col("node").alias("a"), side().alias("x")), known.select(F.col("node").alias("b"), side().alias("y"))
 
     def linked_to_heads(meetings: DataFrame) -> DataFrame:
         """The links of those (a, b) that are near; b is a head, and may have very many a."""
@@ -332,11 +338,12 @@ def near_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     thin = written(thin.join(live.select("bucket", "n"), "bucket"), "met")
     open_ = thin.groupBy("node").agg(F.collect_list("bucket").alias("open"))
     words = written(counted(texts.join(open_.select("node"), "node", "left_semi")), "words")
-    again_side = F.struct("words", "n", "filled", *[f"{p}{k}" for p in "mv" for k in range(WORDS)])
-    wide = written(open_.join(known, "node").join(words, "node").select("node", "open", again_side.alias("side")), "wide")
-    of_a, of_b = ([F.col("node").alias(k), F.col("open").alias(f"open_{k}"), F.col("side").alias(v)] for k, v in (("a", "x"), ("b", "y")))
-    x = thin.where("apart").select("bucket", F.col("node").alias("a"), F.col("root").alias("root_a")).join(wide.select(*of_a), "a")
-    y = thin.select("bucket", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("apart").alias("apart_b")).join(wide.select(*of_b), "b")
+    wide = written(open_.join(known, "node").join(words, "node").select("node", "open", "words", "n", "filled", *PLANES), "wide")
+    # no columns that may be null here either; with sizes as may_be_alike() asks, share_words() lets a text without counted words through
+    some = {"open": F.coalesce("open", F.array().cast("array<long>")), "words": F.coalesce("words", F.array().cast("array<int>")).alias("words"), "root": F.coalesce("root", F.lit(b""))}
+    of_a, of_b = ([F.col("node").alias(k), some["open"].alias(f"open_{k}"), side(some["words"]).alias(v)] for k, v in (("a", "x"), ("b", "y")))
+    x = thin.where("apart").select("bucket", F.col("node").alias("a"), some["root"].alias("root_a")).join(wide.select(*of_a), "a")
+    y = thin.select("bucket", F.col("node").alias("b"), some["root"].alias("root_b"), F.coalesce("apart", F.lit(False)).alias("apart_b")).join(wide.select(*of_b), "b")
     # a pair meets once: in one direction, and in the least of its buckets
     once = (~F.col("apart_b") | (F.col("a") < F.col("b"))) & (F.array_min(F.array_intersect("open_a", "open_b")) == F.col("bucket"))
     again = salted_join(x, y, "bucket", live.select("bucket", "n"), "a", most=BLOCK).where((F.col("root_a") != F.col("root_b")) & may_be_alike("x", "y") & once & share_words("x", "y"))

@@ -160,3 +160,42 @@ def test_second_meetings_leave_out_texts_that_are_nearly_near(spark):
     assert all(passed[k] == (True, True) for k, is_near in enumerate(near) if is_near)
     long = docs(spark, [(1, " ".join(f"v{i}" for i in range(2000)))])
     assert counted(digested(long.select("text"))).first()["words"] is None
+
+
+def test_comparisons_are_compiled_and_shuffles_go(spark, monkeypatch):
+    """The JVM compiles no method of over 8,000 bytes; the shuffle files of written tables go with their queries."""
+    import re
+    import time
+
+    from loomtree.llm import common, minhash
+
+    sizes = {}
+
+    def seen(df, name):
+        if name in ("pairs", "again"):
+            before = spark.conf.get("spark.sql.adaptive.enabled")
+            spark.conf.set("spark.sql.adaptive.enabled", "false")
+            text = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(df.select("*")._jdf.queryExecution(), "codegen")
+            spark.conf.set("spark.sql.adaptive.enabled", before)
+            sizes[name] = max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", text)))
+        assert spark.conf.get(common.CLEANUP, None) is None
+        return common.written(df, name)
+
+    monkeypatch.setattr(minhash, "written", seen)
+    rows = [(k, " ".join(f"w{k // 2}x{i}" for i in range(30))) for k in range(6)]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in found} == {k: k // 2 * 2 for k in range(6)}
+    assert set(sizes) == {"pairs", "again"} and max(sizes.values()) < 8000
+
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = blocks.getAllFiles()
+        return sum("shuffle_" in str(files.apply(k)) for k in range(files.size()))
+
+    had = shuffled()
+    common.written(spark.range(1000).repartition(7, "id"), "gone")
+    until = time.time() + 10
+    while shuffled() > had and time.time() < until:
+        time.sleep(0.1)
+    assert shuffled() <= had
