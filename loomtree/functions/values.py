@@ -41,11 +41,15 @@ def as_map(v: Column) -> Column:
 _KINDS = {"BIGINT": "number", "DOUBLE": "number", "FLOAT": "number", "DECIMAL": "number", "BOOLEAN": "boolean", "BINARY": "bytes", "VOID": "null"}
 
 
+def scalar_kind(v: Column) -> Column:
+    """kind() of a value that is known to be no container."""
+    names = F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair])
+    return F.coalesce(F.try_element_at(names, F.substring_index(F.schema_of_variant(v), "(", 1)), F.when(v.isNotNull(), "string"))
+
+
 def kind(v: Column) -> Column:
     """null, boolean, number, string, bytes, array or object; SQL NULL for a missing value. Containers are not walked."""
-    names = F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair])
-    scalar = F.try_element_at(names, F.substring_index(F.schema_of_variant(v), "(", 1))
-    return F.coalesce(F.when(as_array(v).isNotNull(), "array"), F.when(as_map(v).isNotNull(), "object"), scalar, F.when(v.isNotNull(), "string"))
+    return F.coalesce(F.when(as_array(v).isNotNull(), "array"), F.when(as_map(v).isNotNull(), "object"), scalar_kind(v))
 
 
 def number(v: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtree.functions.paths import escaped, normal_step, pointer_step
-from loomtree.functions.values import as_array, as_map, kind, let
+from loomtree.functions.values import as_array, as_map, kind, let, scalar_kind
 
 #: Steps of the folds that follow each other while there is more to do: a fold copies its state in every step, idle ones included, so that shallow documents
 #: get by with few. JSON texts nest no deeper than 1,000 levels.
@@ -50,8 +50,8 @@ def sorted_members(m: Column) -> Column:
     return F.when(F.map_keys(m) == F.sort_array(F.map_keys(m)), F.map_entries(m)).otherwise(ordered(F.map_entries(m)))
 
 
-def nodes(v: Column, *fields: str) -> Column:
-    """All nodes of a document, by level: array of value, depth, key, position and those of path, pointer, order and place (the path with * for any index) that are named."""
+def _tree(v: Column, *fields: str) -> Column:
+    """nodes() with items, the size of an array, and members, that of an object: what a node is, is asked when it is made, and only containers are opened."""
     steps = {
         "path": normal_step,
         "pointer": pointer_step,
@@ -61,7 +61,8 @@ def nodes(v: Column, *fields: str) -> Column:
     roots = {"path": F.lit("$"), "pointer": F.lit(""), "order": F.array().cast("array<int>"), "place": F.lit("")}
 
     def node(value: Column, depth: Column, key: Column, position: Column, where: dict[str, Column]) -> Column:
-        return F.struct(value.alias("value"), depth.alias("depth"), key.alias("key"), position.alias("position"), *[c.alias(name) for name, c in where.items()])
+        sizes = [F.size(as_array(value)).alias("items"), F.size(as_map(value)).alias("members")]
+        return F.struct(value.alias("value"), depth.alias("depth"), key.alias("key"), position.alias("position"), *[c.alias(name) for name, c in where.items()], *sizes)
 
     def below(n: Column) -> Column:
         def part(key: Column, position: Column, value: Column) -> Column:
@@ -69,12 +70,19 @@ def nodes(v: Column, *fields: str) -> Column:
 
         none = F.lit(None).cast("string")
         listed = F.transform(as_array(n["value"]), lambda x, i: part(none, i, x))
-        members = let(as_map(n["value"]), lambda m: F.when(m.isNotNull(), sorted_members(m)))
-        named = F.transform(members, lambda e, i: part(e["key"], i, e["value"]))
-        return F.coalesce(listed, named, F.slice(F.array(n), 1, 0))
+        named = F.transform(let(as_map(n["value"]), sorted_members), lambda e, i: part(e["key"], i, e["value"]))
+        return F.when(n["items"].isNotNull(), listed).otherwise(named)
+
+    def opened(above: Column) -> Column:
+        return F.flatten(F.transform(F.filter(above, lambda n: F.coalesce(n["items"], n["members"], F.lit(0)) > 0), below))
 
     root = node(v, F.lit(0), F.lit(None).cast("string"), F.lit(None).cast("int"), {f: roots[f] for f in fields})
-    return F.when(v.isNotNull(), every_level(F.array(root), lambda above: F.flatten(F.transform(above, below))))
+    return F.when(v.isNotNull(), every_level(F.array(root), opened))
+
+
+def nodes(v: Column, *fields: str) -> Column:
+    """All nodes of a document, by level: array of value, depth, key, position and those of path, pointer, order and place (the path with * for any index) that are named."""
+    return F.transform(_tree(v, *fields), lambda n: F.struct(*[n[c].alias(c) for c in ("value", "depth", "key", "position", *fields)]))
 
 
 def descendants(df: DataFrame, document: str, keep: list[str]) -> DataFrame:
@@ -83,13 +91,9 @@ def descendants(df: DataFrame, document: str, keep: list[str]) -> DataFrame:
     return found.select(*keep, *[F.col(f"_node.{c}").alias(c) for c in ("depth", "path", "pointer", "key", "position", "order", "value")])
 
 
-def _plain(df: DataFrame, document: str, keep: list[str]) -> DataFrame:
-    return df.where(F.col(document).isNotNull()).select(*keep, F.explode(nodes(F.col(document))).alias("_node"))
-
-
 def named(df: DataFrame, document: str, keep: list[str], key: str) -> DataFrame:
     """All members of this name at any depth: keep, depth, key, value."""
-    found = F.filter(nodes(F.col(document)), lambda n: n["key"] == key)
+    found = F.filter(_tree(F.col(document)), lambda n: n["key"] == key)
     rows = df.select(*keep, F.explode(F.transform(found, lambda n: F.struct(n["depth"].alias("depth"), n["key"].alias("key"), n["value"].alias("value")))).alias("_node"))
     return rows.select(*keep, "_node.*")
 
@@ -101,24 +105,28 @@ def of_kind(df: DataFrame, document: str, keep: list[str], wanted: str) -> DataF
 
 def leaves(df: DataFrame, document: str, keep: list[str]) -> DataFrame:
     """Scalars and empty containers, with the text of each value."""
-    leaf = F.filter(nodes(F.col(document), "path", "pointer"), lambda n: F.coalesce(F.size(as_array(n["value"])), F.size(as_map(n["value"])), F.lit(0)) == 0)
+    leaf = F.filter(_tree(F.col(document), "path", "pointer"), lambda n: F.coalesce(n["items"], n["members"], F.lit(0)) == 0)
     rows = df.select(*keep, F.explode(F.transform(leaf, lambda n: F.struct(*[n[c].alias(c) for c in ("depth", "path", "pointer", "value")]))).alias("_node")).select(*keep, "_node.*")
     return rows.select(*keep, "depth", "path", "pointer", kind(F.col("value")).alias("kind"), F.to_json("value").alias("text"))
 
 
 def tree_statistics(df: DataFrame, document: str, keep: list[str]) -> DataFrame:
     """Of each document: nodes, greatest depth, numbers, strings, containers, longest string, longest key and largest array."""
+    # containers are known from the descent, so that only scalars are asked for their kind and go along with their value
+    container = lambda n: n["items"].isNotNull() | n["members"].isNotNull()
+    told = lambda n: F.struct(F.when(~container(n), n["value"]).alias("value"), n["depth"].alias("depth"), F.char_length(n["key"]).alias("key"), n["items"].alias("items"), container(n).alias("container"))
+    rows = df.where(F.col(document).isNotNull()).select(*keep, F.explode(F.transform(_tree(F.col(document)), told)).alias("_node"))
+    rows = rows.withColumn("kind", scalar_kind(F.col("_node.value")))
     k = F.col("kind")
-    rows = _plain(df, document, keep).withColumn("kind", kind(F.col("_node.value")))
     return rows.groupBy(*keep).agg(
         F.count("*").alias("n_nodes"),
         F.max("_node.depth").alias("max_depth"),
         F.count_if(k == "number").alias("n_numbers"),
         F.count_if(k == "string").alias("n_strings"),
-        F.count_if(k.isin("array", "object")).alias("n_containers"),
+        F.count_if("_node.container").alias("n_containers"),
         F.coalesce(F.max(F.when(k == "string", F.char_length(F.try_variant_get("_node.value", "$", "string")))), F.lit(0)).alias("longest_string"),
-        F.coalesce(F.max(F.char_length("_node.key")), F.lit(0)).alias("longest_key"),
-        F.coalesce(F.max(F.when(k == "array", F.size(as_array(F.col("_node.value"))))), F.lit(0)).alias("largest_array"),
+        F.coalesce(F.max("_node.key"), F.lit(0)).alias("longest_key"),
+        F.coalesce(F.max("_node.items"), F.lit(0)).alias("largest_array"),
     )
 
 
