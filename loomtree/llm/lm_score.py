@@ -68,9 +68,13 @@ def token_ids(flat: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray, fou
     words, rows, starts, stops = found or word_hashes(flat, offsets, lower=True)
     ids = 1 + WORDS + shapes(flat, starts, stops)
     if len(vocabulary) and len(words):
+        # by the upper 16 bits, of which few words of the vocabulary share any
         order = np.argsort(vocabulary)
-        at = order[np.minimum(np.searchsorted(vocabulary, words, sorter=order), len(vocabulary) - 1)]
-        ids = np.where(vocabulary[at] == words, 1 + at, ids)
+        shared = np.bincount((vocabulary >> np.uint64(48)).astype(np.int64), minlength=1 << 16)
+        first = (np.cumsum(shared) - shared)[(words >> np.uint64(48)).astype(np.int64)]
+        for k in range(shared.max()):
+            at = order[np.minimum(first + k, len(vocabulary) - 1)]
+            ids = np.where(vocabulary[at] == words, 1 + at, ids)
     counts = np.diff(rows)
     out = np.zeros(len(ids) + 2 * REACH * len(counts), np.int32)
     out[np.arange(len(ids)) + REACH * (2 * np.repeat(np.arange(len(counts)), counts) + 1)] = ids
@@ -79,7 +83,7 @@ def token_ids(flat: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray, fou
 
 def neighbours(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The ids around each of the places at: 2 * REACH columns."""
-    return np.stack([ids[at + d] for d in (*range(-REACH, 0), *range(1, REACH + 1))], axis=1)
+    return ids[at[:, None] + np.array([*range(-REACH, 0), *range(1, REACH + 1)])]
 
 
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -139,84 +143,103 @@ def _by_group(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     return at[np.argsort((ids[at] // GROUP).astype(np.uint8), kind="stable")]
 
 
-def forward(w: Weights, around: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
-    """For tokens sorted by group: embeddings, hidden values, outputs for groups and for the ids in each token's group, and the runs of groups."""
-    x = np.concatenate([w["places"][k][around[:, k]] for k in range(2 * REACH)], axis=1)
-    h = np.tanh(x @ w["inner"] + w["shift"])
-    groups, within = h @ w["group"] + w["group_bias"], np.empty((len(token), GROUP), h.dtype)
+def outputs(w: Weights) -> tuple[np.ndarray, np.ndarray]:
+    """The weights of the two softmaxes, each with its bias as a last row, which meets a hidden value that is 1."""
+    return np.concatenate([w["group"], w["group_bias"][None]]), np.concatenate([w["word"], w["word_bias"][:, None]], axis=1)
+
+
+def forward(w: Weights, out: tuple[np.ndarray, np.ndarray], around: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """For tokens sorted by group: embeddings, hidden values and a 1, outputs for groups and for the ids in each token's group, and the runs of groups."""
+    group, word = out
+    x = w["places"].reshape(-1, WIDTH).take(around + SIZE * np.arange(2 * REACH), axis=0).reshape(len(token), -1)
+    h = np.empty((len(token), HIDDEN + 1), x.dtype)
+    np.tanh(x @ w["inner"] + w["shift"], out=h[:, :HIDDEN])
+    h[:, HIDDEN] = 1
+    within = np.empty((len(token), GROUP), x.dtype)
     which, first = _runs(token // GROUP)
     runs = list(zip(which.tolist(), first.tolist(), [*first[1:].tolist(), len(token)], strict=True))
     for g, a, b in runs:
-        np.matmul(h[a:b], w["word"][g], out=within[a:b])
-        within[a:b] += w["word_bias"][g]
-    return x, h, groups, within, runs
+        np.matmul(h[a:b], word[g], out=within[a:b])
+    return x, h, h @ group, within, runs
+
+
+def _in_range(z: np.ndarray) -> np.ndarray:
+    """z, moved in place so that the greatest value of each row is 0 if exp could leave the range of the numbers; a softmax is the same after that."""
+    if z.size and max(z.max(), -z.min()) > 60:
+        z -= z.max(axis=1, keepdims=True)
+    return z
+
+
+def _sums(z: np.ndarray) -> np.ndarray:
+    return z @ np.ones(z.shape[1], z.dtype)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
     """In place."""
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    np.exp(_in_range(z), out=z)
+    z /= _sums(z)[:, None]
     return z
 
 
 def _log_share(z: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The logarithm of the softmax of each row at one place."""
-    z -= z.max(axis=1, keepdims=True)
-    chosen = z[np.arange(len(z)), at]
-    return chosen - np.log(np.exp(z, out=z).sum(axis=1))
+    chosen = _in_range(z)[np.arange(len(z)), at]
+    return chosen - np.log(_sums(np.exp(z, out=z)))
 
 
 def log_probabilities(w: Weights, ids: np.ndarray) -> np.ndarray:
     """Of each place of ids; 0 at the edges of rows."""
-    out = np.zeros(len(ids))
-    every = np.flatnonzero(ids)
+    found = np.zeros(len(ids))
+    every, out = np.flatnonzero(ids), outputs(w)
     for k in range(0, len(every), STEP):
         at = _by_group(ids, every[k : k + STEP])
         token = ids[at]
-        _, _, groups, within, _ = forward(w, neighbours(ids, at), token)
-        out[at] = _log_share(groups, token // GROUP) + _log_share(within, token % GROUP)
-    return out
+        _, _, groups, within, _ = forward(w, out, neighbours(ids, at), token)
+        found[at] = _log_share(groups, token // GROUP) + _log_share(within, token % GROUP)
+    return found
 
 
 def train_step(w: Weights, seen: Weights, ids: np.ndarray, at: np.ndarray, rate: float = RATE) -> None:
     """One Adagrad step on the tokens at these places; seen holds the sums of squared gradients."""
     at = _by_group(ids, at)
     token, around = ids[at], neighbours(ids, at)
-    x, h, groups, within, runs = forward(w, around, token)
+    group, word = out = outputs(w)
+    x, h, groups, within, runs = forward(w, out, around, token)
     row = np.arange(len(at))
     dg, dw = _softmax(groups), _softmax(within)
     dg[row, token // GROUP] -= 1
     dw[row, token % GROUP] -= 1
-    dh = dg @ w["group"].T
-    words, biases = np.zeros_like(w["word"]), np.zeros_like(w["word_bias"])
+    dh, words = np.empty((len(at), HIDDEN), h.dtype), np.zeros_like(word)
     for g, a, b in runs:
-        dh[a:b] += dw[a:b] @ w["word"][g].T
+        np.matmul(dw[a:b], word[g, :HIDDEN].T, out=dh[a:b])
         np.matmul(h[a:b].T, dw[a:b], out=words[g])
-        biases[g] = dw[a:b].sum(axis=0)
-
-    def move(name: str, key: slice | tuple, gradient: np.ndarray) -> None:
+    dh += dg @ group[:HIDDEN].T
+    groups = h.T @ dg
+    h = h[:, :HIDDEN]
+    dz = dh * (1 - h * h)
+    dx = (w["inner"] @ dz.T).astype(np.float64).reshape(2 * REACH, WIDTH, -1)
+    places = np.empty((2 * REACH, WIDTH, SIZE), h.dtype)
+    for k, near in enumerate(around.T.astype(np.intp, order="C")):
+        for j in range(WIDTH):
+            places[k, j] = np.bincount(near, dx[k, j], SIZE)
+
+    def move(name: str, gradient: np.ndarray) -> None:
+        """By the gradient; where it is 0 nothing changes."""
         total = gradient * gradient
-        total += seen[name][key]
-        seen[name][key] = total
-        np.sqrt(total, out=total)
-        gradient *= rate
+        total += seen[name]
+        seen[name] = total
+        total = np.sqrt(total)
+        gradient = gradient * rate
         gradient /= total
-        w[name][key] -= gradient
-
-    dz = dh * (1 - h * h)
-    dx = dz @ w["inner"].T
-    every = slice(None)
-    move("word", every, words)
-    move("word_bias", every, biases)
-    move("group", every, h.T @ dg)
-    move("group_bias", every, dg.sum(axis=0))
-    move("inner", every, x.T @ dz)
-    move("shift", every, dz.sum(axis=0))
-    for k in range(2 * REACH):
-        order = np.argsort(around[:, k].astype(np.uint16), kind="stable")
-        rows, first = _runs(around[order, k])
-        move("places", (k, rows), np.add.reduceat(dx[order, k * WIDTH : (k + 1) * WIDTH], first, axis=0))
+        w[name] -= gradient
+
+    move("word", np.ascontiguousarray(words[:, :HIDDEN]))
+    move("word_bias", words[:, HIDDEN])
+    move("group", groups[:HIDDEN])
+    move("group_bias", groups[HIDDEN])
+    move("inner", x.T @ dz)
+    move("shift", dz.sum(axis=0))
+    move("places", np.ascontiguousarray(places.transpose(0, 2, 1)))
 
 
 def _flat(w: Weights) -> np.ndarray:

@@ -134,3 +134,43 @@ def test_reruns(spark):
     first = scores(3)
     assert (first == scores(3)).all()
     assert np.corrcoef(first, scores(5))[0, 1] > 0.999
+
+
+class Watched(np.ndarray):
+    """Notes the axes along which it is reduced."""
+
+    def __array_ufunc__(self, ufunc, method, *inputs, **more):
+        if method == "reduce":
+            self.axes.append(more.get("axis"))
+        plain = {k: tuple(x.view(np.ndarray) for x in v) if k == "out" and v else v for k, v in more.items()}
+        return getattr(ufunc, method)(*(x.view(np.ndarray) if isinstance(x, Watched) else x for x in inputs), **plain)
+
+
+def test_softmax_goes_along_rows_only_out_of_range():
+    """Reductions of short rows cost as much as the exponentials: outputs as they come have none."""
+    for great, rows in ((50, 0), (1000, 1)):
+        z = np.array([[1, great, 3], [0, 0, 0]], np.float32)
+        for share in (lm_score._softmax, lambda x: lm_score._log_share(x, np.array([0, 1]))):
+            watched = z.copy().view(Watched)
+            watched.axes = []
+            share(watched)
+            assert watched.axes.count(1) == rows
+
+
+def test_softmax_where_outputs_leave_the_range():
+    z = np.array([[1000, 999, 0], [-1000, -1001, -3000], [1, 2, 3], [-60, 60, 60]], np.float32)
+    share = z.astype(np.float64) - z.max(axis=1, keepdims=True)
+    share -= np.log(np.exp(share).sum(axis=1, keepdims=True))
+    for rows in (slice(0, 4), slice(2, 3), slice(3, 4)):
+        assert np.allclose(lm_score._softmax(z[rows].copy()), np.exp(share[rows]), atol=1e-6)
+        for at in range(3):
+            assert np.allclose(lm_score._log_share(z[rows].copy(), at), share[rows, at], rtol=1e-6, atol=1e-5)
+
+
+def test_ids_of_words_that_share_their_upper_bits():
+    """Words of the vocabulary that differ only below the bits by which they are looked up, the last ones too."""
+    words = np.array([(1 << 64) - 1, (1 << 64) - 2, 7, (1 << 64) - 3, 5, 1 << 50], np.uint64)
+    flat = np.frombuffer(b"a" * len(words), np.uint8)
+    found = words, np.array([0, len(words)]), np.arange(len(words)), np.arange(len(words)) + 1
+    ids, _ = lm_score.token_ids(flat, np.array([0, len(words)]), words[[1, 4, 0, 2]], found)
+    assert ids[2:-2].tolist() == [3, 1, 4, 1 + lm_score.WORDS, 2, 1 + lm_score.WORDS]
